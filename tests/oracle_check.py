@@ -1,0 +1,98 @@
+"""Compare every registered query with its DuckDB oracle on one scale.
+
+Usable from pytest (``compare``) and as a script::
+
+    python tests/oracle_check.py /root/testdata/sf0.01 [key ...]
+"""
+
+from __future__ import annotations
+
+import math
+import os
+import sys
+
+import duckdb
+import pandas as pd
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+if ROOT not in sys.path:
+    sys.path.insert(0, ROOT)
+
+TABLES = ("region nation customer supplier part orders lineitem events documents "
+          "embeddings pages benchmark labels conversations").split()
+
+
+def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    con = duckdb.connect()
+    for t in TABLES:
+        path = os.path.join(sf_dir, f"{t}.parquet")
+        if os.path.exists(path):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{path}')")
+    return con
+
+
+def _norm(v):
+    if v is None:
+        return (0, "")
+    if isinstance(v, float):
+        if math.isnan(v):
+            return (0, "")
+        return (1, repr(v))
+    if hasattr(v, "isoformat"):
+        return (1, v.isoformat()[:10] if len(v.isoformat()) >= 10 else v.isoformat())
+    if hasattr(v, "item"):
+        v = v.item()
+        return _norm(v)
+    return (1, str(v))
+
+
+def rows_of(df: pd.DataFrame) -> list[tuple]:
+    cols = sorted(df.columns)
+    out = []
+    for rec in df[cols].itertuples(index=False, name=None):
+        out.append(tuple(_norm(None if (isinstance(v, float) and math.isnan(v)) or v is pd.NaT
+                               else (None if v is None else v)) for v in rec))
+    return sorted(out)
+
+
+def compare(spark, con, key: str, sf_dir: str) -> tuple[bool, str]:
+    import __spark_entry__ as E
+
+    sdf = E.queries()[key](spark, sf_dir)
+    rows = sdf.collect()
+    sp = pd.DataFrame([tuple(r) for r in rows], columns=sdf.columns, dtype=object)
+    sql = E.oracle_sql().get(key)
+    if sql is None:
+        return True, f"{key}: no oracle, {len(sp)} rows"
+    dd = con.execute(sql).df()
+    dd = dd.astype(object).where(pd.notna(dd), None)
+    if sorted(sp.columns) != sorted(dd.columns):
+        return False, f"{key}: columns {sorted(sp.columns)} vs {sorted(dd.columns)}"
+    if len(sp) != len(dd):
+        return False, f"{key}: rows {len(sp)} vs oracle {len(dd)}"
+    a, b = rows_of(sp), rows_of(dd)
+    if a != b:
+        diff = [(x, y) for x, y in zip(a, b) if x != y][:3]
+        return False, f"{key}: values differ, e.g. {diff}"
+    return True, f"{key}: {len(sp)} rows equal"
+
+
+def main(argv: list[str]) -> int:
+    from tiffin.session import local_session
+    import __spark_entry__ as E
+
+    sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
+    keys = argv[1:] or list(E.queries())
+    spark = local_session(8)
+    con = duck(sf_dir)
+    bad = 0
+    for key in keys:
+        ok, msg = compare(spark, con, key, sf_dir)
+        bad += not ok
+        print(("OK   " if ok else "FAIL ") + msg, flush=True)
+    spark.stop()
+    return 1 if bad else 0
+
+
+if __name__ == "__main__":
+    sys.exit(main(sys.argv[1:]))
