@@ -2,6 +2,6 @@
 
 from tiffin.sources.derive import from_tpch
 from tiffin.sources.schemas import SCHEMAS
-from tiffin.sources.tables import Tables, conform, read_tables, write_tables
+from tiffin.sources.tables import TABLE_NAMES, Tables, conform, read_tables, write_tables
 
-__all__ = ["SCHEMAS", "Tables", "conform", "from_tpch", "read_tables", "write_tables"]
+__all__ = ["SCHEMAS", "TABLE_NAMES", "Tables", "conform", "from_tpch", "read_tables", "write_tables"]

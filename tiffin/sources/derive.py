@@ -11,6 +11,7 @@ purpose, because the inputs have none and the questions must handle them.
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -120,12 +121,14 @@ def derive_deliveries(lineitem: DataFrame) -> DataFrame:
 
 def from_tpch(spark: SparkSession, sf_dir: str) -> Tables:
     """The five marketplace tables derived from ``{sf_dir}/*.parquet``."""
-    read = lambda name: read_tpch(spark, sf_dir, name)
-    supplier, nation = read("supplier"), read("nation")
+    @functools.cache
+    def read(name: str) -> DataFrame:
+        return read_tpch(spark, sf_dir, name)
+
     return Tables(
-        customers=derive_customers(read("customer")),
-        restaurants=derive_restaurants(supplier, nation),
-        orders=derive_orders(read("orders"), supplier, read("part")),
-        riders=derive_riders(nation),
-        deliveries=derive_deliveries(read("lineitem")),
+        customers=lambda: derive_customers(read("customer")),
+        restaurants=lambda: derive_restaurants(read("supplier"), read("nation")),
+        orders=lambda: derive_orders(read("orders"), read("supplier"), read("part")),
+        riders=lambda: derive_riders(read("nation")),
+        deliveries=lambda: derive_deliveries(read("lineitem")),
     )

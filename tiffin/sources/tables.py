@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass, fields
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,18 +11,41 @@ from pyspark.sql import functions as F
 from tiffin.sources.schemas import SCHEMAS
 
 
-@dataclass(frozen=True)
+TABLE_NAMES = ("customers", "restaurants", "orders", "riders", "deliveries")
+
+Source = DataFrame | Callable[[], DataFrame]
+
+
 class Tables:
-    """The five tables of the marketplace, as lazy DataFrames."""
+    """The five tables of the marketplace, as lazy DataFrames.
 
-    customers: DataFrame
-    restaurants: DataFrame
-    orders: DataFrame
-    riders: DataFrame
-    deliveries: DataFrame
+    Each table may be given as a DataFrame or as a zero-argument function
+    returning one; functions are called on first access only, so a job that
+    reads two tables does not plan (or list files for) the other three.
+    """
+
+    def __init__(self, customers: Source, restaurants: Source, orders: Source,
+                 riders: Source, deliveries: Source) -> None:
+        self._sources: dict[str, Source] = dict(
+            customers=customers, restaurants=restaurants, orders=orders,
+            riders=riders, deliveries=deliveries,
+        )
+        self._frames: dict[str, DataFrame] = {}
+
+    def _get(self, name: str) -> DataFrame:
+        if name not in self._frames:
+            src = self._sources[name]
+            self._frames[name] = src if isinstance(src, DataFrame) else src()
+        return self._frames[name]
+
+    customers = property(lambda self: self._get("customers"))
+    restaurants = property(lambda self: self._get("restaurants"))
+    orders = property(lambda self: self._get("orders"))
+    riders = property(lambda self: self._get("riders"))
+    deliveries = property(lambda self: self._get("deliveries"))
 
     def as_dict(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        return {name: self._get(name) for name in TABLE_NAMES}
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
@@ -47,13 +70,16 @@ def conform(df: DataFrame, table: str) -> DataFrame:
 
 def read_tables(spark: SparkSession, root: str, fmt: str = "parquet") -> Tables:
     """Read ``{root}/{table}`` (Parquet by default) for each of the five tables."""
-    frames = {}
-    for name in SCHEMAS:
-        path = os.path.join(root, name)
-        if fmt == "parquet" and not os.path.exists(path) and os.path.exists(path + ".parquet"):
-            path = path + ".parquet"
-        frames[name] = conform(spark.read.format(fmt).load(path), name)
-    return Tables(**frames)
+    def reader(name: str) -> Callable[[], DataFrame]:
+        def read() -> DataFrame:
+            path = os.path.join(root, name)
+            if fmt == "parquet" and not os.path.exists(path) and os.path.exists(path + ".parquet"):
+                path = path + ".parquet"
+            return conform(spark.read.format(fmt).load(path), name)
+
+        return read
+
+    return Tables(**{name: reader(name) for name in TABLE_NAMES})
 
 
 def write_tables(
