@@ -183,3 +183,23 @@ def test_null_profile_and_cleanup(make_tables):
     t = make_tables(orders=orders)
     assert checks.null_rows_orders(t).count() == 2
     assert [r[0] for r in collect(checks.drop_null_orders(t))] == [1, 3]
+
+
+def test_report_matches_standalone_questions(spark):
+    from tests.conftest import SF001
+    from tiffin.plans.catalog import TEST_AS_OF, TEST_CUSTOMER
+    from tiffin.plans.report import report
+    from tiffin.sources import from_tpch
+
+    t = from_tpch(spark, SF001)
+    params = dict(as_of=TEST_AS_OF, customer_name=TEST_CUSTOMER, min_orders=15, min_total=4_000_000,
+                  active_year=2000, absent_year=2001, previous_year=2000, current_year=2001)
+    shared = report(t, **params)
+    alone = {
+        "q05_undelivered": Q.q05_undelivered(t),
+        "q09_cancellation_rate": Q.q09_cancellation_rate(t, 2000, 2001),
+        "q11_monthly_growth": Q.q11_monthly_growth(t),
+        "q13_rider_earnings": Q.q13_rider_earnings(t),
+    }
+    for key, df in alone.items():
+        assert sorted(collect(shared[key]), key=str) == sorted(collect(df), key=str), key

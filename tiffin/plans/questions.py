@@ -62,41 +62,151 @@ GOLD, SILVER = "Gold", "silver"
 # ---------------------------------------------------------------- helpers
 
 
-def delivery_profile(deliveries: DataFrame, status: str | None = None) -> DataFrame:
-    """One row per ``order_id``: ``d_rows`` delivery rows and ``d_idless``
-    rows among them with a NULL ``delivery_id``.
+def delivery_profile(
+    deliveries: DataFrame,
+    by_rider: bool = False,
+    status: str = DELIVERED,
+    only_status: bool = False,
+) -> DataFrame:
+    """Deliveries reduced to one row per ``order_id`` (per ``order_id,
+    rider_id`` with ``by_rider``):
+
+    * ``d_rows``: delivery rows;
+    * ``d_idless``: rows among them whose ``delivery_id`` is NULL;
+    * ``d_status``: rows whose ``delivery_status`` is ``status``.
 
-    Deliveries are not unique per order (an order can have many), so this is
-    the fan-out of an ``orders LEFT JOIN deliveries`` per order, computed with
-    a partial aggregation before the shuffle on ``order_id``.
+    Deliveries are not unique per order, so this is the fan-out an
+    ``orders JOIN deliveries`` would produce, computed with a partial
+    aggregation before the shuffle on ``order_id``.  ``only_status`` drops
+    the other deliveries before aggregating.
     """
     d = deliveries.filter(F.col("order_id").isNotNull())
-    if status is not None:
+    if only_status:
         d = d.filter(F.col("delivery_status") == F.lit(status))
-    return d.groupBy("order_id").agg(
+    keys = ["order_id", "rider_id"] if by_rider else ["order_id"]
+    return d.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("d_rows"),
         F.count_if(F.col("delivery_id").isNull()).alias("d_idless"),
+        F.count_if(F.col("delivery_status") == F.lit(status)).alias("d_status"),
     )
 
 
-def orders_left_join_deliveries(orders: DataFrame, deliveries: DataFrame) -> DataFrame:
-    """``orders LEFT JOIN deliveries ON order_id``, one row per order, with:
+def order_facts(
+    orders: DataFrame,
+    deliveries: DataFrame,
+    by_rider: bool = False,
+    status: str = DELIVERED,
+    only_status: bool = False,
+    how: str = "left",
+) -> DataFrame:
+    """``orders`` joined (``how``) to :func:`delivery_profile` on
+    ``order_id``.  With a left join, orders without deliveries keep NULL
+    profile columns.  The profile is unique per key, so it is the buffered
+    side of the join and cannot multiply order rows beyond one per rider.
+
+    The Q5/Q9/Q11/Q13 cores below only *sum* over fact rows, so they give the
+    same answer at order or at (order, rider) granularity; the batch report
+    builds the finer one once and shares it.
+    """
+    profile = delivery_profile(deliveries, by_rider=by_rider, status=status, only_status=only_status)
+    return orders.join(profile, "order_id", how)
+
+
+def _joined_rows() -> F.Column:
+    """Rows an ``orders LEFT JOIN deliveries`` yields for a fact row (1 when
+    the order has no delivery)."""
+    return F.when(F.col("d_rows").isNotNull(), F.col("d_rows")).otherwise(F.lit(1)).cast("bigint")
 
-    * ``joined_rows``: rows the join yields for the order (1 when unmatched);
-    * ``idless_rows``: those rows having ``delivery_id IS NULL`` (1 when
-      unmatched, since the padded side is all NULL).
 
-    The right side is unique per ``order_id``, so the join cannot fan out.
-    """
-    matched = F.col("d_rows").isNotNull()
+def _idless_rows() -> F.Column:
+    """Those rows having ``delivery_id IS NULL`` (1 when unmatched: the padded
+    side is all NULL)."""
+    return F.when(F.col("d_rows").isNotNull(), F.col("d_idless")).otherwise(F.lit(1)).cast("bigint")
+
+
+def undelivered_from_facts(facts: DataFrame, restaurants: DataFrame) -> DataFrame:
+    """Q5 core over left-join order facts (order_id, restaurant_id, d_*)."""
+    kept = facts.withColumn("idless_rows", _idless_rows()).filter(F.col("idless_rows") > 0)
+    # COUNT(o.order_id) over the surviving rows (NULL order ids not counted).
+    counted = F.when(F.col("order_id").isNotNull(), F.col("idless_rows")).otherwise(F.lit(0))
+    per_restaurant = kept.groupBy("restaurant_id").agg(F.sum(counted).alias("n"))
+    named = per_restaurant.join(
+        restaurants.select("restaurant_id", "restaurant_name", "city"), "restaurant_id", "left"
+    )
     return (
-        orders.join(delivery_profile(deliveries), "order_id", "left")
-        .withColumn("joined_rows", F.when(matched, F.col("d_rows")).otherwise(F.lit(1)).cast("bigint"))
-        .withColumn("idless_rows", F.when(matched, F.col("d_idless")).otherwise(F.lit(1)).cast("bigint"))
-        .drop("d_rows", "d_idless")
+        named.groupBy("restaurant_name", "city")
+        .agg(F.sum("n").cast("bigint").alias("cnt_not_delivered_orders"))
+        .orderBy(order_key("cnt_not_delivered_orders"))
     )
 
 
+def cancellation_from_facts(facts: DataFrame, previous_year: int, current_year: int) -> DataFrame:
+    """Q9 core over left-join order facts (order_id, restaurant_id, order_date, d_*)."""
+    j = facts.filter(in_any_year(F.col("order_date"), [previous_year, current_year]))
+    joined, idless = _joined_rows(), _idless_rows()
+    counted = F.when(F.col("order_id").isNotNull(), joined).otherwise(F.lit(0))
+
+    def in_y(year: int, value: F.Column) -> F.Column:
+        return F.sum(F.when(in_year(F.col("order_date"), year), value))
+
+    per_restaurant = j.groupBy("restaurant_id").agg(
+        in_y(previous_year, joined).alias("rows_p"),
+        in_y(previous_year, counted).alias("total_p"),
+        in_y(previous_year, idless).alias("idless_p"),
+        in_y(current_year, joined).alias("rows_c"),
+        in_y(current_year, counted).alias("total_c"),
+        in_y(current_year, idless).alias("idless_c"),
+    )
+    both = per_restaurant.filter(
+        F.col("restaurant_id").isNotNull() & (F.col("rows_p") > 0) & (F.col("rows_c") > 0)
+    )
+    return both.select(
+        "restaurant_id",
+        rounded_ratio(F.col("idless_p"), F.col("total_p"), multiplier=100).alias("cancel_rat23"),
+        rounded_ratio(F.col("idless_c"), F.col("total_c"), multiplier=100).alias("cancel_rat24"),
+    )
+
+
+def growth_from_facts(facts: DataFrame) -> DataFrame:
+    """Q11 core over order facts (order_id, restaurant_id, order_date, d_status)."""
+    delivered = facts.filter(F.col("d_status") > 0)
+    monthly = delivered.groupBy(
+        "restaurant_id",
+        F.year("order_date").cast("bigint").alias("year1"),
+        F.month("order_date").cast("bigint").alias("month1"),
+    ).agg(F.sum("d_status").alias("month_orders"))
+    w = Window.partitionBy("restaurant_id").orderBy(
+        F.col("year1").asc_nulls_last(), F.col("month1").asc_nulls_last()
+    )
+    prev = F.lag("month_orders", 1).over(w)
+    return monthly.withColumn("prev_month_orders", prev).select(
+        "restaurant_id",
+        "year1",
+        "month1",
+        "month_orders",
+        "prev_month_orders",
+        rounded_ratio(
+            F.col("month_orders") - F.col("prev_month_orders"), F.col("prev_month_orders"), multiplier=100
+        ).alias("growth_rat"),
+    )
+
+
+def earnings_from_facts(facts: DataFrame, share: str | float | Decimal) -> DataFrame:
+    """Q13 core over per-rider order facts (order_date, total_amount,
+    rider_id, d_rows); unmatched orders (NULL d_rows) earn nothing."""
+    matched = facts.filter(F.col("d_rows").isNotNull())
+    monthly = matched.groupBy("rider_id", month_text(F.col("order_date")).alias("month1")).agg(
+        F.sum(exact(F.col("total_amount")) * F.col("d_rows")).alias("revenue")
+    )
+    rate = F.lit(Decimal(str(share)))
+    return monthly.select(
+        "rider_id",
+        "month1",
+        _money("revenue").alias("revenue"),
+        (F.col("revenue") * rate).cast("double").alias("riders_earning"),
+    ).orderBy(F.col("rider_id").asc_nulls_last(), F.col("month1").asc_nulls_last())
+
+
 def _money(col: str) -> F.Column:
     return F.col(col).cast("double")
 
@@ -195,20 +305,8 @@ def q05_undelivered(t: Tables) -> DataFrame:
 
     Output: restaurant_name, city, cnt_not_delivered_orders.
     """
-    o = orders_left_join_deliveries(t.orders.select("order_id", "restaurant_id"), t.deliveries)
-    # WHERE d.delivery_id IS NULL keeps `idless_rows` rows of each order;
-    # COUNT(o.order_id) counts them unless the order id itself is NULL.
-    kept = o.filter(F.col("idless_rows") > 0)
-    counted = F.when(F.col("order_id").isNotNull(), F.col("idless_rows")).otherwise(F.lit(0))
-    per_restaurant = kept.groupBy("restaurant_id").agg(F.sum(counted).alias("n"))
-    named = per_restaurant.join(
-        t.restaurants.select("restaurant_id", "restaurant_name", "city"), "restaurant_id", "left"
-    )
-    return (
-        named.groupBy("restaurant_name", "city")
-        .agg(F.sum("n").cast("bigint").alias("cnt_not_delivered_orders"))
-        .orderBy(order_key("cnt_not_delivered_orders"))
-    )
+    facts = order_facts(t.orders.select("order_id", "restaurant_id"), t.deliveries)
+    return undelivered_from_facts(facts, t.restaurants)
 
 
 def q06_top_restaurant_by_city(
@@ -272,32 +370,10 @@ def q09_cancellation_rate(t: Tables, previous_year: int = 2023, current_year: in
 
     Output: restaurant_id, cancel_rat23 (previous year), cancel_rat24 (current year).
     """
-    years = [previous_year, current_year]
-    o = t.orders.filter(in_any_year(F.col("order_date"), years)).select(
+    o = t.orders.filter(in_any_year(F.col("order_date"), [previous_year, current_year])).select(
         "order_id", "restaurant_id", "order_date"
     )
-    j = orders_left_join_deliveries(o, t.deliveries)
-    counted = F.when(F.col("order_id").isNotNull(), F.col("joined_rows")).otherwise(F.lit(0))
-
-    def in_y(year: int, value: F.Column) -> F.Column:
-        return F.sum(F.when(in_year(F.col("order_date"), year), value))
-
-    per_restaurant = j.groupBy("restaurant_id").agg(
-        in_y(previous_year, F.col("joined_rows")).alias("rows_p"),
-        in_y(previous_year, counted).alias("total_p"),
-        in_y(previous_year, F.col("idless_rows")).alias("idless_p"),
-        in_y(current_year, F.col("joined_rows")).alias("rows_c"),
-        in_y(current_year, counted).alias("total_c"),
-        in_y(current_year, F.col("idless_rows")).alias("idless_c"),
-    )
-    both = per_restaurant.filter(
-        F.col("restaurant_id").isNotNull() & (F.col("rows_p") > 0) & (F.col("rows_c") > 0)
-    )
-    return both.select(
-        "restaurant_id",
-        rounded_ratio(F.col("idless_p"), F.col("total_p"), multiplier=100).alias("cancel_rat23"),
-        rounded_ratio(F.col("idless_c"), F.col("total_c"), multiplier=100).alias("cancel_rat24"),
-    )
+    return cancellation_from_facts(order_facts(o, t.deliveries), previous_year, current_year)
 
 
 def q10_delivery_minutes(t: Tables, status: str = DELIVERED) -> DataFrame:
@@ -334,27 +410,14 @@ def q11_monthly_growth(t: Tables, status: str = DELIVERED) -> DataFrame:
 
     Output: restaurant_id, year1, month1, month_orders, prev_month_orders, growth_rat.
     """
-    delivered = delivery_profile(t.deliveries, status).select("order_id", "d_rows")
-    j = delivered.join(t.orders.select("order_id", "restaurant_id", "order_date"), "order_id")
-    monthly = j.groupBy(
-        "restaurant_id",
-        F.year("order_date").cast("bigint").alias("year1"),
-        F.month("order_date").cast("bigint").alias("month1"),
-    ).agg(F.sum("d_rows").alias("month_orders"))
-    w = Window.partitionBy("restaurant_id").orderBy(
-        F.col("year1").asc_nulls_last(), F.col("month1").asc_nulls_last()
-    )
-    prev = F.lag("month_orders", 1).over(w)
-    return monthly.withColumn("prev_month_orders", prev).select(
-        "restaurant_id",
-        "year1",
-        "month1",
-        "month_orders",
-        "prev_month_orders",
-        rounded_ratio(
-            F.col("month_orders") - F.col("prev_month_orders"), F.col("prev_month_orders"), multiplier=100
-        ).alias("growth_rat"),
+    facts = order_facts(
+        t.orders.select("order_id", "restaurant_id", "order_date"),
+        t.deliveries,
+        status=status,
+        only_status=True,
+        how="inner",
     )
+    return growth_from_facts(facts)
 
 
 def q12_segments(t: Tables, multiple: float = 1) -> DataFrame:
@@ -399,19 +462,7 @@ def q13_rider_earnings(t: Tables, share: str | float | Decimal = DEFAULT_RIDER_S
 
     Output: rider_id, month1, revenue, riders_earning.
     """
-    per_pair = (
-        t.deliveries.filter(F.col("order_id").isNotNull())
-        .groupBy("order_id", "rider_id")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    j = per_pair.join(t.orders.select("order_id", "order_date", "total_amount"), "order_id")
-    monthly = j.groupBy("rider_id", month_text(F.col("order_date")).alias("month1")).agg(
-        F.sum(exact(F.col("total_amount")) * F.col("n")).alias("revenue")
+    facts = order_facts(
+        t.orders.select("order_id", "order_date", "total_amount"), t.deliveries, by_rider=True, how="inner"
     )
-    rate = F.lit(Decimal(str(share)))
-    return monthly.select(
-        "rider_id",
-        "month1",
-        _money("revenue").alias("revenue"),
-        (F.col("revenue") * rate).cast("double").alias("riders_earning"),
-    ).orderBy(F.col("rider_id").asc_nulls_last(), F.col("month1").asc_nulls_last())
+    return earnings_from_facts(facts, share)

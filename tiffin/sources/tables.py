@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -102,3 +103,20 @@ def write_tables(
             writer.write.mode(mode).partitionBy("order_month").parquet(os.path.join(root, name))
         else:
             writer.write.mode(mode).parquet(os.path.join(root, name))
+
+
+def materialize(df: DataFrame, name: str, spark: SparkSession | None = None) -> DataFrame:
+    """Write ``df`` as Parquet under the cluster's shared checkpoint folder
+    (``spark.checkpoint.dir``) and return a DataFrame reading it back.
+
+    Used where several jobs share an expensive intermediate: the lineage is
+    cut (a lost executor re-reads files instead of recomputing the shuffle
+    chain), and later scans get Parquet column pruning and pushdown.
+    """
+    from tiffin.session import checkpoint_root, ensure_checkpoint_dir
+
+    spark = spark or df.sparkSession
+    root = checkpoint_root(spark) or ensure_checkpoint_dir(spark)
+    path = os.path.join(root, "tiffin", f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
