@@ -1,0 +1,22 @@
+from __future__ import annotations
+
+import os
+import tempfile
+
+from tests.conftest import SF001, collect
+from tiffin.plans import questions as Q
+from tiffin.sources import from_tpch
+from tiffin.streaming.incremental import start_time_slots
+
+
+def test_incremental_time_slots_equal_batch(spark):
+    t = from_tpch(spark, SF001)
+    scratch = tempfile.mkdtemp(prefix="tiffin-stream-test-")
+    src, out = os.path.join(scratch, "orders"), os.path.join(scratch, "slots")
+    t.orders.repartition(3).write.parquet(src)
+    q = start_time_slots(spark, src, out, name=f"slots_{os.path.basename(scratch)}",
+                         max_files_per_trigger=1)
+    q.awaitTermination(300)
+    got = sorted(collect(spark.read.parquet(out)), key=str)
+    assert got == sorted(collect(Q.q02_time_slots(t)), key=str)
+    assert sum(r[1] for r in got) == 1500

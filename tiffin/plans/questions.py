@@ -64,12 +64,10 @@ GOLD, SILVER = "Gold", "silver"
 
 def delivery_profile(
     deliveries: DataFrame,
-    by_rider: bool = False,
     status: str = DELIVERED,
     only_status: bool = False,
 ) -> DataFrame:
-    """Deliveries reduced to one row per ``order_id`` (per ``order_id,
-    rider_id`` with ``by_rider``):
+    """Deliveries reduced to one row per ``order_id``:
 
     * ``d_rows``: delivery rows;
     * ``d_idless``: rows among them whose ``delivery_id`` is NULL;
@@ -77,14 +75,16 @@ def delivery_profile(
 
     Deliveries are not unique per order, so this is the fan-out an
     ``orders JOIN deliveries`` would produce, computed with a partial
-    aggregation before the shuffle on ``order_id``.  ``only_status`` drops
-    the other deliveries before aggregating.
+    aggregation before the shuffle on ``order_id``.  That exchange is
+    ``hashpartitioning(order_id)``, exactly what the following sort-merge
+    join on ``order_id`` requires, so the join adds no second shuffle of
+    deliveries.  ``only_status`` drops the other deliveries before
+    aggregating.
     """
     d = deliveries.filter(F.col("order_id").isNotNull())
     if only_status:
         d = d.filter(F.col("delivery_status") == F.lit(status))
-    keys = ["order_id", "rider_id"] if by_rider else ["order_id"]
-    return d.groupBy(*keys).agg(
+    return d.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("d_rows"),
         F.count_if(F.col("delivery_id").isNull()).alias("d_idless"),
         F.count_if(F.col("delivery_status") == F.lit(status)).alias("d_status"),
@@ -94,21 +94,18 @@ def delivery_profile(
 def order_facts(
     orders: DataFrame,
     deliveries: DataFrame,
-    by_rider: bool = False,
     status: str = DELIVERED,
     only_status: bool = False,
     how: str = "left",
 ) -> DataFrame:
     """``orders`` joined (``how``) to :func:`delivery_profile` on
     ``order_id``.  With a left join, orders without deliveries keep NULL
-    profile columns.  The profile is unique per key, so it is the buffered
-    side of the join and cannot multiply order rows beyond one per rider.
-
-    The Q5/Q9/Q11/Q13 cores below only *sum* over fact rows, so they give the
-    same answer at order or at (order, rider) granularity; the batch report
-    builds the finer one once and shares it.
+    profile columns.  The profile is unique per ``order_id``, so it is the
+    buffered side of the join and cannot multiply order rows; a hot order is
+    one profile row.  The Q5/Q9/Q11 cores below read these facts, and the
+    batch report builds them once for all three.
     """
-    profile = delivery_profile(deliveries, by_rider=by_rider, status=status, only_status=only_status)
+    profile = delivery_profile(deliveries, status=status, only_status=only_status)
     return orders.join(profile, "order_id", how)
 
 
@@ -191,12 +188,11 @@ def growth_from_facts(facts: DataFrame) -> DataFrame:
     )
 
 
-def earnings_from_facts(facts: DataFrame, share: str | float | Decimal) -> DataFrame:
-    """Q13 core over per-rider order facts (order_date, total_amount,
-    rider_id, d_rows); unmatched orders (NULL d_rows) earn nothing."""
-    matched = facts.filter(F.col("d_rows").isNotNull())
-    monthly = matched.groupBy("rider_id", month_text(F.col("order_date")).alias("month1")).agg(
-        F.sum(exact(F.col("total_amount")) * F.col("d_rows")).alias("revenue")
+def rider_earnings(delivered_orders: DataFrame, share: str | float | Decimal) -> DataFrame:
+    """Q13 core over one row per delivery carrying its order's
+    ``order_date`` and ``total_amount`` (deliveries joined to orders)."""
+    monthly = delivered_orders.groupBy("rider_id", month_text(F.col("order_date")).alias("month1")).agg(
+        exact_sum(F.col("total_amount")).alias("revenue")
     )
     rate = F.lit(Decimal(str(share)))
     return monthly.select(
@@ -462,7 +458,13 @@ def q13_rider_earnings(t: Tables, share: str | float | Decimal = DEFAULT_RIDER_S
 
     Output: rider_id, month1, revenue, riders_earning.
     """
-    facts = order_facts(
-        t.orders.select("order_id", "order_date", "total_amount"), t.deliveries, by_rider=True, how="inner"
+    # Join first: the aggregation key (rider, month) is tiny, so its partial
+    # aggregate after the join removes almost everything, and the join's
+    # shuffle on order_id is the only large one.  Pre-aggregating per
+    # (order, rider) would need a second shuffle, on order_id alone, to join.
+    # Deliveries stream (AQE can split a hot order's run); orders, one row
+    # per id, are the buffered side.
+    delivered_orders = t.deliveries.select("order_id", "rider_id").join(
+        t.orders.select("order_id", "order_date", "total_amount"), "order_id"
     )
-    return earnings_from_facts(facts, share)
+    return rider_earnings(delivered_orders, share)

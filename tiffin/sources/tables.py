@@ -25,8 +25,9 @@ class Tables:
     reads two tables does not plan (or list files for) the other three.
     """
 
-    def __init__(self, customers: Source, restaurants: Source, orders: Source,
-                 riders: Source, deliveries: Source) -> None:
+    def __init__(self, customers: Source | None = None, restaurants: Source | None = None,
+                 orders: Source | None = None, riders: Source | None = None,
+                 deliveries: Source | None = None) -> None:
         self._sources: dict[str, Source] = dict(
             customers=customers, restaurants=restaurants, orders=orders,
             riders=riders, deliveries=deliveries,
@@ -36,6 +37,8 @@ class Tables:
     def _get(self, name: str) -> DataFrame:
         if name not in self._frames:
             src = self._sources[name]
+            if src is None:
+                raise ValueError(f"table {name!r} was not provided")
             self._frames[name] = src if isinstance(src, DataFrame) else src()
         return self._frames[name]
 
