@@ -203,3 +203,11 @@ def test_report_matches_standalone_questions(spark):
     }
     for key, df in alone.items():
         assert sorted(collect(shared[key]), key=str) == sorted(collect(df), key=str), key
+
+
+def test_q09_zero_denominator_is_null(make_tables):
+    # Only a NULL order id in the previous year: COUNT(o.order_id) = 0.  The
+    # original database raises a division error; the job returns NULL.
+    orders = [order(None, rid=1, date=D(2023, 3, 1)), order(2, rid=1, date=D(2024, 3, 1))]
+    t = make_tables(orders=orders, deliveries=[(1, 2, "Delivered", T(13), 1)])
+    assert collect(Q.q09_cancellation_rate(t, 2023, 2024)) == [(1, None, 0.0)]
