@@ -62,3 +62,27 @@ def test_scans_read_only_needed_columns(plans):
 def test_aggregation_is_partial_before_every_shuffle(plans):
     for key in ["q03_avg_order_value", "q05_undelivered", "q11_monthly_growth", "q13_rider_earnings"]:
         assert "partial_" in plans[key], key
+
+
+def test_q01_broadcasts_checked_target_even_without_auto_broadcast(spark):
+    from tiffin.plans import questions as Q
+    from tiffin.plans.catalog import TEST_AS_OF, TEST_CUSTOMER
+    from tiffin.sources import from_tpch
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        t = from_tpch(spark, SF01)
+        small = plan_text(Q.q01_top_dishes(t, TEST_CUSTOMER, TEST_AS_OF, 1, 5))
+        assert "BroadcastHashJoin" in small and "SortMergeJoin" not in small
+        big = plan_text(Q.q01_top_dishes(t, TEST_CUSTOMER, TEST_AS_OF, 1, 5, target_max_rows=0))
+        assert "SortMergeJoin" in big
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_broadcast_if_small_checks_the_bound(spark):
+    from tiffin.operators import is_small
+
+    df = spark.range(10)
+    assert is_small(df, 10) and not is_small(df, 9)

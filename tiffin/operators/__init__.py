@@ -1,5 +1,6 @@
 """Reusable relational building blocks."""
 
+from tiffin.operators.broadcast import broadcast_if_small, is_small
 from tiffin.operators.membership import not_in
 from tiffin.operators.quality import (
     drop_null,
@@ -12,6 +13,6 @@ from tiffin.operators.quality import (
 from tiffin.operators.ranking import keep_top_ranks, order_key
 
 __all__ = [
-    "drop_null", "keep_top_ranks", "key_audit", "length_audit", "not_in", "null_count",
+    "broadcast_if_small", "drop_null", "is_small", "keep_top_ranks", "key_audit", "length_audit", "not_in", "null_count",
     "null_rows", "order_key", "reference_audit",
 ]

@@ -44,7 +44,7 @@ from tiffin.functions import (
     wrapped_seconds,
     years_before,
 )
-from tiffin.operators import keep_top_ranks, not_in, order_key
+from tiffin.operators import broadcast_if_small, keep_top_ranks, not_in, order_key
 from tiffin.sources import Tables
 
 DateLike = dt.date | str | None
@@ -216,29 +216,30 @@ def q01_top_dishes(
     as_of: DateLike = None,
     years: int = 1,
     k: int = DEFAULT_TOP_K,
+    target_max_rows: int = 200_000,
 ) -> DataFrame:
     """Q1. The customer's most ordered dishes since ``as_of - years``
     (inclusive, no upper bound), dense ranks 1..k, ties kept.
 
     Output: customer_name, dish, total_orders, rank1.
     """
-    target = t.customers.filter(F.col("customer_name") == F.lit(customer_name)).select(
-        "customer_id", "customer_name"
+    # The customers with that name: usually a handful of rows, but the
+    # planner only knows the size of the whole customers table.  Broadcast
+    # them after a row-count check, so the orders are filtered where they are
+    # read and never shuffled; beyond the bound it stays a shuffle join.
+    target = broadcast_if_small(
+        t.customers.filter(F.col("customer_name") == F.lit(customer_name)).select(
+            "customer_id", "customer_name"
+        ),
+        max_rows=target_max_rows,
     )
     recent = t.orders.filter(F.col("order_date") >= years_before(as_of, years)).select(
         "customer_id", F.col("order_item").alias("dish")
     )
-    # Semi join first: orders of other customers are dropped before any
-    # shuffle of orders (AQE broadcasts the id list when it is small).
-    per_customer = (
-        recent.join(target.select("customer_id"), "customer_id", "left_semi")
-        .groupBy("customer_id", "dish")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
     per_name = (
-        per_customer.join(target, "customer_id")
+        recent.join(target, "customer_id")
         .groupBy("customer_name", "dish")
-        .agg(F.sum("n").alias("total_orders"))
+        .agg(F.count(F.lit(1)).alias("total_orders"))
     )
     ranked = keep_top_ranks(per_name, [], "total_orders", k, method="dense")
     return ranked.select("customer_name", "dish", "total_orders", "rank1")
