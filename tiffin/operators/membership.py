@@ -20,16 +20,19 @@ _ROWS, _NULLS, _KEY = "__s_rows", "__s_nulls", "__s_key"
 def not_in(left: DataFrame, left_col: str, right: DataFrame, right_col: str) -> DataFrame:
     """Rows of ``left`` where ``left_col NOT IN (right.right_col)``.
 
-    ``right`` should already be as small as possible (for example the
-    ``distinct()`` keys); it is read twice, once for the anti join and once
-    for the one-row summary, and Spark reuses the shared exchange.
+    ``right`` is read twice: once for the one-row summary (a global
+    aggregate, partial per task, so only one row per task is exchanged) and
+    once for the distinct non-NULL keys the anti join probes.  The distinct
+    runs as a partial aggregation before its shuffle, so a key repeated in a
+    third of ``right`` arrives as one row per task, and the join's buffered
+    side holds each key once.
     """
     keys = right.select(F.col(right_col).alias(_KEY))
     summary = keys.agg(
         F.count(F.lit(1)).alias(_ROWS),
         F.count_if(F.col(_KEY).isNull()).alias(_NULLS),
     )
-    present = keys.filter(F.col(_KEY).isNotNull())
+    present = keys.filter(F.col(_KEY).isNotNull()).distinct()
     survivors = left.join(present, left[left_col] == present[_KEY], "left_anti")
     # One row by construction (a global aggregate), so the broadcast is bounded.
     guarded = survivors.crossJoin(F.broadcast(summary))

@@ -17,6 +17,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tiffin.operators.broadcast import broadcast_if_small
 from tiffin.sources.tables import Tables, conform
 
 # Fixed values of the derivation (they define the test fixture, so the SQL
@@ -48,9 +49,12 @@ def derive_customers(customer: DataFrame) -> DataFrame:
 
 
 def derive_restaurants(supplier: DataFrame, nation: DataFrame) -> DataFrame:
-    # nation is a fixed 25-row table; Spark's size-checked automatic broadcast
-    # picks it up, so no hint is needed.
-    cities = nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("city"))
+    # nation has 25 rows: a shuffle join on its key would send every supplier
+    # to one of 25 reducers.  Broadcast it after checking its row count.
+    cities = broadcast_if_small(
+        nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("city")),
+        max_rows=10_000,
+    )
     hours = F.when(~(F.col("s_acctbal") < 0) | F.col("s_acctbal").isNull(), F.lit(OPENING_HOURS))
     return conform(
         supplier.join(cities, "s_nationkey", "left").select(
