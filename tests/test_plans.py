@@ -86,3 +86,21 @@ def test_broadcast_if_small_checks_the_bound(spark):
 
     df = spark.range(10)
     assert is_small(df, 10) and not is_small(df, 9)
+
+
+@pytest.mark.parametrize("rows,join", [(500_000, "BroadcastHashJoin"), (0, "SortMergeJoin")])
+def test_lookup_rollup_picks_plan_by_checked_size(spark, rows, join):
+    from tiffin.plans import questions as Q
+    from tiffin.sources import from_tpch
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan_text(Q.q07_top_dish_by_city(from_tpch(spark, SF01), lookup_rows=rows))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    joins = re.findall(r"(BroadcastHashJoin|SortMergeJoin) [^\n]*Inner", text)
+    assert joins == [join]
+    shuffled_on_key = re.search(r"hashpartitioning\(restaurant_id", text) is not None
+    # broadcast plan: orders never shuffled on the join key; shuffle plan: they are
+    assert shuffled_on_key == (join == "SortMergeJoin")

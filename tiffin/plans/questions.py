@@ -44,7 +44,7 @@ from tiffin.functions import (
     wrapped_seconds,
     years_before,
 )
-from tiffin.operators import broadcast_if_small, keep_top_ranks, not_in, order_key
+from tiffin.operators import broadcast_if_small, keep_top_ranks, not_in, order_key, rollup_through_lookup
 from tiffin.sources import Tables
 
 DateLike = dt.date | str | None
@@ -58,6 +58,10 @@ DEFAULT_RIDER_SHARE = "0.08"
 DELIVERED = "Delivered"
 GOLD, SILVER = "Gold", "silver"
 
+# Lookup tables (customers, restaurants) with at most this many rows are
+# broadcast after a row-count check; larger ones take the shuffle plan.
+DEFAULT_LOOKUP_ROWS = 500_000
+
 
 # ---------------------------------------------------------------- helpers
 
@@ -259,40 +263,42 @@ def q02_time_slots(t: Tables, hours: int = 2) -> DataFrame:
     )
 
 
-def _totals_per_customer_name(t: Tables) -> DataFrame:
-    per_customer = t.orders.groupBy("customer_id").agg(
-        F.count("order_id").alias("n_orders"),
-        exact_sum(F.col("total_amount")).alias("spent"),
-        F.count("total_amount").alias("n_amounts"),
-    )
-    return (
-        per_customer.join(t.customers.select("customer_id", "customer_name"), "customer_id")
-        .groupBy("customer_name")
-        .agg(
-            F.sum("n_orders").alias("total_orders"),
-            F.sum("spent").alias("spent"),
-            F.sum("n_amounts").alias("n_amounts"),
-        )
+def _totals_per_customer_name(t: Tables, lookup_rows: int) -> DataFrame:
+    return rollup_through_lookup(
+        t.orders,
+        t.customers.select("customer_id", "customer_name"),
+        "customer_id",
+        ["customer_name"],
+        {
+            "total_orders": F.count("order_id"),
+            "spent": exact_sum(F.col("total_amount")),
+            "n_amounts": F.count("total_amount"),
+        },
+        lookup_rows,
     )
 
 
-def q03_avg_order_value(t: Tables, min_orders: int = DEFAULT_MIN_ORDERS) -> DataFrame:
+def q03_avg_order_value(
+    t: Tables, min_orders: int = DEFAULT_MIN_ORDERS, lookup_rows: int = DEFAULT_LOOKUP_ROWS
+) -> DataFrame:
     """Q3. Order count and average order amount per customer *name* with
     more than ``min_orders`` orders (customers sharing a name are merged).
 
     Output: customer_name, total_orders, avg_money.
     """
-    per_name = _totals_per_customer_name(t).filter(F.col("total_orders") > F.lit(min_orders))
+    per_name = _totals_per_customer_name(t, lookup_rows).filter(F.col("total_orders") > F.lit(min_orders))
     avg = F.when(F.col("n_amounts") > 0, _money("spent") / F.col("n_amounts").cast("double"))
     return per_name.select("customer_name", "total_orders", avg.alias("avg_money"))
 
 
-def q04_high_spenders(t: Tables, min_total: float = DEFAULT_MIN_TOTAL) -> DataFrame:
+def q04_high_spenders(
+    t: Tables, min_total: float = DEFAULT_MIN_TOTAL, lookup_rows: int = DEFAULT_LOOKUP_ROWS
+) -> DataFrame:
     """Q4. Customer names whose orders total more than ``min_total``.
 
     Output: customer_name, total_money.
     """
-    per_name = _totals_per_customer_name(t).filter(F.col("spent") > F.lit(min_total))
+    per_name = _totals_per_customer_name(t, lookup_rows).filter(F.col("spent") > F.lit(min_total))
     return per_name.select("customer_name", _money("spent").alias("total_money"))
 
 
@@ -307,7 +313,11 @@ def q05_undelivered(t: Tables) -> DataFrame:
 
 
 def q06_top_restaurant_by_city(
-    t: Tables, as_of: DateLike = None, years: int = 1, keep_rank: int | None = 1
+    t: Tables,
+    as_of: DateLike = None,
+    years: int = 1,
+    keep_rank: int | None = 1,
+    lookup_rows: int = DEFAULT_LOOKUP_ROWS,
 ) -> DataFrame:
     """Q6. Restaurants ranked by revenue since ``as_of - years`` within each
     city (dense rank; a restaurant whose amounts are all NULL ranks first, as
@@ -317,29 +327,33 @@ def q06_top_restaurant_by_city(
     Output: city, restaurant_name, revenue, rank1.
     """
     recent = t.orders.filter(F.col("order_date") >= years_before(as_of, years))
-    per_restaurant = recent.groupBy("restaurant_id").agg(exact_sum(F.col("total_amount")).alias("revenue"))
-    per_name = (
-        per_restaurant.join(t.restaurants.select("restaurant_id", "city", "restaurant_name"), "restaurant_id")
-        .groupBy("city", "restaurant_name")
-        .agg(F.sum("revenue").alias("revenue"))
+    per_name = rollup_through_lookup(
+        recent,
+        t.restaurants.select("restaurant_id", "city", "restaurant_name"),
+        "restaurant_id",
+        ["city", "restaurant_name"],
+        {"revenue": exact_sum(F.col("total_amount"))},
+        lookup_rows,
     )
     ranked = keep_top_ranks(per_name, ["city"], "revenue", keep_rank, method="dense")
     return ranked.select("city", "restaurant_name", _money("revenue").alias("revenue"), "rank1")
 
 
-def q07_top_dish_by_city(t: Tables, keep_rank: int | None = 1) -> DataFrame:
+def q07_top_dish_by_city(
+    t: Tables, keep_rank: int | None = 1, lookup_rows: int = DEFAULT_LOOKUP_ROWS
+) -> DataFrame:
     """Q7. The most ordered dish(es) of each city (rank, ties kept; orders
     without an item form a NULL dish that can win).
 
     Output: city, dish, total_orders, rank1.
     """
-    per_restaurant = t.orders.groupBy("restaurant_id", F.col("order_item").alias("dish")).agg(
-        F.count("order_id").alias("n")
-    )
-    per_city = (
-        per_restaurant.join(t.restaurants.select("restaurant_id", "city"), "restaurant_id")
-        .groupBy("city", "dish")
-        .agg(F.sum("n").alias("total_orders"))
+    per_city = rollup_through_lookup(
+        t.orders.select("restaurant_id", "order_id", F.col("order_item").alias("dish")),
+        t.restaurants.select("restaurant_id", "city"),
+        "restaurant_id",
+        ["city", "dish"],
+        {"total_orders": F.count("order_id")},
+        lookup_rows,
     )
     ranked = keep_top_ranks(per_city, ["city"], "total_orders", keep_rank, method="rank")
     return ranked.select("city", "dish", "total_orders", "rank1")
