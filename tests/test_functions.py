@@ -74,3 +74,12 @@ def test_not_in_matches_sql_semantics(spark, left_name, right_name):
     right.createOrReplaceTempView("r_in")
     sql = spark.sql("SELECT x FROM l_in WHERE x NOT IN (SELECT k FROM r_in)")
     assert ours == sorted((r.x for r in sql.collect()), key=str)
+
+
+def test_cluster_conf_sizes_partitions():
+    from tiffin.session import cluster_conf
+
+    conf = cluster_conf(largest_shuffle_bytes=4 * 1024**4, total_cores=8000)
+    parts = int(conf["spark.sql.shuffle.partitions"])
+    assert parts % 8000 == 0 and parts >= 4 * 1024**4 // (256 * 1024**2)
+    assert conf["spark.sql.adaptive.enabled"] == "true"

@@ -1,0 +1,60 @@
+"""A key holding a third of all rows: results stay exact, and the one join
+that must emit every delivery (Q10, and Q13's join) is split by AQE."""
+
+from __future__ import annotations
+
+from tests.conftest import D, T, collect
+from tiffin.plans import questions as Q
+
+SKEW_CONF = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1KB",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+}
+
+
+def _executed(df) -> str:
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_order_and_customer(spark, make_tables):
+    n_orders, hot_share = 2000, 3
+    orders = [(i, 7 if i % hot_share == 0 else i, i % 5, "x", D(2024, 1 + i % 12, 1), T(23, 50) if i == 0 else T(12),
+               "F", 10.0) for i in range(n_orders)]
+    # order 0 gets as many deliveries as all other orders together, times two
+    # (varied times and riders, so the shuffled rows do not compress away)
+    deliveries = [(j, 0, "Delivered", T(0, 10) if j % 2 else (j * 7919) % 3000, (j * 31) % 97)
+                  for j in range(2 * n_orders)]
+    deliveries += [(10_000 + i, i, "Delivered", (i * 7919) % 86400, i % 97) for i in range(1, n_orders)]
+    t = make_tables(customers=[(i, f"c{i}", None) for i in range(n_orders)],
+                    restaurants=[(i, f"r{i}", f"city{i % 2}", None) for i in range(5)],
+                    orders=orders, deliveries=deliveries)
+    saved = {k: spark.conf.get(k) for k in SKEW_CONF}
+    for k, v in SKEW_CONF.items():
+        spark.conf.set(k, v)
+    try:
+        q10 = Q.q10_delivery_minutes(t)
+        plan = _executed(q10)
+        assert "skew=true" in plan
+        rows = collect(q10)
+        assert len(rows) == len(deliveries)
+        hot = sorted(r[5] for r in rows if r[1] == 0)
+        o = T(23, 50)
+        want = sorted(round((d[3] - o + (86400 if d[3] < o else 0)) / 60, 2)
+                      for d in deliveries if d[1] == 0)
+        assert hot == want and len(hot) == 2 * n_orders
+
+        q13 = Q.q13_rider_earnings(t)
+        assert "skew=true" in _executed(q13)
+        assert sum(r[2] for r in collect(q13)) == 10.0 * len(deliveries)
+
+        q03 = collect(Q.q03_avg_order_value(t, min_orders=50, lookup_rows=0))
+        hot_orders = sum(1 for o in orders if o[1] == 7)
+        assert q03 == [("c7", hot_orders, 10.0)]
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)

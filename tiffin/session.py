@@ -67,3 +67,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root
+
+
+def cluster_conf(
+    largest_shuffle_bytes: int,
+    total_cores: int,
+    target_partition_bytes: int = 256 * 1024**2,
+) -> dict[str, str]:
+    """Settings for a cluster run, sized from the largest expected shuffle.
+
+    For these jobs the largest shuffle is deliveries' order ids (plus a
+    count) in Q5/Q9/Q11 and the key audit; at 100 TB of input it is a few
+    TB.  Shuffle partitions are sized so one partition is about
+    ``target_partition_bytes`` (fits an executor core's memory share and
+    spills gracefully), rounded up to a multiple of the core count so waves
+    are full; AQE then coalesces the many small shuffles of the aggregated
+    stages and splits skewed join partitions.
+    """
+    partitions = max(total_cores, -(-largest_shuffle_bytes // target_partition_bytes))
+    partitions = -(-partitions // total_cores) * total_cores
+    return {
+        **{k: v for k, v in RECOMMENDED_CONF.items() if k != "spark.ui.enabled"},
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(512 * 1024**2),
+        "spark.sql.parquet.filterPushdown": "true",
+    }
