@@ -6,20 +6,27 @@ worksheet, and returns a lazy DataFrame.
 
 Design rules applied throughout (the plans must hold at 100 TB):
 
-* **Aggregate before joining.**  Orders and deliveries are reduced to one row
-  per join key (with partial, map-side aggregation) before they meet a
-  dimension table.  COUNT and SUM are distributive, so the result is exact,
-  join fan-out included, and a customer, order or restaurant that holds a
-  third of all rows becomes one partial row per task instead of a hot
-  reducer.
-* **Fact side streams, unique side buffers.**  In the remaining joins the
-  left input is the larger one and the right input is unique on the key
-  (or small), which is what a sort-merge join buffers.
-* **No hints.**  Spark broadcasts a side only when its (estimated or, with
-  AQE, measured) size is under the configured threshold; otherwise it
-  shuffles.  The only explicit broadcasts are one-row aggregates.
+* **Small lookups are broadcast only after a checked row count.**  Q1's
+  named customers and the customers/restaurants lookups of Q3, Q4, Q6 and Q7
+  are counted first (one early-stopping job); under the bound they are
+  broadcast and the orders are filtered and joined where they are read, with
+  no shuffle of orders at all (:mod:`tiffin.operators.broadcast`,
+  :mod:`tiffin.operators.lookup`).
+* **Otherwise aggregate before joining.**  Facts are reduced to one row per
+  join key (partial, map-side aggregation) before they meet another table;
+  the aggregation's exchange is on the join key, so the join reuses it.
+  COUNT and SUM are distributive, so the result is exact, join fan-out
+  included, and a customer, order or restaurant holding a third of all rows
+  becomes one partial row per task instead of a hot reducer.  Deliveries are
+  always reduced per order this way for Q5, Q9 and Q11.
+* **Join first when the output key is tiny or the output is per row.**  Q13
+  aggregates to (rider, month) and Q10 emits every delivery: both join
+  deliveries to orders directly, deliveries streaming on the left (AQE
+  splits a hot order's partition) and orders, unique per id, buffered.
+* **Other broadcasts are one-row aggregates** (the NOT IN summary, Q12's
+  average); everything else is left to Spark's own size thresholds.
 * **Filters as ranges.**  Year and cut-off filters are written as date
-  ranges against literals, which Parquet can use to skip row groups.
+  ranges against literals, which Parquet uses to skip row groups.
 * **Exact arithmetic.**  Money is summed as DECIMAL(18,2); percentages are
   rounded with integer arithmetic (see :mod:`tiffin.functions.money`).
 """
