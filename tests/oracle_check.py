@@ -55,6 +55,11 @@ def rows_of(df: pd.DataFrame) -> list[tuple]:
     return sorted(out)
 
 
+# Spark type -> DuckDB type name, for the schema part of the comparison.
+TYPE_NAMES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+              "date": "DATE", "boolean": "BOOLEAN"}
+
+
 def compare(spark, con, key: str, sf_dir: str) -> tuple[bool, str]:
     import __spark_entry__ as E
 
@@ -64,7 +69,13 @@ def compare(spark, con, key: str, sf_dir: str) -> tuple[bool, str]:
     sql = E.oracle_sql().get(key)
     if sql is None:
         return True, f"{key}: no oracle, {len(sp)} rows"
-    dd = con.execute(sql).df()
+    rel = con.sql(sql)
+    duck_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    spark_types = {f.name: TYPE_NAMES.get(f.dataType.simpleString(), f.dataType.simpleString())
+                   for f in sdf.schema.fields}
+    if duck_types != spark_types:
+        return False, f"{key}: types {spark_types} vs {duck_types}"
+    dd = rel.df()
     dd = dd.astype(object).where(pd.notna(dd), None)
     if sorted(sp.columns) != sorted(dd.columns):
         return False, f"{key}: columns {sorted(sp.columns)} vs {sorted(dd.columns)}"

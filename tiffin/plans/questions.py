@@ -23,8 +23,9 @@ Design rules applied throughout (the plans must hold at 100 TB):
   aggregates to (rider, month) and Q10 emits every delivery: both join
   deliveries to orders directly, deliveries streaming on the left (AQE
   splits a hot order's partition) and orders, unique per id, buffered.
-* **Other broadcasts are one-row aggregates** (the NOT IN summary, Q12's
-  average); everything else is left to Spark's own size thresholds.
+* **One-row aggregates are scalar subqueries** (the NOT IN summary, Q12's
+  average), evaluated once and inlined: no join.  Everything else is left to
+  Spark's own size thresholds.
 * **Filters as ranges.**  Year and cut-off filters are written as date
   ranges against literals, which Parquet uses to skip row groups.
 * **Exact arithmetic.**  Money is summed as DECIMAL(18,2); percentages are
@@ -450,17 +451,17 @@ def q12_segments(t: Tables, multiple: float = 1) -> DataFrame:
         F.count("order_id").alias("n_orders"),
         F.count("total_amount").alias("n_amounts"),
     )
-    # The average over all orders: a global aggregate straight over the
-    # scan (each task sends one partial row), not over per_customer, whose
-    # shuffle Spark would then run twice.  One row, so the broadcast is bounded.
-    overall = t.orders.agg(
+    # The average over all orders: a scalar subquery (one global aggregate
+    # straight over the scan, each task sending one partial row), evaluated
+    # once and inlined into the comparison -- no join.
+    avg_amount = t.orders.agg(
         F.when(
             F.count("total_amount") > 0,
             exact_sum(F.col("total_amount")).cast("double") / F.count("total_amount").cast("double"),
         ).alias("avg_amount")
-    )
-    threshold = F.lit(float(multiple)) * F.col("avg_amount")
-    labelled = per_customer.crossJoin(F.broadcast(overall)).withColumn(
+    ).scalar()
+    threshold = F.lit(float(multiple)) * avg_amount
+    labelled = per_customer.withColumn(
         "category", F.when(F.col("spent") > threshold, F.lit(GOLD)).otherwise(F.lit(SILVER))
     )
     return labelled.groupBy("category").agg(
