@@ -28,7 +28,7 @@ def slot_label(seconds: Column, hours: int = 2) -> Column:
     """
     if hours <= 0 or 24 % hours:
         raise ValueError("slot width must divide 24 hours")
-    start = F.floor(seconds / F.lit(3600 * hours)).cast("bigint") * hours
+    start = F.floor(hour_of(seconds) / F.lit(hours)).cast("bigint") * hours
     end = (start + hours) % 24
     label = F.format_string("%02d:00 - %02d:00", start, end)
     inside = (seconds >= 0) & (seconds < SECONDS_PER_DAY)

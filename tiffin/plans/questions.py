@@ -41,7 +41,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiffin.functions import (
-    exact,
     exact_sum,
     in_any_year,
     in_year,
