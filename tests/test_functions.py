@@ -83,3 +83,37 @@ def test_cluster_conf_sizes_partitions():
     parts = int(conf["spark.sql.shuffle.partitions"])
     assert parts % 8000 == 0 and parts >= 4 * 1024**4 // (256 * 1024**2)
     assert conf["spark.sql.adaptive.enabled"] == "true"
+
+
+@pytest.mark.parametrize("method", ["dense", "rank", "row_number"])
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_distributed_rank_equals_window(spark, method, parts):
+    import random
+
+    from pyspark.sql import Window
+
+    from tiffin.operators.ranking import _RANKERS, distributed_rank, order_key
+
+    rng = random.Random(parts)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, 1.0, 2.0, 2.0, 3.0, 5.0, 8.0]), i)
+            for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, v double, id long")
+    got = distributed_rank(df, ["g"], "v", method, "r", num_partitions=parts)
+    w = Window.partitionBy("g").orderBy(order_key("v"), "id") if method == "row_number" else \
+        Window.partitionBy("g").orderBy(order_key("v"))
+    want = df.withColumn("r", _RANKERS[method]().over(w))
+    if method == "row_number":
+        # row numbers among ties are arbitrary; compare the multiset per (g, v)
+        key = lambda r: (str(r.g), str(r.v), r.r)
+        assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+    else:
+        assert sorted(map(tuple, got.select("id", "r").collect())) == \
+            sorted(map(tuple, want.select("id", "r").collect()))
+
+
+def test_distributed_rank_without_groups(spark):
+    from tiffin.operators.ranking import distributed_rank
+
+    df = spark.createDataFrame([(v,) for v in [5, 3, 3, None, 1, 5]], "v long")
+    got = [(r.v, r.r) for r in distributed_rank(df, [], "v", "dense", "r", num_partitions=3).collect()]
+    assert sorted(got, key=str) == sorted([(None, 1), (5, 2), (5, 2), (3, 3), (3, 3), (1, 4)], key=str)

@@ -17,6 +17,7 @@ import datetime as dt
 import random
 
 import duckdb
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -91,7 +92,6 @@ def test_random_tables_match_sql(spark, seed):
     failures = []
     for key, (job, params) in CATALOG.items():
         sdf = job(t, **{**params, **PARAMS.get(key, {})})
-        import pandas as pd
 
         got = pd.DataFrame([tuple(r) for r in sdf.collect()], columns=sdf.columns, dtype=object)
         want = con.execute(sqls[key]).df()
@@ -103,4 +103,18 @@ def test_random_tables_match_sql(spark, seed):
             got = pd.DataFrame([tuple(r) for r in sdf.collect()], columns=sdf.columns, dtype=object)
             if rows_of(got) != rows_of(want):
                 failures.append((key + " (shuffle plan)", rows_of(got)[:4], rows_of(want)[:4]))
+    # full rankings (keep_rank=None): the distributed rank against the SQL window
+    full = {k: {**PARAMS.get(k, {}), "keep_rank": None}
+            for k in ("q06_top_restaurant_by_city", "q07_top_dish_by_city")}
+    full_sql = oracle_sql(full, tables="WITH __none AS (SELECT 1)")
+    for key, override in full.items():
+        job, params = CATALOG[key]
+        for lookup_rows in (500_000, 0):
+            sdf = job(t, **{**params, **override, "lookup_rows": lookup_rows})
+            got = pd.DataFrame([tuple(r) for r in sdf.collect()], columns=sdf.columns, dtype=object)
+            want = con.execute(full_sql[key]).df()
+            want = want.astype(object).where(pd.notna(want), None)
+            if rows_of(got) != rows_of(want):
+                failures.append((key + f" (full ranking, lookup_rows={lookup_rows})",
+                                 rows_of(got)[:4], rows_of(want)[:4]))
     assert not failures, failures

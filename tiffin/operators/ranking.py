@@ -4,8 +4,13 @@
 ``WindowGroupLimit`` before the shuffle and a final one after it: each map
 task forwards only the rows that can still be in the top ``k`` ranks of their
 group, so a group holding a third of all rows does not move a third of all
-rows into one task.  That only happens for a literal bound; a full ranking
-(``k=None``) sorts every group.
+rows into one task.
+
+A full ranking (``k=None``) has no such cut: a window partitioned by the
+group would sort a hot group in one task.  :func:`distributed_rank` computes
+the same ranks from a range partitioning instead (local ranks per partition
+plus per-group offsets from the partitions before), so no task holds more
+than one range partition.
 """
 
 from __future__ import annotations
@@ -40,8 +45,67 @@ def keep_top_ranks(
 ) -> DataFrame:
     """Add ``rank_col`` (bigint) ranking rows within ``partition_by`` by
     ``order_by`` and keep ranks ``<= k`` (all rows when ``k`` is None)."""
+    if k is None:
+        return distributed_rank(df, partition_by, order_by, method, rank_col, descending)
     window = Window.partitionBy(*partition_by).orderBy(order_key(order_by, descending))
     ranked = df.withColumn(rank_col, _RANKERS[method]().over(window))
-    if k is not None:
-        ranked = ranked.filter(F.col(rank_col) <= F.lit(int(k)))
+    ranked = ranked.filter(F.col(rank_col) <= F.lit(int(k)))
     return ranked.withColumn(rank_col, F.col(rank_col).cast("bigint"))
+
+
+_PID = "__rank_pid"
+
+
+def distributed_rank(
+    df: DataFrame,
+    partition_by: Sequence[str],
+    order_by: str,
+    method: str = "dense",
+    rank_col: str = "rank1",
+    descending: bool = True,
+    num_partitions: int | None = None,
+) -> DataFrame:
+    """``rank``/``dense_rank``/``row_number`` over (``partition_by``,
+    ``order_by``) for every row, without putting a whole group in one task.
+
+    1. Range-partition by (group, value): each partition holds a contiguous
+       stretch of the sort order, and equal keys never straddle partitions
+       (the range partitioner sends equal keys to the same partition).
+    2. Rank locally within (partition, group) -- at most one partition's rows.
+    3. Per (partition, group), count rows and distinct values; a running sum
+       over the partitions before (a window over at most one row per
+       partition and group) gives the offsets to add.
+
+    The sizes branch re-reads ``df``; Spark reuses ``df``'s last shuffle
+    (for an aggregated input, its aggregation exchange), so only the range
+    exchange over ``df``'s rows runs twice.
+    """
+    groups = list(partition_by)
+    sort_key = order_key(order_by, descending)
+    parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *[F.col(g).asc_nulls_first() for g in groups], sort_key)
+    with_pid = ranged.withColumn(_PID, F.spark_partition_id())
+
+    local_window = Window.partitionBy(_PID, *groups).orderBy(sort_key)
+    local = with_pid.withColumn("__local", _RANKERS[method]().over(local_window))
+    if method == "rank":
+        # RANK counts the rows before; the offset is the rows of earlier partitions.
+        per_part = F.count(F.lit(1))
+    elif method == "dense":
+        per_part = F.count_distinct(F.col(order_by)) + F.max(F.col(order_by).isNull().cast("int"))
+    else:
+        per_part = F.count(F.lit(1))
+    sizes = with_pid.groupBy(_PID, *groups).agg(per_part.alias("__size"))
+    before = Window.partitionBy(*groups).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("__offset", F.coalesce(F.sum("__size").over(before), F.lit(0)))
+    # NULL is a group of its own, so the group columns are matched null-safely.
+    renamed = offsets.select(
+        F.col(_PID).alias("__o_pid"), *[F.col(g).alias(f"__o_{i}") for i, g in enumerate(groups)], "__offset"
+    )
+    cond = [F.col(_PID) == F.col("__o_pid")] + [
+        F.col(g).eqNullSafe(F.col(f"__o_{i}")) for i, g in enumerate(groups)
+    ]
+    ranked = local.join(renamed, cond, "inner")
+    return ranked.withColumn(rank_col, (F.col("__offset") + F.col("__local")).cast("bigint")).drop(
+        _PID, "__local", "__offset", "__o_pid", *[f"__o_{i}" for i in range(len(groups))]
+    )
