@@ -20,3 +20,19 @@ def test_incremental_time_slots_equal_batch(spark):
     got = sorted(collect(spark.read.parquet(out)), key=str)
     assert got == sorted(collect(Q.q02_time_slots(t)), key=str)
     assert sum(r[1] for r in got) == 1500
+
+
+def test_incremental_time_slots_resume_from_checkpoint(spark):
+    t = from_tpch(spark, SF001)
+    scratch = tempfile.mkdtemp(prefix="tiffin-stream-resume-")
+    src, out = os.path.join(scratch, "orders"), os.path.join(scratch, "slots")
+    name = f"resume_{os.path.basename(scratch)}"
+    first, second = t.orders.filter("order_id % 2 = 0"), t.orders.filter("order_id % 2 = 1")
+    first.write.parquet(os.path.join(src, "part=1"))
+    start_time_slots(spark, src, out, name=name).awaitTermination(300)
+    assert sum(r[1] for r in collect(spark.read.parquet(out))) == first.count()
+    # new files arrive; the restarted query reads only them and keeps its state
+    second.write.parquet(os.path.join(src, "part=2"))
+    start_time_slots(spark, src, out, name=name).awaitTermination(300)
+    got = sorted(collect(spark.read.parquet(out)), key=str)
+    assert got == sorted(collect(Q.q02_time_slots(t)), key=str)
