@@ -33,8 +33,29 @@ NULL_AMOUNT_EVERY = 103
 NULL_TIME_EVERY = 107
 
 
-def read_tpch(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+# The input columns the derivation reads, with the types the
+# test tables have (FIXTURES section 2).  Declaring them skips Spark's schema
+# inference -- a footer-reading job per table per query -- and makes the
+# Parquet scan read exactly these columns.
+INPUT_SCHEMAS = {
+    "customer": "c_custkey bigint, c_name string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "nation": "n_nationkey int, n_name string",
+    "part": "p_partkey bigint, p_name string",
+    "orders": ("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+               "o_orderdate timestamp_ntz"),
+    "lineitem": ("l_orderkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                 "l_returnflag string"),
+}
+
+
+def read_tpch(spark: SparkSession, sf_dir: str, name: str, infer_schema: bool = False) -> DataFrame:
+    """One input table; with ``infer_schema`` the file's own schema is used
+    (for inputs whose types differ from ``INPUT_SCHEMAS``)."""
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    if infer_schema:
+        return spark.read.parquet(path)
+    return spark.read.schema(INPUT_SCHEMAS[name]).parquet(path)
 
 
 def derive_customers(customer: DataFrame) -> DataFrame:
