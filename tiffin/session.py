@@ -59,9 +59,13 @@ _LOCAL_KEY = "tiffin.local.checkpoint.dir"
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the configured checkpoint folder; only when none is configured
-    (a local test run) create a private scratch folder for it."""
+    *and* the session is local (a test run) create a private scratch folder.
+    On a cluster a machine-local folder would be invisible to the executors,
+    so a missing ``spark.checkpoint.dir`` is an error there."""
     root = checkpoint_root(spark)
     if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         root = tempfile.mkdtemp(prefix="tiffin-ckpt-")
         spark.conf.set(_LOCAL_KEY, root)
     if spark.sparkContext.getCheckpointDir() is None:
