@@ -35,3 +35,21 @@ def test_read_tables_widens_int_keys(spark):
         .write.parquet(os.path.join(root, "customers"))
     df = read_tables(spark, root).customers
     assert df.schema["customer_id"].dataType.simpleString() == "bigint"
+
+
+def test_cli_runs_a_job_and_writes(spark, capsys):
+    from tiffin.__main__ import main
+
+    out = os.path.join(tempfile.mkdtemp(prefix="tiffin-cli-"), "q02")
+    assert main(["run", "q02_time_slots", "--tpch", SF001, "--out", out], spark=spark) == 0
+    assert sum(r.order_count for r in spark.read.parquet(out).collect()) == 1500
+    assert main(["list"]) == 0
+    assert "q13_rider_earnings share=0.08" in capsys.readouterr().out
+
+
+def test_register_views_for_sql(spark):
+    from tiffin.sources import register_views
+
+    register_views(from_tpch(spark, SF001), prefix="t_")
+    n = spark.sql("SELECT COUNT(*) AS n FROM t_orders o JOIN t_deliveries d USING (order_id)").first().n
+    assert n == 6000

@@ -2,6 +2,15 @@
 
 from tiffin.sources.derive import from_tpch
 from tiffin.sources.schemas import SCHEMAS
-from tiffin.sources.tables import TABLE_NAMES, Tables, conform, materialize, read_tables, write_tables
+from tiffin.sources.tables import (
+    TABLE_NAMES,
+    Tables,
+    conform,
+    materialize,
+    read_tables,
+    register_views,
+    write_tables,
+)
 
-__all__ = ["SCHEMAS", "TABLE_NAMES", "Tables", "conform", "from_tpch", "materialize", "read_tables", "write_tables"]
+__all__ = ["SCHEMAS", "TABLE_NAMES", "Tables", "conform", "from_tpch", "materialize", "read_tables", "register_views",
+           "write_tables"]

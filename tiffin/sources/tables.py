@@ -121,3 +121,13 @@ def materialize(df: DataFrame, name: str, spark: SparkSession | None = None) ->
     path = os.path.join(root, "tiffin", f"{name}-{uuid.uuid4().hex}")
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
+
+
+def register_views(tables: Tables, prefix: str = "") -> list[str]:
+    """Register the five tables as temporary views (``customers``,
+    ``orders``, ...) for ad-hoc ``spark.sql`` next to the catalogue jobs."""
+    names = []
+    for name, df in tables.as_dict().items():
+        df.createOrReplaceTempView(prefix + name)
+        names.append(prefix + name)
+    return names
