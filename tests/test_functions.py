@@ -117,3 +117,30 @@ def test_distributed_rank_without_groups(spark):
     df = spark.createDataFrame([(v,) for v in [5, 3, 3, None, 1, 5]], "v long")
     got = [(r.v, r.r) for r in distributed_rank(df, [], "v", "dense", "r", num_partitions=3).collect()]
     assert sorted(got, key=str) == sorted([(None, 1), (5, 2), (5, 2), (3, 3), (3, 3), (1, 4)], key=str)
+
+
+def test_slot_label_equals_the_twelve_branch_case_for_every_second(spark):
+    # The original buckets EXTRACT(HOUR) with twelve BETWEEN branches and no
+    # ELSE; compare with the integer-division form for 00:00:00 .. 24:00:00.
+    branches = " ".join(
+        f"WHEN floor(s / 3600) BETWEEN {h} AND {h + 1} THEN '{h:02d}:00 - {(h + 2) % 24:02d}:00'"
+        for h in range(0, 24, 2)
+    )
+    df = spark.range(0, 86401).withColumnRenamed("id", "s")
+    df = df.select(slot_label(F.col("s")).alias("ours"), F.expr(f"CASE {branches} END").alias("case"))
+    assert df.filter(~F.col("ours").eqNullSafe(F.col("case"))).count() == 0
+
+
+def test_rounded_ratio_matches_decimal_half_away_from_zero(spark):
+    import random
+    from decimal import ROUND_HALF_UP, Decimal
+
+    rng = random.Random(7)
+    cases = [(rng.randrange(-10**9, 10**9), rng.randrange(1, 10**7)) for _ in range(2000)]
+    cases += [(n, d) for d in (8, 16, 32, 40, 80, 160, 200, 20000) for n in range(-50, 51)]
+    df = spark.createDataFrame(cases, "n long, d long")
+    got = {(r.n, r.d): r.v for r in
+           df.select("n", "d", rounded_ratio(F.col("n"), F.col("d"), multiplier=100).alias("v")).collect()}
+    for n, d in cases:
+        want = float((Decimal(n) * 100 / Decimal(d)).quantize(Decimal("0.01"), rounding=ROUND_HALF_UP))
+        assert got[(n, d)] == want, (n, d)

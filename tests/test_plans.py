@@ -102,3 +102,18 @@ def test_lookup_rollup_picks_plan_by_checked_size(spark, rows, join):
     shuffled_on_key = re.search(r"hashpartitioning\(restaurant_id", text) is not None
     # broadcast plan: orders never shuffled on the join key; shuffle plan: they are
     assert shuffled_on_key == (join == "SortMergeJoin")
+
+
+@pytest.mark.parametrize("key", ["q05_undelivered", "q09_cancellation_rate", "q10_delivery_minutes",
+                                 "q11_monthly_growth", "q13_rider_earnings"])
+def test_deliveries_meet_orders_with_one_shuffle_per_side(spark, key):
+    # With broadcasts off (the 100 TB shape), exactly two exchanges on
+    # order_id: one for deliveries (after map-side counting where it applies)
+    # and one for orders; the join reuses them.
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan_text(E.queries()[key](spark, SF01))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert len(re.findall(r"Arguments: hashpartitioning\(order_id#\d+L?, \d+\)", text)) == 2, key

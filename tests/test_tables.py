@@ -53,3 +53,16 @@ def test_register_views_for_sql(spark):
     register_views(from_tpch(spark, SF001), prefix="t_")
     n = spark.sql("SELECT COUNT(*) AS n FROM t_orders o JOIN t_deliveries d USING (order_id)").first().n
     assert n == 6000
+
+
+def test_cli_report_writes_every_question(spark):
+    from tiffin.__main__ import main
+
+    out = tempfile.mkdtemp(prefix="tiffin-cli-report-")
+    args = ["report", "--tpch", SF001, "--out", out, "--param", "as_of=2001-08-01",
+            "--param", "customer_name=Customer#000000005", "--param", "previous_year=2000",
+            "--param", "current_year=2001"]
+    assert main(args, spark=spark) == 0
+    written = sorted(os.listdir(out))
+    assert "q13_rider_earnings" in written and "q05_undelivered" in written and len(written) == 19
+    assert spark.read.parquet(os.path.join(out, "q09_cancellation_rate")).count() == 10

@@ -4,6 +4,8 @@
     python -m tiffin run q06_top_restaurant_by_city --tables /data/marketplace \\
         --param as_of=2024-06-30 --out /data/reports/q06
     python -m tiffin run q02_time_slots --tpch /root/testdata/sf0.01 --show 20
+    python -m tiffin report --tables /data/marketplace --out /data/reports \
+        --param as_of=2024-06-30
 
 ``--tables`` reads ``customers/ restaurants/ orders/ riders/ deliveries/``
 (Parquet); ``--tpch`` derives them from TPC-H-style inputs.  Without
@@ -45,6 +47,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     run.add_argument("--param", action="append", default=[], metavar="NAME=VALUE")
     run.add_argument("--out", help="write the result here as Parquet (overwrite)")
     run.add_argument("--show", type=int, default=20, help="rows to show when not writing")
+    rep = sub.add_parser("report", help="run every question in one batch (shared order facts)")
+    rsrc = rep.add_mutually_exclusive_group(required=True)
+    rsrc.add_argument("--tables")
+    rsrc.add_argument("--tpch")
+    rep.add_argument("--param", action="append", default=[], metavar="NAME=VALUE")
+    rep.add_argument("--out", required=True, help="folder; each result goes to <out>/<key>")
     args = parser.parse_args(argv)
 
     if args.command == "list":
@@ -54,10 +62,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
 
     from tiffin.sources import from_tpch, read_tables
 
-    spark = spark or SparkSession.builder.appName(f"tiffin {args.key}").getOrCreate()
+    spark = spark or SparkSession.builder.appName(f"tiffin {args.command}").getOrCreate()
     tables = read_tables(spark, args.tables) if args.tables else from_tpch(spark, args.tpch)
-    job, params = CATALOG[args.key]
     overrides = dict(p.split("=", 1) for p in args.param)
+    if args.command == "report":
+        from tiffin.plans.report import report, write_report
+
+        write_report(report(tables, **{k: _value(v) for k, v in overrides.items()}), args.out)
+        return 0
+    job, params = CATALOG[args.key]
     df = job(tables, **{**params, **{k: _value(v) for k, v in overrides.items()}})
     if args.out:
         df.write.mode("overwrite").parquet(args.out)
