@@ -76,15 +76,22 @@ def distributed_rank(
        over the partitions before (a window over at most one row per
        partition and group) gives the offsets to add.
 
-    The sizes branch re-reads ``df``; Spark reuses ``df``'s last shuffle
-    (for an aggregated input, its aggregation exchange), so only the range
-    exchange over ``df``'s rows runs twice.
+    Both the local ranks and the offsets depend on which partition a row
+    landed in, so the partition ids must be the same for both: the
+    range-partitioned rows are checkpointed (to the shared
+    ``spark.checkpoint.dir``) with their ids, once.  Two separate range
+    exchanges could sample different bounds; a checkpoint cannot change, and
+    a lost executor re-reads it instead of re-partitioning.
     """
+    from tiffin.session import ensure_checkpoint_dir
+
     groups = list(partition_by)
     sort_key = order_key(order_by, descending)
-    parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = df.sparkSession
+    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(parts, *[F.col(g).asc_nulls_first() for g in groups], sort_key)
-    with_pid = ranged.withColumn(_PID, F.spark_partition_id())
+    ensure_checkpoint_dir(spark)
+    with_pid = ranged.withColumn(_PID, F.spark_partition_id()).checkpoint(eager=True)
 
     local_window = Window.partitionBy(_PID, *groups).orderBy(sort_key)
     local = with_pid.withColumn("__local", _RANKERS[method]().over(local_window))
