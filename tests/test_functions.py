@@ -144,3 +144,21 @@ def test_rounded_ratio_matches_decimal_half_away_from_zero(spark):
     for n, d in cases:
         want = float((Decimal(n) * 100 / Decimal(d)).quantize(Decimal("0.01"), rounding=ROUND_HALF_UP))
         assert got[(n, d)] == want, (n, d)
+
+
+def test_keep_top_ranks_above_group_limit_threshold(spark):
+    from tiffin.operators import keep_top_ranks
+
+    df = spark.createDataFrame([("a", i % 50) for i in range(200)] + [("b", 1)], "g string, v long")
+    old = spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "3")
+    try:
+        got = keep_top_ranks(df, ["g"], "v", 5, method="dense")
+        text = got._jdf.queryExecution().executedPlan().toString()
+        rows = got.collect()
+    finally:
+        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", old)
+    assert "__rank_pid" in text  # the distributed path (range partitions, checkpointed)
+    assert sorted({(r.g, r.v, r.rank1) for r in rows}) == sorted(
+        [("a", 49 - i, i + 1) for i in range(5)] + [("b", 1, 1)])
+    assert len(rows) == 5 * 4 + 1

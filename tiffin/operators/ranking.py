@@ -47,6 +47,11 @@ def keep_top_ranks(
     ``order_by`` and keep ranks ``<= k`` (all rows when ``k`` is None)."""
     if k is None:
         return distributed_rank(df, partition_by, order_by, method, rank_col, descending)
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if k > limit:
+        # Catalyst adds no WindowGroupLimit above the threshold: rank distributed, then cut.
+        ranked = distributed_rank(df, partition_by, order_by, method, rank_col, descending)
+        return ranked.filter(F.col(rank_col) <= F.lit(int(k)))
     window = Window.partitionBy(*partition_by).orderBy(order_key(order_by, descending))
     ranked = df.withColumn(rank_col, _RANKERS[method]().over(window))
     ranked = ranked.filter(F.col(rank_col) <= F.lit(int(k)))
