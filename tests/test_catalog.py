@@ -1,0 +1,45 @@
+"""Co-bucketed orders and deliveries: the order_id joins need no shuffle."""
+
+from __future__ import annotations
+
+import io
+import re
+from contextlib import redirect_stdout
+
+import pytest
+
+from tests.conftest import SF001, collect
+from tiffin.plans import questions as Q
+from tiffin.sources import from_tpch, read_catalog_tables, write_catalog_tables
+
+
+def plan(df) -> str:
+    buf = io.StringIO()
+    with redirect_stdout(buf):
+        df.explain()
+    return buf.getvalue()
+
+
+@pytest.fixture(scope="module")
+def bucketed(spark):
+    write_catalog_tables(from_tpch(spark, SF001), "tiffin_test", buckets=4)
+    return read_catalog_tables(spark, "tiffin_test")
+
+
+@pytest.mark.parametrize("job", [Q.q10_delivery_minutes, Q.q13_rider_earnings, Q.q05_undelivered,
+                                 Q.q11_monthly_growth])
+def test_order_joins_skip_the_shuffle(spark, bucketed, job):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(job(bucketed))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin [order_id" in text
+    assert not re.search(r"Exchange hashpartitioning\(order_id", text), text
+
+
+def test_bucketed_tables_give_the_same_answers(spark, bucketed):
+    t = from_tpch(spark, SF001)
+    for job in (Q.q05_undelivered, Q.q10_delivery_minutes, Q.q11_monthly_growth, Q.q13_rider_earnings):
+        assert sorted(collect(job(bucketed)), key=str) == sorted(collect(job(t)), key=str), job.__name__

@@ -35,6 +35,8 @@ def local_session(
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app_name)
     conf = dict(RECOMMENDED_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    # catalog tables of a local run go to a scratch folder, not the cwd
+    conf["spark.sql.warehouse.dir"] = tempfile.mkdtemp(prefix="tiffin-warehouse-")
     conf.update(extra_conf or {})
     for key, value in conf.items():
         builder = builder.config(key, value)

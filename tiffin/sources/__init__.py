@@ -1,5 +1,6 @@
 """Table schemas, loading/writing, and the TPC-H derivation used in tests."""
 
+from tiffin.sources.catalog import read_catalog_tables, write_catalog_tables
 from tiffin.sources.derive import from_tpch
 from tiffin.sources.schemas import SCHEMAS
 from tiffin.sources.tables import (
@@ -12,5 +13,5 @@ from tiffin.sources.tables import (
     write_tables,
 )
 
-__all__ = ["SCHEMAS", "TABLE_NAMES", "Tables", "conform", "from_tpch", "materialize", "read_tables", "register_views",
-           "write_tables"]
+__all__ = ["SCHEMAS", "TABLE_NAMES", "Tables", "conform", "from_tpch", "materialize", "read_catalog_tables",
+           "read_tables", "register_views", "write_catalog_tables", "write_tables"]
