@@ -27,7 +27,7 @@ def bucketed(spark):
 
 
 @pytest.mark.parametrize("job", [Q.q10_delivery_minutes, Q.q13_rider_earnings, Q.q05_undelivered,
-                                 Q.q11_monthly_growth])
+                                 Q.q11_monthly_growth, Q.q09_cancellation_rate])
 def test_order_joins_skip_the_shuffle(spark, bucketed, job):
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
