@@ -43,3 +43,10 @@ def test_bucketed_tables_give_the_same_answers(spark, bucketed):
     t = from_tpch(spark, SF001)
     for job in (Q.q05_undelivered, Q.q10_delivery_minutes, Q.q11_monthly_growth, Q.q13_rider_earnings):
         assert sorted(collect(job(bucketed)), key=str) == sorted(collect(job(t)), key=str), job.__name__
+
+
+def test_cli_reads_the_catalog(spark, bucketed, capsys):
+    from tiffin.__main__ import main
+
+    assert main(["run", "q02_time_slots", "--catalog", "tiffin_test", "--show", "3"], spark=spark) == 0
+    assert "time_slot" in capsys.readouterr().out

@@ -8,7 +8,8 @@
         --param as_of=2024-06-30
 
 ``--tables`` reads ``customers/ restaurants/ orders/ riders/ deliveries/``
-(Parquet); ``--tpch`` derives them from TPC-H-style inputs.  Without
+(Parquet); ``--catalog`` reads the co-bucketed catalog tables of
+:mod:`tiffin.sources.catalog`; ``--tpch`` derives them from TPC-H-style inputs.  Without
 ``--out`` the first rows are shown.  ``--param`` overrides a job parameter
 (values are parsed as int, float, ``None`` or dates where they look like one).
 """
@@ -44,6 +45,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     src = run.add_mutually_exclusive_group(required=True)
     src.add_argument("--tables", help="folder with the five tables as Parquet")
     src.add_argument("--tpch", help="folder with TPC-H-style inputs to derive them from")
+    src.add_argument("--catalog", help="database written by write_catalog_tables (co-bucketed)")
     run.add_argument("--param", action="append", default=[], metavar="NAME=VALUE")
     run.add_argument("--out", help="write the result here as Parquet (overwrite)")
     run.add_argument("--show", type=int, default=20, help="rows to show when not writing")
@@ -51,6 +53,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     rsrc = rep.add_mutually_exclusive_group(required=True)
     rsrc.add_argument("--tables")
     rsrc.add_argument("--tpch")
+    rsrc.add_argument("--catalog")
     rep.add_argument("--param", action="append", default=[], metavar="NAME=VALUE")
     rep.add_argument("--out", required=True, help="folder; each result goes to <out>/<key>")
     args = parser.parse_args(argv)
@@ -60,10 +63,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             print(key, " ".join(f"{k}={v}" for k, v in params.items()))
         return 0
 
-    from tiffin.sources import from_tpch, read_tables
+    from tiffin.sources import from_tpch, read_catalog_tables, read_tables
 
     spark = spark or SparkSession.builder.appName(f"tiffin {args.command}").getOrCreate()
-    tables = read_tables(spark, args.tables) if args.tables else from_tpch(spark, args.tpch)
+    if args.tables:
+        tables = read_tables(spark, args.tables)
+    elif args.catalog:
+        tables = read_catalog_tables(spark, args.catalog)
+    else:
+        tables = from_tpch(spark, args.tpch)
     overrides = dict(p.split("=", 1) for p in args.param)
     if args.command == "report":
         from tiffin.plans.report import report, write_report
