@@ -4,10 +4,17 @@ Spark's own size check uses *estimated* sizes: for a filtered dimension
 (``customers WHERE customer_name = ?``) the estimate is the whole table, so a
 join against a handful of rows is planned as a shuffle of the large side.
 Adaptive execution can switch to a broadcast only after both shuffles have
-been written.  ``broadcast_if_small`` checks the real row count first (one
-small job that stops at ``max_rows + 1`` rows) and adds the broadcast hint
-only when the bound holds; otherwise the DataFrame is returned unchanged and
-the planner keeps its shuffle join.
+been written.  ``broadcast_if_small`` checks the real row count first and
+adds the broadcast hint only when the bound holds; otherwise the DataFrame is
+returned unchanged and the planner keeps its shuffle join.
+
+The check is a plain global count: every task counts its rows and sends one
+partial count, so nothing but one row per task moves, whatever the size.
+(``limit(n + 1).count()`` would look cheaper but gathers up to ``n + 1``
+rows from *every* partition into a single task -- exactly wrong for the
+large lookups the check exists to reject.)  The count scans only the columns
+the lookup's filters need, a small cost next to the facts it keeps from
+being shuffled.
 """
 
 from __future__ import annotations
@@ -19,8 +26,8 @@ DEFAULT_MAX_ROWS = 200_000
 
 
 def is_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """True when ``df`` has at most ``max_rows`` rows (one global count)."""
+    return df.count() <= max_rows
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:

@@ -8,7 +8,7 @@ Design rules applied throughout (the plans must hold at 100 TB):
 
 * **Small lookups are broadcast only after a checked row count.**  Q1's
   named customers and the customers/restaurants lookups of Q3, Q4, Q6 and Q7
-  are counted first (one early-stopping job); under the bound they are
+  are counted first (one global count job); under the bound they are
   broadcast and the orders are filtered and joined where they are read, with
   no shuffle of orders at all (:mod:`tiffin.operators.broadcast`,
   :mod:`tiffin.operators.lookup`).
