@@ -27,6 +27,7 @@ from tiffin.sources import SCHEMAS, Tables
 from tiffin.sql_oracle import oracle_sql
 
 PARAMS = {
+    "q02_time_slots": {"hours": 3},  # the sf0.01 oracle test covers the default 2
     "q03_avg_order_value": {"min_orders": 3},
     "q04_high_spenders": {"min_total": 300},
     "q06_top_restaurant_by_city": {"keep_rank": 2},
