@@ -49,8 +49,10 @@ def local_session(
 def checkpoint_root(spark: SparkSession) -> str | None:
     """The shared folder the cluster names in ``spark.checkpoint.dir``
     (or the scratch folder a test session was given instead)."""
-    conf = spark.sparkContext.getConf()
-    value = conf.get("spark.checkpoint.dir", None)
+    try:
+        value = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    except Exception:  # Spark Connect sessions have no SparkContext
+        value = spark.conf.get("spark.checkpoint.dir", None)
     if not value:
         value = spark.conf.get(_LOCAL_KEY, None)
     return value or None
@@ -65,13 +67,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster a machine-local folder would be invisible to the executors,
     so a missing ``spark.checkpoint.dir`` is an error there."""
     root = checkpoint_root(spark)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server owns the checkpoint folder
+        if root is None:
+            raise RuntimeError("set spark.checkpoint.dir on the Spark Connect server") from None
+        return root
     if root is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         root = tempfile.mkdtemp(prefix="tiffin-ckpt-")
         spark.conf.set(_LOCAL_KEY, root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(root)
     return root
 
 
