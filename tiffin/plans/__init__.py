@@ -1,4 +1,5 @@
-"""The job catalogue: scans, quality audits and the business questions."""
+"""The job catalogue: scans, quality audits, the business questions and the
+batch report (:mod:`tiffin.plans.report`)."""
 
 from tiffin.plans import checks, questions
 from tiffin.plans.catalog import CATALOG, query_functions, run

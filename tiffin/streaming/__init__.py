@@ -1,7 +1,7 @@
-"""Incremental runs of the catalogue over a stream of order files.
+"""Incremental run of a catalogue job over a stream of order files.
 
 The original worksheet has no streaming, watermark or event-time window; the
-questions are batch queries.  This package only re-runs the *same* job
-functions on a file stream (see :mod:`tiffin.streaming.incremental`), for
+questions are batch queries.  This package only re-runs the *same* Q2 job
+function on a file stream (see :mod:`tiffin.streaming.incremental`), for
 users who receive orders as a growing folder of Parquet files.
 """
