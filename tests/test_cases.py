@@ -196,6 +196,9 @@ def test_report_matches_standalone_questions(spark):
                   active_year=2000, absent_year=2001, previous_year=2000, current_year=2001)
     shared = report(t, **params)
     alone = {
+        "q03_avg_order_value": Q.q03_avg_order_value(t, 15),
+        "q04_high_spenders": Q.q04_high_spenders(t, 4_000_000),
+        "q12_segments": Q.q12_segments(t),
         "q05_undelivered": Q.q05_undelivered(t),
         "q09_cancellation_rate": Q.q09_cancellation_rate(t, 2000, 2001),
         "q11_monthly_growth": Q.q11_monthly_growth(t),

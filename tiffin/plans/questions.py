@@ -214,6 +214,56 @@ def rider_earnings(delivered_orders: DataFrame, share: str | float | Decimal) ->
     ).orderBy(F.col("rider_id").asc_nulls_last(), F.col("month1").asc_nulls_last())
 
 
+def customer_facts(orders: DataFrame) -> DataFrame:
+    """Orders reduced to one row per ``customer_id``: ``n_orders``
+    (COUNT(order_id)), ``spent`` (exact SUM of amounts) and ``n_amounts``
+    (COUNT(total_amount)).  Q3, Q4 and Q12 can all be answered from it."""
+    return orders.groupBy("customer_id").agg(
+        F.count("order_id").alias("n_orders"),
+        exact_sum(F.col("total_amount")).alias("spent"),
+        F.count("total_amount").alias("n_amounts"),
+    )
+
+
+def totals_per_name_from_facts(
+    facts: DataFrame, customers: DataFrame, lookup_rows: int = DEFAULT_LOOKUP_ROWS
+) -> DataFrame:
+    """Per customer *name*: total_orders, spent, n_amounts, from customer facts."""
+    return rollup_through_lookup(
+        facts,
+        customers.select("customer_id", "customer_name"),
+        "customer_id",
+        ["customer_name"],
+        {"total_orders": F.sum("n_orders"), "spent": F.sum("spent"), "n_amounts": F.sum("n_amounts")},
+        lookup_rows,
+    )
+
+
+def avg_order_value_from_totals(per_name: DataFrame, min_orders: int) -> DataFrame:
+    """Q3 core over per-name totals."""
+    kept = per_name.filter(F.col("total_orders") > F.lit(min_orders))
+    avg = F.when(F.col("n_amounts") > 0, _money("spent") / F.col("n_amounts").cast("double"))
+    return kept.select("customer_name", "total_orders", avg.alias("avg_money"))
+
+
+def high_spenders_from_totals(per_name: DataFrame, min_total: float) -> DataFrame:
+    """Q4 core over per-name totals."""
+    kept = per_name.filter(F.col("spent") > F.lit(min_total))
+    return kept.select("customer_name", _money("spent").alias("total_money"))
+
+
+def segments_from_facts(facts: DataFrame, multiple: float, avg_amount: F.Column) -> DataFrame:
+    """Q12 core over customer facts and the average order amount (a scalar)."""
+    threshold = F.lit(float(multiple)) * avg_amount
+    labelled = facts.withColumn(
+        "category", F.when(F.col("spent") > threshold, F.lit(GOLD)).otherwise(F.lit(SILVER))
+    )
+    return labelled.groupBy("category").agg(
+        F.sum("n_orders").cast("bigint").alias("total_orders"),
+        F.sum("spent").cast("double").alias("total_spent"),
+    )
+
+
 def _money(col: str) -> F.Column:
     return F.col(col).cast("double")
 
@@ -293,9 +343,7 @@ def q03_avg_order_value(
 
     Output: customer_name, total_orders, avg_money.
     """
-    per_name = _totals_per_customer_name(t, lookup_rows).filter(F.col("total_orders") > F.lit(min_orders))
-    avg = F.when(F.col("n_amounts") > 0, _money("spent") / F.col("n_amounts").cast("double"))
-    return per_name.select("customer_name", "total_orders", avg.alias("avg_money"))
+    return avg_order_value_from_totals(_totals_per_customer_name(t, lookup_rows), min_orders)
 
 
 def q04_high_spenders(
@@ -305,8 +353,7 @@ def q04_high_spenders(
 
     Output: customer_name, total_money.
     """
-    per_name = _totals_per_customer_name(t, lookup_rows).filter(F.col("spent") > F.lit(min_total))
-    return per_name.select("customer_name", _money("spent").alias("total_money"))
+    return high_spenders_from_totals(_totals_per_customer_name(t, lookup_rows), min_total)
 
 
 def q05_undelivered(t: Tables) -> DataFrame:
@@ -450,11 +497,6 @@ def q12_segments(t: Tables, multiple: float = 1) -> DataFrame:
 
     Output: category, total_orders, total_spent.
     """
-    per_customer = t.orders.groupBy("customer_id").agg(
-        exact_sum(F.col("total_amount")).alias("spent"),
-        F.count("order_id").alias("n_orders"),
-        F.count("total_amount").alias("n_amounts"),
-    )
     # The average over all orders: a scalar subquery (one global aggregate
     # straight over the scan, each task sending one partial row), evaluated
     # once and inlined into the comparison -- no join.
@@ -464,18 +506,7 @@ def q12_segments(t: Tables, multiple: float = 1) -> DataFrame:
             exact_sum(F.col("total_amount")).cast("double") / F.count("total_amount").cast("double"),
         ).alias("avg_amount")
     ).scalar()
-    threshold = F.lit(float(multiple)) * avg_amount
-    labelled = per_customer.withColumn(
-        "category", F.when(F.col("spent") > threshold, F.lit(GOLD)).otherwise(F.lit(SILVER))
-    )
-    return labelled.groupBy("category").agg(
-        F.sum("n_orders").cast("bigint").alias("total_orders"),
-        _money_sum("spent").alias("total_spent"),
-    )
-
-
-def _money_sum(col: str) -> F.Column:
-    return F.sum(col).cast("double")
+    return segments_from_facts(customer_facts(t.orders), multiple, avg_amount)
 
 
 def q13_rider_earnings(t: Tables, share: str | float | Decimal = DEFAULT_RIDER_SHARE) -> DataFrame:

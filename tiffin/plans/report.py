@@ -1,11 +1,16 @@
 """All questions in one batch, sharing the order-delivery facts.
 
-Q5, Q9 and Q11 all join orders with per-order delivery counts on
-``order_id``.  Run one by one, each shuffles both tables.  The report
-instead aggregates deliveries once per order, joins them to orders once,
-writes that fact table as Parquet to the shared checkpoint folder and
-answers the three questions from it; the other questions (Q10 and Q13 need
-one row per delivery) read the base tables as usual.
+Two fact tables are built once, written as Parquet to the shared checkpoint
+folder, and shared:
+
+* order facts -- orders joined to per-order delivery counts -- answer Q5,
+  Q9 and Q11, which run one by one would each shuffle deliveries and orders;
+* customer facts -- orders counted and summed per customer -- answer Q3, Q4
+  and Q12 (its average order amount included: the exact per-customer sums
+  add up to the exact total), which would each scan and aggregate orders.
+
+The other questions read the base tables as usual (Q10 and Q13 need one row
+per delivery).
 """
 
 from __future__ import annotations
@@ -15,6 +20,7 @@ import os
 from decimal import Decimal
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tiffin.plans import checks
 from tiffin.plans import questions as Q
@@ -50,8 +56,17 @@ def report(
     (the only eager step); without it the four questions share only the plan.
     """
     facts = shared_order_facts(t, status)
+    per_customer = Q.customer_facts(t.orders)
     if materialize_facts:
         facts = materialize(facts, "order_facts")
+        per_customer = materialize(per_customer, "customer_facts")
+    per_name = Q.totals_per_name_from_facts(per_customer, t.customers)
+    avg_amount = per_customer.agg(
+        F.when(
+            F.sum("n_amounts") > 0,
+            F.sum("spent").cast("double") / F.sum("n_amounts").cast("double"),
+        ).alias("avg_amount")
+    ).scalar()
     return {
         "null_count_customers": checks.null_count_customers(t),
         "null_count_restaurants": checks.null_count_restaurants(t),
@@ -61,8 +76,8 @@ def report(
         "length_audit": checks.varchar_audit(t),
         "q01_top_dishes": Q.q01_top_dishes(t, customer_name, as_of, years, k),
         "q02_time_slots": Q.q02_time_slots(t),
-        "q03_avg_order_value": Q.q03_avg_order_value(t, min_orders),
-        "q04_high_spenders": Q.q04_high_spenders(t, min_total),
+        "q03_avg_order_value": Q.avg_order_value_from_totals(per_name, min_orders),
+        "q04_high_spenders": Q.high_spenders_from_totals(per_name, min_total),
         "q05_undelivered": Q.undelivered_from_facts(facts, t.restaurants),
         "q06_top_restaurant_by_city": Q.q06_top_restaurant_by_city(t, as_of, years),
         "q07_top_dish_by_city": Q.q07_top_dish_by_city(t),
@@ -70,7 +85,7 @@ def report(
         "q09_cancellation_rate": Q.cancellation_from_facts(facts, previous_year, current_year),
         "q10_delivery_minutes": Q.q10_delivery_minutes(t, status),
         "q11_monthly_growth": Q.growth_from_facts(facts),
-        "q12_segments": Q.q12_segments(t, multiple),
+        "q12_segments": Q.segments_from_facts(per_customer, multiple, avg_amount),
         "q13_rider_earnings": Q.q13_rider_earnings(t, share),
     }
 
