@@ -162,3 +162,17 @@ def test_keep_top_ranks_above_group_limit_threshold(spark):
     assert sorted({(r.g, r.v, r.rank1) for r in rows}) == sorted(
         [("a", 49 - i, i + 1) for i in range(5)] + [("b", 1, 1)])
     assert len(rows) == 5 * 4 + 1
+
+
+@pytest.mark.parametrize("left_name,right_name", list(itertools.product(LEFTS, SETS)))
+def test_q08_matches_sql_not_in(spark, make_tables, left_name, right_name):
+    from tiffin.plans import questions as Q
+
+    orders = [(i, c, 1, "x", D(2023, 3, 1), T(12), "F", 1.0) for i, c in enumerate(LEFTS[left_name])]
+    orders += [(100 + i, c, 1, "x", D(2024, 3, 1), T(12), "F", 1.0) for i, c in enumerate(SETS[right_name])]
+    t = make_tables(orders=orders)
+    ours = sorted((r.customer_id for r in Q.q08_lapsed_customers(t, 2023, 2024).collect()), key=str)
+    t.orders.createOrReplaceTempView("q8_orders")
+    sql = spark.sql("""SELECT DISTINCT customer_id FROM q8_orders WHERE year(order_date) = 2023
+                       AND customer_id NOT IN (SELECT customer_id FROM q8_orders WHERE year(order_date) = 2024)""")
+    assert ours == sorted((r.customer_id for r in sql.collect()), key=str)
