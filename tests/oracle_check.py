@@ -32,27 +32,21 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _norm(v):
-    if v is None:
+    """A sortable, exact representation of one value (NULL and NaN sort first)."""
+    if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
         return (0, "")
+    if hasattr(v, "item"):  # numpy scalar
+        v = v.item()
     if isinstance(v, float):
-        if math.isnan(v):
-            return (0, "")
         return (1, repr(v))
-    if hasattr(v, "isoformat"):
-        return (1, v.isoformat()[:10] if len(v.isoformat()) >= 10 else v.isoformat())
-    if hasattr(v, "item"):
-        v = v.item()
-        return _norm(v)
+    if hasattr(v, "isoformat"):  # date, or a midnight timestamp of one
+        return (1, v.isoformat()[:10])
     return (1, str(v))
 
 
 def rows_of(df: pd.DataFrame) -> list[tuple]:
     cols = sorted(df.columns)
-    out = []
-    for rec in df[cols].itertuples(index=False, name=None):
-        out.append(tuple(_norm(None if (isinstance(v, float) and math.isnan(v)) or v is pd.NaT
-                               else (None if v is None else v)) for v in rec))
-    return sorted(out)
+    return sorted(tuple(_norm(v) for v in rec) for rec in df[cols].itertuples(index=False, name=None))
 
 
 # Spark type -> DuckDB type name, for the schema part of the comparison.

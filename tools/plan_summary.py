@@ -29,7 +29,6 @@ def physical(df) -> str:
 
 def summarise(text: str) -> dict[str, str]:
     hash_ex = re.findall(r"Exchange hashpartitioning\(([^)]*?), \d+\)", text)
-    keys = [", ".join(k.split("#")[0] for k in re.split(r",\s*", h)) for h in hash_ex]
     keys = [re.sub(r"#\d+L?", "", h) for h in hash_ex]
     joins = re.findall(r"(SortMergeJoin|BroadcastHashJoin|ShuffledHashJoin|BroadcastNestedLoopJoin)"
                        r"[^\n]*?(Inner|LeftOuter|LeftAnti|LeftSemi|Cross|RightOuter|FullOuter)", text)
