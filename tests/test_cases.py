@@ -203,6 +203,7 @@ def test_report_matches_standalone_questions(spark):
         "q09_cancellation_rate": Q.q09_cancellation_rate(t, 2000, 2001),
         "q11_monthly_growth": Q.q11_monthly_growth(t),
         "q13_rider_earnings": Q.q13_rider_earnings(t),
+        "q10_delivery_minutes": Q.q10_delivery_minutes(t),
     }
     for key, df in alone.items():
         assert sorted(collect(shared[key]), key=str) == sorted(collect(df), key=str), key

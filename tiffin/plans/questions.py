@@ -214,6 +214,21 @@ def rider_earnings(delivered_orders: DataFrame, share: str | float | Decimal) ->
     ).orderBy(F.col("rider_id").asc_nulls_last(), F.col("month1").asc_nulls_last())
 
 
+def delivery_minutes_from(delivered_orders: DataFrame, status: str) -> DataFrame:
+    """Q10 core over one row per delivery carrying its order's ``order_time``
+    (deliveries joined to orders)."""
+    d = delivered_orders.filter(F.col("delivery_status") == F.lit(status))
+    o_t, d_t = F.col("order_time"), F.col("delivery_time")
+    return d.select(
+        "rider_id",
+        "order_id",
+        "order_time",
+        "delivery_time",
+        time_difference(d_t, o_t).alias("time_difference"),
+        rounded_ratio(wrapped_seconds(d_t, o_t), F.lit(60)).alias("time_difference_minutes"),
+    )
+
+
 def customer_facts(orders: DataFrame) -> DataFrame:
     """Orders reduced to one row per ``customer_id``: ``n_orders``
     (COUNT(order_id)), ``spent`` (exact SUM of amounts) and ``n_amounts``
@@ -467,7 +482,7 @@ def q10_delivery_minutes(t: Tables, status: str = DELIVERED) -> DataFrame:
     time_difference_minutes.
     """
     d = t.deliveries.filter(F.col("delivery_status") == F.lit(status)).select(
-        "rider_id", "order_id", "delivery_time"
+        "rider_id", "order_id", "delivery_status", "delivery_time"
     )
     # Deliveries stream, orders (one row per id) are the buffered side.  A
     # hot order's deliveries land in one shuffle partition; AQE's skew-join
@@ -476,15 +491,7 @@ def q10_delivery_minutes(t: Tables, status: str = DELIVERED) -> DataFrame:
     # would need a full count of deliveries per order first -- a second
     # shuffle of deliveries on every run, skewed or not.
     j = d.join(t.orders.select("order_id", "order_time"), "order_id")
-    o_t, d_t = F.col("order_time"), F.col("delivery_time")
-    return j.select(
-        "rider_id",
-        "order_id",
-        "order_time",
-        "delivery_time",
-        time_difference(d_t, o_t).alias("time_difference"),
-        rounded_ratio(wrapped_seconds(d_t, o_t), F.lit(60)).alias("time_difference_minutes"),
-    )
+    return delivery_minutes_from(j, status)
 
 
 def q11_monthly_growth(t: Tables, status: str = DELIVERED) -> DataFrame:
