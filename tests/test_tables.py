@@ -66,3 +66,15 @@ def test_cli_report_writes_every_question(spark):
     written = sorted(os.listdir(out))
     assert "q13_rider_earnings" in written and "q05_undelivered" in written and len(written) == 19
     assert spark.read.parquet(os.path.join(out, "q09_cancellation_rate")).count() == 10
+
+
+def test_cli_explain(spark, capsys):
+    from tiffin.__main__ import main
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        assert main(["explain", "q13_rider_earnings", "--tpch", SF001, "--at-scale"], spark=spark) == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    out = capsys.readouterr().out
+    assert "SortMergeJoin" in out and "hashpartitioning(order_id" in out

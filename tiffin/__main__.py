@@ -49,6 +49,16 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     run.add_argument("--param", action="append", default=[], metavar="NAME=VALUE")
     run.add_argument("--out", help="write the result here as Parquet (overwrite)")
     run.add_argument("--show", type=int, default=20, help="rows to show when not writing")
+    exp = sub.add_parser("explain", help="print a job's physical plan")
+    exp.add_argument("key", choices=sorted(CATALOG))
+    esrc = exp.add_mutually_exclusive_group(required=True)
+    esrc.add_argument("--tables")
+    esrc.add_argument("--tpch")
+    esrc.add_argument("--catalog")
+    exp.add_argument("--param", action="append", default=[], metavar="NAME=VALUE")
+    exp.add_argument("--mode", default="formatted", choices=["simple", "extended", "formatted", "cost"])
+    exp.add_argument("--at-scale", action="store_true",
+                     help="turn off size-estimated broadcasts, as when every table is large")
     rep = sub.add_parser("report", help="run every question in one batch (shared order facts)")
     rsrc = rep.add_mutually_exclusive_group(required=True)
     rsrc.add_argument("--tables")
@@ -79,7 +89,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         write_report(report(tables, **{k: _value(v) for k, v in overrides.items()}), args.out)
         return 0
     job, params = CATALOG[args.key]
+    if args.command == "explain" and args.at_scale:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     df = job(tables, **{**params, **{k: _value(v) for k, v in overrides.items()}})
+    if args.command == "explain":
+        df.explain(mode=args.mode)
+        return 0
     if args.out:
         df.write.mode("overwrite").parquet(args.out)
     else:
