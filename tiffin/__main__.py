@@ -4,8 +4,9 @@
     python -m tiffin run q06_top_restaurant_by_city --tables /data/marketplace \\
         --param as_of=2024-06-30 --out /data/reports/q06
     python -m tiffin run q02_time_slots --tpch /root/testdata/sf0.01 --show 20
-    python -m tiffin report --tables /data/marketplace --out /data/reports \
+    python -m tiffin report --tables /data/marketplace --out /data/reports \\
         --param as_of=2024-06-30
+    python -m tiffin explain q09_cancellation_rate --tpch /root/testdata/sf0.01 --at-scale
 
 ``--tables`` reads ``customers/ restaurants/ orders/ riders/ deliveries/``
 (Parquet); ``--catalog`` reads the co-bucketed catalog tables of
