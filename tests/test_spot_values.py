@@ -71,3 +71,14 @@ def test_audits(t):
     assert all(r[3] == 0 for r in collect(run("length_audit", t)))
     assert collect(run("null_count_customers", t)) == [(16,)]
     assert collect(run("null_count_restaurants", t)) == [(6,)]
+
+
+def test_report_equals_every_standalone_job(spark, t):
+    from tiffin.plans.catalog import CATALOG, TEST_AS_OF, TEST_CUSTOMER
+    from tiffin.plans.report import report
+
+    shared = report(t, as_of=TEST_AS_OF, customer_name=TEST_CUSTOMER, min_orders=15, min_total=4_000_000,
+                    active_year=2000, absent_year=2001, previous_year=2000, current_year=2001)
+    for key, df in shared.items():
+        job, params = CATALOG[key]
+        assert sorted(collect(df), key=str) == sorted(collect(job(t, **params)), key=str), key
