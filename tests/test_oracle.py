@@ -22,3 +22,19 @@ def test_every_query_has_an_oracle():
 def test_query_matches_oracle(spark, con, key):
     ok, msg = compare(spark, con, key, SF01)
     assert ok, msg
+
+
+@pytest.fixture()
+def no_estimated_broadcasts(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+@pytest.mark.parametrize("key", sorted(E.queries()))
+def test_query_matches_oracle_with_at_scale_plans(spark, con, no_estimated_broadcasts, key):
+    # The plans of a cluster where every table is large: shuffle joins, and
+    # every checked broadcast bound failing.
+    ok, msg = compare(spark, con, key, SF01, at_scale=True)
+    assert ok, msg
