@@ -26,3 +26,12 @@ def test_expected_row_counts_sf0001(spark):
     qs = E.queries()
     for key, n in expected.items():
         assert qs[key](spark, "/root/testdata/sf0.001").count() == n, key
+
+
+def test_derived_tables_have_the_declared_schemas(spark):
+    from tiffin.sources import SCHEMAS, from_tpch
+
+    t = from_tpch(spark, "/root/testdata/sf0.001")
+    for name, schema in SCHEMAS.items():
+        got = getattr(t, name).schema
+        assert [(f.name, f.dataType) for f in got.fields] == [(f.name, f.dataType) for f in schema.fields], name

@@ -6,6 +6,10 @@ customers, restaurants, orders, riders and deliveries.  Every column is a
 row-local expression; the only lookups are the nation name (25 rows) and the
 dish name (at most 200 part keys, see ``DISH_KEYS``).  NULLs are injected on
 purpose, because the inputs have none and the questions must handle them.
+
+Each derived table already has the declared column names, order and types
+(``tests/test_entry.py`` checks them against ``SCHEMAS``), so no extra
+conforming projection is added per query.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiffin.operators.broadcast import broadcast_if_small
-from tiffin.sources.tables import Tables, conform
+from tiffin.sources.tables import Tables
 
 # Fixed values of the derivation (they define the test fixture, so the SQL
 # oracle uses the same numbers).
@@ -62,10 +66,8 @@ def derive_customers(customer: DataFrame) -> DataFrame:
     key = F.col("c_custkey")
     reg_date = F.when(key % NULL_REG_DATE_EVERY != 0,
                       F.date_sub(F.lit(REG_DATE_BASE), (key % 365).cast("int")))
-    return conform(
-        customer.select(key.alias("customer_id"), F.col("c_name").alias("customer_name"),
-                        reg_date.alias("reg_date")),
-        "customers",
+    return customer.select(
+        key.alias("customer_id"), F.col("c_name").alias("customer_name"), reg_date.alias("reg_date")
     )
 
 
@@ -77,14 +79,11 @@ def derive_restaurants(supplier: DataFrame, nation: DataFrame) -> DataFrame:
         max_rows=10_000,
     )
     hours = F.when(~(F.col("s_acctbal") < 0) | F.col("s_acctbal").isNull(), F.lit(OPENING_HOURS))
-    return conform(
-        supplier.join(cities, "s_nationkey", "left").select(
-            F.col("s_suppkey").alias("restaurant_id"),
-            F.col("s_name").alias("restaurant_name"),
-            "city",
-            hours.alias("opening_hours"),
-        ),
-        "restaurants",
+    return supplier.join(cities, "s_nationkey", "left").select(
+        F.col("s_suppkey").alias("restaurant_id"),
+        F.col("s_name").alias("restaurant_name"),
+        "city",
+        hours.alias("opening_hours"),
     )
 
 
@@ -102,29 +101,23 @@ def derive_orders(orders: DataFrame, supplier: DataFrame, part: DataFrame) -> Da
     )
     with_key = orders.withColumn("dish_key", (key * 13 + cust) % DISH_KEYS)
     joined = with_key.join(F.broadcast(dishes), "dish_key", "left")
-    return conform(
-        joined.select(
-            key.alias("order_id"),
-            cust.alias("customer_id"),
-            ((key * 7 + cust) % n_restaurants).alias("restaurant_id"),
-            F.when(key % NULL_ITEM_EVERY != 0, F.col("p_name")).alias("order_item"),
-            F.col("o_orderdate").cast("date").alias("order_date"),
-            F.when(key % NULL_TIME_EVERY != 0, (key * 7919) % 86400).alias("order_time"),
-            F.col("o_orderstatus").alias("order_status"),
-            F.when(key % NULL_AMOUNT_EVERY != 0, F.col("o_totalprice")).alias("total_amount"),
-        ),
-        "orders",
+    return joined.select(
+        key.alias("order_id"),
+        cust.alias("customer_id"),
+        ((key * 7 + cust) % n_restaurants).alias("restaurant_id"),
+        F.when(key % NULL_ITEM_EVERY != 0, F.col("p_name")).alias("order_item"),
+        F.col("o_orderdate").cast("date").alias("order_date"),
+        F.when(key % NULL_TIME_EVERY != 0, (key * 7919) % 86400).alias("order_time"),
+        F.col("o_orderstatus").alias("order_status"),
+        F.when(key % NULL_AMOUNT_EVERY != 0, F.col("o_totalprice")).alias("total_amount"),
     )
 
 
 def derive_riders(nation: DataFrame) -> DataFrame:
-    return conform(
-        nation.select(
-            F.col("n_nationkey").alias("rider_id"),
-            F.col("n_name").alias("rider_name"),
-            F.date_add(F.lit(SIGN_UP_BASE), F.col("n_nationkey")).alias("sign_up"),
-        ),
-        "riders",
+    return nation.select(
+        F.col("n_nationkey").cast("bigint").alias("rider_id"),
+        F.col("n_name").alias("rider_name"),
+        F.date_add(F.lit(SIGN_UP_BASE), F.col("n_nationkey")).alias("sign_up"),
     )
 
 
@@ -132,15 +125,12 @@ def derive_deliveries(lineitem: DataFrame) -> DataFrame:
     key, line = F.col("l_orderkey"), F.col("l_linenumber")
     time = ((key * 7919) % 86400 + 300 + F.col("l_quantity").cast("bigint") * 60 + line * 47) % 86400
     status = F.when(F.col("l_returnflag") == "R", F.lit("Returned")).otherwise(F.lit("Delivered"))
-    return conform(
-        lineitem.select(
-            (key * 10 + line).alias("delivery_id"),
-            key.alias("order_id"),
-            status.alias("delivery_status"),
-            time.alias("delivery_time"),
-            (F.col("l_suppkey") % N_RIDERS).alias("rider_id"),
-        ),
-        "deliveries",
+    return lineitem.select(
+        (key * 10 + line).alias("delivery_id"),
+        key.alias("order_id"),
+        status.alias("delivery_status"),
+        time.alias("delivery_time"),
+        (F.col("l_suppkey") % N_RIDERS).alias("rider_id"),
     )
 
 
