@@ -78,3 +78,28 @@ def test_cli_explain(spark, capsys):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     out = capsys.readouterr().out
     assert "SortMergeJoin" in out and "hashpartitioning(order_id" in out
+
+
+def test_write_tables_spreads_a_hot_date(spark, make_tables):
+    import datetime as dt
+
+    from tests.conftest import T
+
+    hot = dt.date(2024, 1, 1)
+    orders = [(i, 1, 1, "x", hot if i % 3 else dt.date(2024, 1, 1 + i % 28), T(12), "F", 1.0)
+              for i in range(3000)]
+    root = os.path.join(tempfile.mkdtemp(prefix="tiffin-hot-date-"), "m")
+    # (AQE would merge these tiny partitions into one; at scale it only
+    # merges small ones, so switch coalescing off to see the range split.)
+    conf = {"spark.sql.shuffle.partitions": "6", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        write_tables(make_tables(orders=orders), root)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    files = [f for f in os.listdir(os.path.join(root, "orders")) if f.endswith(".parquet")]
+    sizes = sorted(spark.read.parquet(os.path.join(root, "orders", f)).count() for f in files)
+    assert sum(sizes) == 3000 and len(sizes) >= 3 and sizes[-1] < 3000 * 2 // 3
