@@ -44,30 +44,34 @@ def _maybe(rng: random.Random, value, p_null: float = 0.1):
     return None if rng.random() < p_null else value
 
 
-def random_rows(seed: int) -> dict[str, list[tuple]]:
+def random_rows(seed: int, p_null: float = 0.1) -> dict[str, list[tuple]]:
     rng = random.Random(seed)
+
+    def _maybe_here(r, value, p=0.1):  # every NULL rate scaled by p_null / 0.1
+        return _maybe(r, value, p * p_null / 0.1)
+
     names = ["Customer#000000005", "Ann", "Bob", "Ann"]
-    customers = [(_maybe(rng, i % 9, 0.05), _maybe(rng, rng.choice(names)),
-                  _maybe(rng, dt.date(1995, 1, 1) + dt.timedelta(days=i))) for i in range(10)]
-    restaurants = [(_maybe(rng, i % 6, 0.05), _maybe(rng, rng.choice(["R1", "R2", "R3"])),
-                    _maybe(rng, rng.choice(["C1", "C2"])), _maybe(rng, "10:00 - 22:00"))
+    customers = [(_maybe_here(rng, i % 9, 0.05), _maybe_here(rng, rng.choice(names)),
+                  _maybe_here(rng, dt.date(1995, 1, 1) + dt.timedelta(days=i))) for i in range(10)]
+    restaurants = [(_maybe_here(rng, i % 6, 0.05), _maybe_here(rng, rng.choice(["R1", "R2", "R3"])),
+                    _maybe_here(rng, rng.choice(["C1", "C2"])), _maybe_here(rng, "10:00 - 22:00"))
                    for i in range(7)]
     base = dt.date(1999, 6, 1)
     orders = []
     for i in range(80):
-        date = _maybe(rng, base + dt.timedelta(days=rng.randrange(0, 1000)), 0.05)
-        time = _maybe(rng, rng.choice([rng.randrange(0, 86400), 86400, 0, 86399]))
-        amount = _maybe(rng, round(rng.uniform(0, 200), 2))
-        orders.append((i if i % 17 else i // 17, _maybe(rng, rng.randrange(0, 11)),
-                       _maybe(rng, rng.randrange(0, 8)), _maybe(rng, rng.choice("abcd")),
-                       date, time, _maybe(rng, rng.choice(["F", "O", "P"])), amount))
+        date = _maybe_here(rng, base + dt.timedelta(days=rng.randrange(0, 1000)), 0.05)
+        time = _maybe_here(rng, rng.choice([rng.randrange(0, 86400), 86400, 0, 86399]))
+        amount = _maybe_here(rng, round(rng.uniform(0, 200), 2))
+        orders.append((i if i % 17 else i // 17, _maybe_here(rng, rng.randrange(0, 11)),
+                       _maybe_here(rng, rng.randrange(0, 8)), _maybe_here(rng, rng.choice("abcd")),
+                       date, time, _maybe_here(rng, rng.choice(["F", "O", "P"])), amount))
     riders = [(i, f"rider{i}", dt.date(1994, 1, 1)) for i in range(4)]
     deliveries = []
     for j in range(150):
-        oid = _maybe(rng, rng.randrange(0, 90), 0.03)  # some dangling, some orders get many
-        deliveries.append((_maybe(rng, rng.randrange(0, 140), 0.05), oid,
-                           _maybe(rng, rng.choice(["Delivered", "Delivered", "Returned"]), 0.05),
-                           _maybe(rng, rng.randrange(0, 86400)), _maybe(rng, rng.randrange(0, 5))))
+        oid = _maybe_here(rng, rng.randrange(0, 90), 0.03)  # some dangling, some orders get many
+        deliveries.append((_maybe_here(rng, rng.randrange(0, 140), 0.05), oid,
+                           _maybe_here(rng, rng.choice(["Delivered", "Delivered", "Returned"]), 0.05),
+                           _maybe_here(rng, rng.randrange(0, 86400)), _maybe_here(rng, rng.randrange(0, 5))))
     return dict(customers=customers, restaurants=restaurants, orders=orders, riders=riders,
                 deliveries=deliveries)
 
@@ -84,9 +88,9 @@ def duck_views(rows: dict[str, list[tuple]]) -> duckdb.DuckDBPyConnection:
     return con
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_random_tables_match_sql(spark, seed):
-    rows = random_rows(seed)
+@pytest.mark.parametrize("seed,p_null", [(1, 0.1), (2, 0.1), (3, 0.1), (21, 0.35)])
+def test_random_tables_match_sql(spark, seed, p_null):
+    rows = random_rows(seed, p_null)
     t = Tables(**{n: spark.createDataFrame(rows[n], schema=SCHEMAS[n]) for n in SCHEMAS})
     con = duck_views(rows)
     sqls = oracle_sql(PARAMS, tables="WITH __none AS (SELECT 1)")
