@@ -103,3 +103,12 @@ def test_write_tables_spreads_a_hot_date(spark, make_tables):
     files = [f for f in os.listdir(os.path.join(root, "orders")) if f.endswith(".parquet")]
     sizes = sorted(spark.read.parquet(os.path.join(root, "orders", f)).count() for f in files)
     assert sum(sizes) == 3000 and len(sizes) >= 3 and sizes[-1] < 3000 * 2 // 3
+
+
+def test_cli_param_values():
+    import datetime as dt
+
+    from tiffin.__main__ import _value
+
+    assert _value("750") == 750 and _value("0.08") == 0.08 and _value("None") is None
+    assert _value("2024-06-30") == dt.date(2024, 6, 30) and _value("Arjun Mehta") == "Arjun Mehta"
