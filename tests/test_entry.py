@@ -35,3 +35,21 @@ def test_derived_tables_have_the_declared_schemas(spark):
     for name, schema in SCHEMAS.items():
         got = getattr(t, name).schema
         assert [(f.name, f.dataType) for f in got.fields] == [(f.name, f.dataType) for f in schema.fields], name
+
+
+def test_bench_prints_one_json_line():
+    import json
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = dict(os.environ, BENCH_SF_DIR="/root/testdata/sf0.001", BENCH_RUNS="1",
+               BENCH_QUERIES="scan_riders,q02_time_slots", BENCH_CPUS="2")
+    out = subprocess.run([sys.executable, os.path.join(root, "bench.py")], env=env, cwd=root,
+                         capture_output=True, text=True, timeout=600)
+    lines = [line for line in out.stdout.splitlines() if line.strip()]
+    assert len(lines) == 1, out.stdout
+    report = json.loads(lines[0])
+    assert report["unit"] == "sec" and set(report["queries"]) == {"scan_riders", "q02_time_slots"}
+    assert report["sf"] == "0.001" and report["value"] > 0
