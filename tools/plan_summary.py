@@ -4,8 +4,10 @@
 
 Plans are taken with size-estimated broadcasts switched off
 (``spark.sql.autoBroadcastJoinThreshold=-1``), which is the shape they have
-when every table is far above the threshold, as at 100 TB.  Explicit
-broadcasts (one-row aggregates, checked small sides) remain.
+when every table is far above the threshold, as at 100 TB.  Three tables are
+printed: with the checked lookups small (explicit, checked broadcasts
+remain), with them large (shuffle plans), and for the order_id questions on
+orders and deliveries co-bucketed by ``order_id``.
 """
 
 from __future__ import annotations
