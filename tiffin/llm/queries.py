@@ -9,11 +9,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tiffin.llm.bpe import decode, encode
 from tiffin.llm.common import table
 from tiffin.llm.exact_dedup import exact_dedup
+from tiffin.llm.packing import cut_pieces, pack_pieces
 from tiffin.llm.simhash import simhash_components
 
 
+def vocabulary_path() -> str:
+    """The byte-level vocabulary of the installed package of public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = cut_pieces(table(spark, sf_dir, "documents"), vocabulary_path(), end_id=2, capacity=1024)
+    return pack_pieces(pieces, capacity=1024)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -22,9 +36,23 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = encode(table(spark, sf_dir, "documents"), vocabulary_path())
+    decoded = decode(encoded, vocabulary_path())
+    joined = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(joined, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op6_simhash_dedup": op6_simhash_dedup,
+    "op7_bpe": op7_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
