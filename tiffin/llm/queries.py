@@ -13,6 +13,7 @@ from tiffin.llm.bpe import decode, encode
 from tiffin.llm.common import table
 from tiffin.llm.exact_dedup import exact_dedup
 from tiffin.llm.packing import cut_pieces, pack_pieces
+from tiffin.llm.pii import KINDS, find_pii
 from tiffin.llm.simhash import simhash_components
 
 
@@ -48,11 +49,26 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(written(base), 256).alias("base_sha256"),
+        written(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_bpe": op7_bpe,
+    "op9_pii": op9_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
