@@ -87,7 +87,7 @@ def cut_pieces(
     return id_text(docs, id_col, text_col).mapInArrow(run, schema)
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = 1024, nodes: int = 400, scratch: Scratch | None = None) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int = 1024, nodes: int = 6000, scratch: Scratch | None = None) -> DataFrame:
     """``pieces`` (any columns; ``length`` from 1 to ``capacity``) with
     ``sequence_id`` and ``offset``: sequences are gapless from offset 0.
 
@@ -237,8 +237,14 @@ def undominated(filling: tuple[int, ...], counts: dict[int, int], waste: int) ->
     return True
 
 
-def plan_bins(counts: dict[int, int], capacity: int, nodes: int = 400) -> Plan:
-    """The best plan found within ``nodes`` branchings; deterministic."""
+#: Branching starts once so few lengths are left: fillings chosen earlier are
+#: mostly perfect, and their alternatives differ only far below.
+BRANCH_LENGTHS = 128
+
+
+def plan_bins(counts: dict[int, int], capacity: int, nodes: int = 6000) -> Plan:
+    """The best plan found within ``nodes`` fillings; deterministic.  The
+    search goes depth first: the last alternatives are tried first."""
     counts = {x: n for x, n in counts.items() if n > 0}
     if not counts:
         return []
@@ -246,40 +252,31 @@ def plan_bins(counts: dict[int, int], capacity: int, nodes: int = 400) -> Plan:
     best_bins = sum(t for t, _ in best)
     bound = lower_bound(counts, capacity)
     volume = sum(x * n for x, n in counts.items())
-    budget = [nodes]
-
-    def search(left: dict[int, int], plan: Plan, bins: int, wasted: int) -> None:
-        nonlocal best, best_bins
-        trail: list[tuple[dict[int, int], Plan, int, int]] = [(left, plan, bins, wasted)]
-        while trail and best_bins > bound:
-            left, plan, bins, wasted = trail.pop()
-            while left:
-                # a better plan wastes at least one bin less than the incumbent
-                allowed = (best_bins - 1) * capacity - volume - wasted
-                if allowed < 0:
-                    break
-                x = max(left)
-                rest = {y: n - (y == x) for y, n in left.items() if n - (y == x)}
-                options = fillings(rest, capacity - x, allowed, 3 if budget[0] > 0 else 1)
-                if not options:
-                    break
-                for other in options[:0:-1]:
-                    if budget[0] > 0:
-                        budget[0] -= 1
-                        trail.append((*use(left, (x, *other), 1 if wasteful(other, x, capacity) else None, plan, bins, wasted, capacity),))
-                left, plan, bins, wasted = use(left, (x, *options[0]), None, plan, bins, wasted, capacity)
-            else:
-                if bins < best_bins:
-                    best, best_bins = plan, bins
-
-    search(counts, [], 0, 0)
+    open_: list[tuple[dict[int, int], Plan, int, int]] = [(counts, [], 0, 0)]
+    while open_ and best_bins > bound and nodes > 0:
+        left, plan, bins, wasted = open_.pop()
+        while left:
+            # a better plan wastes at least one bin less than the incumbent
+            allowed = (best_bins - 1) * capacity - volume - wasted
+            if allowed < 0 or nodes <= 0:
+                break
+            nodes -= 1
+            branch = len(left) <= BRANCH_LENGTHS
+            x = max(left)
+            rest = {y: n - (y == x) for y, n in left.items() if n - (y == x)}
+            options = fillings(rest, capacity - x, allowed, 3 if branch else 1)
+            if not options:
+                break
+            for other in options[:0:-1]:
+                times = 1 if x + sum(other) < capacity else None
+                open_.append(use(left, (x, *other), times, plan, bins, wasted, capacity))
+            left, plan, bins, wasted = use(left, (x, *options[0]), None, plan, bins, wasted, capacity)
+        else:
+            if bins < best_bins:
+                best, best_bins = plan, bins
     return best
 
 
-def wasteful(filling: tuple[int, ...], x: int, capacity: int) -> bool:
-    return x + sum(filling) < capacity
-
-
 def use(left: dict[int, int], filling: tuple[int, ...], times: int | None, plan: Plan, bins: int, wasted: int, capacity: int) -> tuple[dict[int, int], Plan, int, int]:
     """The counts, plan, bins and waste after using a filling: as often as
     the counts allow, or ``times``."""
