@@ -26,7 +26,8 @@ from tiffin.llm.common import id_text, prefix_hash, slices, span_hash
 
 #: Text bytes encoded at once, and the fragment length from which a heap is
 #: used instead of rounds over the whole fragment.
-ENCODE_BYTES = 2 << 20
+ENCODE_BYTES = 1 << 20
+DECODE_ROWS = 256
 LONG_FRAGMENT = 192
 
 # Code points with the property White_Space.
@@ -330,7 +331,7 @@ def decode(encoded: DataFrame, vocab_path: str, ids_col: str = "ids", into: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(vocab_path)
-        for batch in batches:
+        for batch in (b.slice(i, DECODE_ROWS) for b in batches for i in range(0, b.num_rows, DECODE_ROWS)):
             lists = batch.column(ids_col).fill_null([])
             ids, lengths = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)
             joined = vocab.packed.take(ids)
