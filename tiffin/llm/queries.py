@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from tiffin.llm.bpe import decode, encode
 from tiffin.llm.common import table
 from tiffin.llm.exact_dedup import exact_dedup
+from tiffin.llm.langid import identify_language
 from tiffin.llm.packing import cut_pieces, pack_pieces
 from tiffin.llm.pii import KINDS, find_pii
+from tiffin.llm.quality import classify_quality
 from tiffin.llm.simhash import simhash_components
 
 
@@ -33,6 +35,14 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(table(spark, sf_dir, "documents"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), shingle=3, max_bits=3)
 
@@ -71,6 +81,8 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_language_id": op4_language_id,
+    "op5_quality": op5_quality,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_bpe": op7_bpe,
     "op9_pii": op9_pii,
