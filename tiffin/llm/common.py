@@ -88,8 +88,8 @@ def salted_left_join(big: DataFrame, small: DataFrame, on: list[str], size: str,
 
 def min_label_components(scratch: Scratch, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Components of an undirected graph: ``nodes(node, label)`` with
-    ``edges(a, b)``; returns ``(node, label)`` with the smallest label of the
-    component.
+    ``edges(a, b)``; returns ``(node, label, root)``: the smallest label
+    of the component and its smallest node.
 
     Alternating large-star and small-star steps (Kiveris et al. 2014) over
     the edges only, in a logarithmic number of rounds; each round is written
@@ -125,12 +125,21 @@ def _fingerprint(edges: DataFrame) -> tuple:
 
 
 def nodes_with_roots(nodes: DataFrame, stars: DataFrame) -> DataFrame:
-    """The smallest label of each star, given to all its members."""
+    """The smallest label of each star, given to all its members, and its
+    smallest node as ``root``."""
     rooted = nodes.join(stars.toDF("node", "root"), "node", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "node"))
     lowest = rooted.groupBy("root").agg(F.min("label").alias("low"), F.count("*").alias("n"))
     joined = salted_left_join(rooted, lowest, ["root"], "n", "node", max(1, nodes.count()))
-    return joined.select("node", F.col("low").alias("label"))
+    return joined.select("node", F.col("low").alias("label"), "root")
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name that the input does not have."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 # --- text buffers ---------------------------------------------------------

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiffin.llm.common import fold_of, id_text, lower_ascii, prefix_hash, slices, span_hash, word_spans
+from tiffin.llm.common import fold_of, fresh, id_text, lower_ascii, prefix_hash, slices, span_hash, word_spans
 from tiffin.llm.sampling import labelled_sample
 
 PASSAGE_WORDS = 64
@@ -189,6 +189,24 @@ def score(texts: DataFrame, model: BagModel | None) -> DataFrame:
     return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, score double")
 
 
+def learn(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "quality",
+    folds: int = 4,
+    held_out_fold: int = 2,
+    per_label: int = 1500,
+) -> BagModel | None:
+    """The model from labelled rows outside the held-out fold of crc32(id).
+    Labels other than 0 and 1, and null labels or ids, are ignored; a document
+    labelled repeatedly takes its largest label."""
+    known = labels.select(labels[id_col].alias("doc_id"), labels[label_col].cast("int").alias("label"))
+    known = known.where("doc_id is not null and label in (0, 1)").where(fold_of(F.col("doc_id"), folds) != held_out_fold)
+    return train(id_text(docs, id_col, text_col), known.groupBy("doc_id").agg(F.max("label").alias("label")), per_label)
+
+
 def classify_quality(
     docs: DataFrame,
     labels: DataFrame,
@@ -202,15 +220,27 @@ def classify_quality(
 ) -> DataFrame:
     """One row per input row: ``doc_id, held_out, score, predicted``.
 
-    Learns from labelled rows outside the held-out fold of crc32(id); labels
-    other than 0 and 1, and null labels or ids, are ignored, and a document labelled
-    repeatedly takes its largest label.  Null texts score as empty ones.
-    Without labels every score is 0.5.
+    Null texts score as empty ones, which are bags of one passage without
+    words.  Without labels every score is 0.5.  Rows may repeat; other columns are not read.
     """
-    rows = id_text(docs, id_col, text_col)
+    model = learn(docs, labels, id_col, text_col, label_col, folds, held_out_fold, per_label)
+    found = score(id_text(docs, id_col, text_col), model)
     held = fold_of(F.col("doc_id"), folds) == held_out_fold
-    known = labels.select(labels[id_col].alias("doc_id"), labels[label_col].cast("int").alias("label"))
-    known = known.where("doc_id is not null and label in (0, 1)").where(~held).groupBy("doc_id").agg(F.max("label").alias("label"))
-    model = train(rows, known, per_label)
-    found = score(rows, model)
     return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, model: BagModel | None, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, all columns, that score ``threshold`` or more;
+    all rows without a model.  Null texts score as empty ones and stay null."""
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    plain = fresh("_text", docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in slices(batches, plain, limit=1 << 20):
+            good = shared.value.forward(*passages(data, offsets))[0] >= threshold
+            yield batch.drop_columns([plain]).filter(pa.array(good))
+
+    return docs.withColumn(plain, F.coalesce(docs[text_col].cast("string"), F.lit(""))).mapInArrow(run, fields)

@@ -33,8 +33,8 @@ POSITIONS = 8
 TRIPLES = [t for half in (range(4), range(4, 8)) for t in combinations(half, 3)]
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """``doc_id, fp`` (signed long): a bit is set if it is set in over half of
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, mark: bool = False) -> DataFrame:
+    """``doc_id, fp`` (signed long), with ``mark`` also ``text_sha256``: a bit is set if it is set in over half of
     the XXH64 values (seed 42) of the word shingles, repeats included.  A text
     with fewer words is one shingle; one without words has fingerprint 0."""
 
@@ -48,10 +48,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 first, last = int(words[row]), int(words[row + 1])
                 if last > first:
                     out[row] = majority(joined, at[first:last], to[first:last], shingle)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+            own = [name for name in batch.schema.names if name != "text"]
+            yield pa.record_batch([*(batch.column(c) for c in own), pa.array(out.view(np.int64))], names=[*own, "fp"])
 
     rows = id_text(docs, id_col, text_col)
-    return rows.mapInArrow(sign, f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long")
+    if mark:
+        rows = rows.select("doc_id", F.sha2("text", 256).alias("text_sha256"), "text")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return rows.mapInArrow(sign, f"doc_id {kind}, " + "text_sha256 string, " * mark + "fp long")
 
 
 def single_spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -84,10 +88,13 @@ def simhash_components(
     shingle: int = 3,
     max_bits: int = 3,
     list_limit: int = 2048,
+    mark: bool = False,
     scratch: Scratch | None = None,
 ) -> DataFrame:
     """One row per input row: ``doc_id, fingerprint, component_id`` (smallest
-    id reachable over links of at most ``max_bits`` <= 3 differing bits).
+    id reachable over links of at most ``max_bits`` <= 3 differing bits), and
+    ``component``, a number that tells components apart even if all their ids are null
+    (with ``mark`` also ``text_sha256``).
 
     Null text is empty; texts without words share the fingerprint zero, which links
     like any other.  A null id is never a component's id unless all its ids
@@ -96,7 +103,7 @@ def simhash_components(
     if not 0 <= max_bits <= 3:
         raise ValueError("the index guarantees links of at most 3 bits")
     scratch = scratch or Scratch(docs.sparkSession, "simhash")
-    signed = scratch.write(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    signed = scratch.write(fingerprints(docs, id_col, text_col, shingle, mark), "fingerprints")
     distinct = scratch.write(
         signed.groupBy("fp").agg(F.min("doc_id").alias("label"), F.count("*").alias("n")), "distinct"
     )
@@ -106,7 +113,11 @@ def simhash_components(
     signed = signed.withColumn("row_no", F.monotonically_increasing_id())
     found = salted_left_join(signed, labels, ["fp"], "n", "row_no", max(1, signed.count()))
     return found.select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("label").alias("component_id")
+        "doc_id",
+        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("label").alias("component_id"),
+        F.col("root").alias("component"),
+        *["text_sha256"] * mark,
     )
 
 
