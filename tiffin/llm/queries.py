@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tiffin.llm.bloom_lm import score_documents
 from tiffin.llm.bpe import decode, encode
 from tiffin.llm.common import table
 from tiffin.llm.exact_dedup import exact_dedup
@@ -26,6 +27,10 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = cut_pieces(table(spark, sf_dir, "documents"), vocabulary_path(), end_id=2, capacity=1024)
     return pack_pieces(pieces, capacity=1024)
@@ -79,6 +84,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_language_id": op4_language_id,
