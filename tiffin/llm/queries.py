@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tiffin.llm.ann import nearest
 from tiffin.llm.bloom_lm import score_documents
 from tiffin.llm.bpe import decode, encode
 from tiffin.llm.common import table
@@ -64,6 +65,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["base"])
@@ -91,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_bpe": op7_bpe,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_pii": op9_pii,
 }
 
