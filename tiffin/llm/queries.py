@@ -18,6 +18,7 @@ from tiffin.llm.langid import identify_language
 from tiffin.llm.packing import cut_pieces, pack_pieces
 from tiffin.llm.pii import KINDS, find_pii
 from tiffin.llm.quality import classify_quality
+from tiffin.llm.repeats import repeated_passages
 from tiffin.llm.simhash import simhash_components
 
 
@@ -89,6 +90,12 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_passages(table(spark, sf_dir, "documents"), length=400, keep_first=False)
+    n_spans = F.size("spans").cast("long").alias("n_spans")
+    return found.select("doc_id", "n_bytes", "n_removed", n_spans, "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -99,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_bpe": op7_bpe,
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_pii": op9_pii,
+    "op10_repeated_passages": op10_repeated_passages,
 }
 
 ORACLE_SQL: dict[str, str] = {
