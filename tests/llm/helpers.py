@@ -1,0 +1,52 @@
+"""Small documents with the awkward cases every operator must take."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+SF = "/root/testdata/sf0.001"
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key long, fp string, sequence_id string"
+
+#: Null and empty texts, ties, repeated rows, a null id, a long text, and
+#: columns named like the operators' own.
+AWKWARD = [
+    (1, "the cat sat on the mat", "en"),
+    (2, "the cat sat on the mat", "en"),
+    (2, "the cat sat on the mat", "en"),
+    (3, None, "en"),
+    (4, "", None),
+    (5, " \t\n ", "de"),
+    (6, "12 !! 34", "de"),
+    (None, "der hund und die katze", "de"),
+    (7, "the cat " * 3000, "en"),
+    (8, "éé 你好 \U0001f600 \x00 x", "fr"),
+    (9, "x", None),
+]
+
+
+def awkward(spark: SparkSession, rows: list | None = None) -> DataFrame:
+    rows = AWKWARD if rows is None else rows
+    full = [(i, t, lang, "s", -1, 7, "f", "q") for i, t, lang in rows]
+    return spark.createDataFrame(full, SCHEMA).repartition(3)
+
+
+def documents(spark: SparkSession) -> dict:
+    return {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+
+def components(n: int, linked) -> list[int]:
+    """Brute force: the component number of each of n items."""
+    root = list(range(n))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i in range(n):
+        for j in range(i):
+            if linked(i, j):
+                root[find(i)] = find(j)
+    return [find(i) for i in range(n)]
