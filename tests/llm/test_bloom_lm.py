@@ -1,0 +1,82 @@
+from __future__ import annotations
+
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from tests.llm.helpers import AWKWARD, SF, awkward, documents
+from tiffin.llm import bloom_lm
+from tiffin.llm.bloom_lm import LEVELS, VALUES, BloomCounts, score_documents, segment_of
+from tiffin.llm.queries import QUERIES
+
+
+def brute(texts: list[tuple]) -> tuple[dict, Counter]:
+    """n_tokens, n_known and base score of each (id, text)."""
+    tokens = [(i, (t or "").encode().lower().split() + [None]) for i, t in texts]
+    counts = Counter()
+    for i, own in tokens:
+        if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2:
+            counts.update(own)
+    total = sum(counts.values()) + len(counts) + 1
+    scores = {i: (len(own), sum(counts[w] > 0 for w in own), sum(math.log10((counts[w] + 1) / total) for w in own)) for i, own in tokens}
+    return scores, counts
+
+
+@pytest.mark.parametrize("head", [bloom_lm.HEAD, 8])
+def test_query(spark, monkeypatch, head):
+    """With a head of 8 words nearly all counts come by the shuffle."""
+    monkeypatch.setattr(bloom_lm, "HEAD", head)
+    expected, counts = brute(list(documents(spark).items()))
+    rows = QUERIES["op1_lm_scoring"](spark, SF).collect()
+    assert len(rows) == len(expected)
+    for r in rows:
+        n, known, base = expected[r["doc_id"]]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, sum(counts.values()))
+        assert abs(r["base_score"] - base) < 1e-6 * abs(base)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2)
+        assert r["score"] < 0
+    held = [r for r in rows if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def filled(counts: np.ndarray, bits_per_entry: float = 16) -> tuple[BloomCounts, np.ndarray]:
+    keys = np.sort(np.random.default_rng(5).integers(0, 2**64, len(counts), dtype=np.uint64))
+    parts = [segment_of(k, c, 3, bits_per_entry, 1 << 24) for k, c in ((keys[keys < 2**63], counts[keys < 2**63]), (keys[keys >= 2**63], counts[keys >= 2**63]))]
+    sizes = np.array([8 * len(p) for p in parts])
+    return BloomCounts(1, 3, np.concatenate(parts), (np.cumsum(sizes) - sizes) // 8, sizes, 0, 0, 1.0), keys
+
+
+def test_filter_never_loses_a_count():
+    counts = np.random.default_rng(6).zipf(1.5, 3000).clip(1, 10**6)
+    bloom, keys = filled(counts)
+    level = np.searchsorted(LEVELS, counts, "right")
+    got = bloom.count(keys)
+    assert (got >= VALUES[level]).all() and (got == VALUES[level]).mean() > 0.97
+    others = np.random.default_rng(7).integers(0, 2**64, 20000, dtype=np.uint64)
+    assert (bloom.count(others) > 0).mean() < 0.02
+
+
+def test_levels_are_a_geometric_scale():
+    assert LEVELS[:8].tolist() == [1, 2, 3, 4, 6, 8, 12, 16]
+    assert VALUES[:5].tolist() == [0, 1, 2, 3, 4.5]
+
+
+def test_small_filter_keeps_every_ngram():
+    bloom, keys = filled(np.ones(2000, np.int64), bits_per_entry=2)
+    assert (bloom.count(keys) >= 1).all()
+
+
+def test_awkward_rows(spark):
+    found = score_documents(awkward(spark)).collect()
+    expected, counts = brute([(i, t) for i, t, _ in AWKWARD])
+    assert len(found) == len(AWKWARD)
+    for r in found:
+        n, known, base = expected[r["doc_id"]]
+        assert (r["n_tokens"], r["n_known"]) == (n, known) and abs(r["base_score"] - base) < 1e-6
+    assert score_documents(awkward(spark, [])).collect() == []
+    unlearned = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    (r,) = score_documents(awkward(spark, [(unlearned, "a b", None)])).collect()
+    assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) == (3, 0, 0, 0.0)
