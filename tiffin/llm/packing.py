@@ -112,9 +112,9 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024, nodes: int = 6000, scra
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = parts.select("length", "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
     own = Window.partitionBy("length", "_part").orderBy("_row")
-    # at most capacity x RANK_PARTS rows: the size of this broadcast is bounded
-    ranked = pieces.join(F.broadcast(bases), ["length", "_part"])
-    ranked = ranked.withColumn("_rank", F.col("_base") + F.row_number().over(own) - 1)
+    # the window and the join share one exchange of the pieces
+    ranked = pieces.withColumn("_place", F.row_number().over(own)).join(bases, ["length", "_part"])
+    ranked = ranked.withColumn("_rank", F.col("_base") + F.col("_place") - 1)
     places = spark.createDataFrame(place_rows(plan), PLACES)
     # the places follow from the lengths alone, of which there are at most `capacity`
     found = ranked.join(F.broadcast(places), "length").where("_rank between _low and _high")
