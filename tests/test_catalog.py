@@ -39,6 +39,23 @@ def test_order_joins_skip_the_shuffle(spark, bucketed, job):
     assert not re.search(r"Exchange hashpartitioning\(order_id", text), text
 
 
+def test_one_file_per_bucket(spark, bucketed):
+    for name in ("orders", "deliveries"):
+        assert len(spark.table(f"tiffin_test.{name}").inputFiles()) == 4
+
+
+def test_single_file_buckets_need_no_sort_if_spark_may_use_their_order(spark, bucketed):
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.legacy.bucketedTableScan.outputOrdering")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert "Sort [order_id" in plan(Q.q10_delivery_minutes(bucketed))
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+        assert "Sort [order_id" not in plan(Q.q10_delivery_minutes(bucketed))
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)
+
+
 def test_bucketed_tables_give_the_same_answers(spark, bucketed):
     t = from_tpch(spark, SF001)
     for job in (Q.q05_undelivered, Q.q10_delivery_minutes, Q.q11_monthly_growth, Q.q13_rider_earnings):

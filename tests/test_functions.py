@@ -1,13 +1,19 @@
 from __future__ import annotations
 
+import datetime as dt
 import itertools
+import pathlib
+import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+import tiffin
 from tests.conftest import D, T
-from tiffin.functions import rounded_ratio, slot_label, wrapped_seconds, years_before
-from tiffin.operators import not_in
+from tiffin.functions import rounded_ratio, seconds_of_day, slot_label, wrapped_seconds, years_before
+from tiffin.operators import keep_top_ranks, not_in, order_key
+from tiffin.operators.ranking import ranked_in_ranges
 
 
 def one(spark, col):
@@ -85,38 +91,93 @@ def test_cluster_conf_sizes_partitions():
     assert conf["spark.sql.adaptive.enabled"] == "true"
 
 
-@pytest.mark.parametrize("method", ["dense", "rank", "row_number"])
-@pytest.mark.parametrize("parts", [1, 3, 7])
-def test_distributed_rank_equals_window(spark, method, parts):
-    import random
+RANKERS = {"dense": F.dense_rank, "rank": F.rank}
+
+
+def ranked_rows(n: int, seed: int) -> list[tuple]:
+    """Groups and values with NULLs, NaN and ties: a third of the rows tie."""
+    rng = random.Random(seed)
+    values = [None, 1.0, 2.0, -2.5, 3.0, 5.0, 8.0, float("nan"), float("inf")]
+    return [(rng.choice(["a", "a", "a", "b", None]), 2.0 if i % 3 == 0 else rng.choice(values), i) for i in range(n)]
+
 
-    from pyspark.sql import Window
+def by_window(df, groups, method, descending):
+    window = Window.partitionBy(*groups).orderBy(order_key("v", descending))
+    return df.withColumn("r", RANKERS[method]().over(window).cast("bigint"))
 
-    from tiffin.operators.ranking import _RANKERS, distributed_rank, order_key
 
-    rng = random.Random(parts)
-    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, 1.0, 2.0, 2.0, 3.0, 5.0, 8.0]), i)
-            for i in range(300)]
-    df = spark.createDataFrame(rows, "g string, v double, id long")
-    got = distributed_rank(df, ["g"], "v", method, "r", num_partitions=parts)
-    w = Window.partitionBy("g").orderBy(order_key("v"), "id") if method == "row_number" else \
-        Window.partitionBy("g").orderBy(order_key("v"))
-    want = df.withColumn("r", _RANKERS[method]().over(w))
-    if method == "row_number":
-        # row numbers among ties are arbitrary; compare the multiset per (g, v)
-        key = lambda r: (str(r.g), str(r.v), r.r)
-        assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
-    else:
-        assert sorted(map(tuple, got.select("id", "r").collect())) == \
-            sorted(map(tuple, want.select("id", "r").collect()))
+@pytest.mark.parametrize("method", ["dense", "rank"])
+@pytest.mark.parametrize("k", [1, 2, 4, None])
+@pytest.mark.parametrize("descending", [True, False])
+def test_ranks_equal_the_window(spark, method, k, descending):
+    df = spark.createDataFrame(ranked_rows(300, k or 0), "g string, v double, id long")
+    got = keep_top_ranks(df, ["g"], "v", k, method, "r", descending)
+    want = by_window(df, ["g"], method, descending)
+    if k:
+        want = want.filter(F.col("r") <= k)
+    assert sorted(tuple(r) for r in got.select("id", "r").collect()) == sorted(tuple(r) for r in want.select("id", "r").collect())
 
 
-def test_distributed_rank_without_groups(spark):
-    from tiffin.operators.ranking import distributed_rank
+@pytest.mark.parametrize("method", ["dense", "rank"])
+@pytest.mark.parametrize("ranges", [1, 3, 7])
+def test_ranges_equal_the_window(spark, method, ranges):
+    df = spark.createDataFrame(ranked_rows(200, ranges), "g string, v double, id long")
+    values = df.groupBy("g", "v").agg(F.count("*").alias("__rank_rows"))
+    got = ranked_in_ranges(values, ["g"], "v", method, "r", True, ranges)
+    want = by_window(df, ["g"], method, True).select("g", "v", "r").distinct()
+    key = lambda r: (str(r["g"]), str(r["v"]), r["r"])
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
 
+
+def test_a_large_k_is_as_lazy_as_a_small_one(spark, tmp_path):
     df = spark.createDataFrame([(v,) for v in [5, 3, 3, None, 1, 5]], "v long")
-    got = [(r.v, r.r) for r in distributed_rank(df, [], "v", "dense", "r", num_partitions=3).collect()]
+    got = [(r.v, r.r) for r in keep_top_ranks(df, [], "v", 1001, "dense", "r").collect()]
     assert sorted(got, key=str) == sorted([(None, 1), (5, 2), (5, 2), (3, 3), (3, 3), (1, 4)], key=str)
+    with pytest.raises(ValueError):
+        keep_top_ranks(df, [], "v", 1, "row_number")
+
+
+def test_no_checkpoint_in_the_query_path():
+    root = pathlib.Path(tiffin.__file__).parent
+    for path in (*root.glob("operators/*.py"), *root.glob("plans/*.py"), *root.glob("functions/*.py")):
+        assert "checkpoint(" not in path.read_text(), path
+
+
+def one_time(spark, value, kind):
+    row = spark.createDataFrame([(value,)], f"t {kind}")
+    return row.select(seconds_of_day(F.col("t"), row.schema["t"].dataType, "t").alias("s")).first()["s"]
+
+
+@pytest.mark.parametrize(("value", "kind", "seconds"), [
+    ("12:30:00", "string", T(12, 30)), (" 7:05 ", "string", T(7, 5)), ("24:00:00", "string", 86400),
+    ("23:59:59.000", "string", T(23, 59, 59)), (None, "string", None), (45000, "int", 45000), (45000, "bigint", 45000),
+    (45000.0, "double", 45000), (None, "double", None), (dt.datetime(2024, 5, 6, 12, 30, 1), "timestamp", T(12, 30, 1)),
+    (dt.datetime(2024, 5, 6, 0, 0, 1), "timestamp_ntz", 1), (None, "timestamp", None),
+])
+def test_times_of_day(spark, value, kind, seconds):
+    assert one_time(spark, value, kind) == seconds
+
+
+@pytest.mark.parametrize(("value", "kind"), [
+    ("12:30:00.5", "string"), ("25:00", "string"), ("24:00:01", "string"), ("12:60", "string"), ("noon", "string"),
+    ("", "string"), (1.5, "double"), (dt.datetime(2024, 5, 6, 12, 30, 1, 500000), "timestamp"),
+])
+def test_a_time_that_would_lose_something_is_an_error(spark, value, kind):
+    with pytest.raises(Exception, match="not a time of day"):
+        one_time(spark, value, kind)
+
+
+def test_spark_time_type(spark):
+    old = spark.conf.get("spark.sql.timeType.enabled")
+    spark.conf.set("spark.sql.timeType.enabled", "true")
+    try:
+        row = spark.sql("SELECT TIME'12:30:00' AS t, TIME'12:30:00.25' AS f")
+        found = row.select(seconds_of_day(F.col("t"), row.schema["t"].dataType)).first()[0]
+        assert found == T(12, 30)
+        with pytest.raises(Exception, match="not a time of day"):
+            row.select(seconds_of_day(F.col("f"), row.schema["f"].dataType)).collect()
+    finally:
+        spark.conf.set("spark.sql.timeType.enabled", old)
 
 
 def test_slot_label_equals_the_twelve_branch_case_for_every_second(spark):
@@ -146,24 +207,6 @@ def test_rounded_ratio_matches_decimal_half_away_from_zero(spark):
         assert got[(n, d)] == want, (n, d)
 
 
-def test_keep_top_ranks_above_group_limit_threshold(spark):
-    from tiffin.operators import keep_top_ranks
-
-    df = spark.createDataFrame([("a", i % 50) for i in range(200)] + [("b", 1)], "g string, v long")
-    old = spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
-    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "3")
-    try:
-        got = keep_top_ranks(df, ["g"], "v", 5, method="dense")
-        text = got._jdf.queryExecution().executedPlan().toString()
-        rows = got.collect()
-    finally:
-        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", old)
-    assert "__rank_pid" in text  # the distributed path (range partitions, checkpointed)
-    assert sorted({(r.g, r.v, r.rank1) for r in rows}) == sorted(
-        [("a", 49 - i, i + 1) for i in range(5)] + [("b", 1, 1)])
-    assert len(rows) == 5 * 4 + 1
-
-
 @pytest.mark.parametrize("left_name,right_name", list(itertools.product(LEFTS, SETS)))
 def test_q08_matches_sql_not_in(spark, make_tables, left_name, right_name):
     from tiffin.plans import questions as Q

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from tests.conftest import D, T, collect
 from tiffin.plans import questions as Q
+from tiffin.sources import read_catalog_tables, write_catalog_tables
 
 SKEW_CONF = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -52,6 +53,13 @@ def test_hot_order_and_customer(spark, make_tables):
         assert "skew=true" in _executed(q13)
         assert sum(r[2] for r in collect(q13)) == 10.0 * len(deliveries)
 
+        # a bucketed copy could not split the hot order, so nothing is bucketed
+        bucketed = write_catalog_tables(t, "tiffin_hot", buckets=16)
+        assert bucketed == []
+        shuffled = Q.q10_delivery_minutes(read_catalog_tables(spark, "tiffin_hot"))
+        assert "skew=true" in _executed(shuffled)
+        assert sorted(collect(shuffled)) == sorted(rows)
+
         q03 = collect(Q.q03_avg_order_value(t, min_orders=50, lookup_rows=0))
         hot_orders = sum(1 for o in orders if o[1] == 7)
         assert q03 == [("c7", hot_orders, 10.0)]

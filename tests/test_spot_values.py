@@ -5,10 +5,15 @@ from __future__ import annotations
 import pytest
 
 from tests.conftest import SF01, collect
-from tiffin.plans import run
+from tiffin.plans import test_job
 from tiffin.sources import from_tpch
 
 
+def run(key, tables):
+    job, params = test_job(key)
+    return job(tables, **params)
+
+
 @pytest.fixture(scope="module")
 def t(spark):
     return from_tpch(spark, SF01)
@@ -74,11 +79,11 @@ def test_audits(t):
 
 
 def test_report_equals_every_standalone_job(spark, t):
-    from tiffin.plans.catalog import CATALOG, TEST_AS_OF, TEST_CUSTOMER
+    from tiffin.plans.catalog import TEST_AS_OF, TEST_CUSTOMER
     from tiffin.plans.report import report
 
     shared = report(t, as_of=TEST_AS_OF, customer_name=TEST_CUSTOMER, min_orders=15, min_total=4_000_000,
                     active_year=2000, absent_year=2001, previous_year=2000, current_year=2001)
     for key, df in shared.items():
-        job, params = CATALOG[key]
+        job, params = test_job(key)
         assert sorted(collect(df), key=str) == sorted(collect(job(t, **params)), key=str), key

@@ -1,10 +1,14 @@
 from __future__ import annotations
 
+import datetime as dt
 import io
 import os
 import tempfile
 from contextlib import redirect_stdout
 
+import pytest
+from pyspark.sql import functions as F
+
 from tests.conftest import SF001, collect
 from tiffin.plans import questions as Q
 from tiffin.plans.catalog import TEST_AS_OF
@@ -81,8 +85,6 @@ def test_cli_explain(spark, capsys):
 
 
 def test_write_tables_spreads_a_hot_date(spark, make_tables):
-    import datetime as dt
-
     from tests.conftest import T
 
     hot = dt.date(2024, 1, 1)
@@ -105,10 +107,116 @@ def test_write_tables_spreads_a_hot_date(spark, make_tables):
     assert sum(sizes) == 3000 and len(sizes) >= 3 and sizes[-1] < 3000 * 2 // 3
 
 
-def test_cli_param_values():
-    import datetime as dt
+def test_cli_reads_parameters_by_their_type():
+    from tiffin.plans.catalog import parse_params
+
+    got = parse_params({"customer_name": "12", "years": "3", "as_of": "2024-06-30", "keep_rank": "None", "min_total": "5",
+                        "share": "0.08", "cols": "a,b"})
+    assert got == {"customer_name": "12", "years": 3, "as_of": dt.date(2024, 6, 30), "keep_rank": None, "min_total": 5.0,
+                   "share": "0.08", "cols": ["a", "b"]}
+    with pytest.raises(ValueError):
+        parse_params({"year": "3"})
+
+
+def worksheet_rows(make_tables):
+    """Tables on which the worksheet's literals select something."""
+    customers = [(1, "Arjun Mehta", None), (2, "12", None)]
+    restaurants = [(1, "R1", "C1", None), (2, "R2", "C1", None)]
+    today = dt.date.today()
+    dates = [dt.date(2023, 5, 1), dt.date(2024, 5, 1), today]
+    orders = [(i, 1 if i % 9 else 2, 1 + i % 2, "dish", dates[i % 3] if i % 9 else dates[0], 3600, "F", 150.25) for i in range(1000)]
+    deliveries = [(i, i, "Delivered", 7200, 1) for i in range(0, 1000, 2)]
+    return make_tables(customers=customers, restaurants=restaurants, orders=orders, riders=[(1, "r", None)], deliveries=deliveries)
+
+
+def test_cli_runs_with_the_worksheet_literals(spark, make_tables, capsys):
+    """``run`` without parameters and ``report`` answer the same on real tables."""
+    from tiffin.__main__ import main
+
+    root = os.path.join(tempfile.mkdtemp(prefix="tiffin-literals-"), "m")
+    write_tables(worksheet_rows(make_tables), root)
+    out = tempfile.mkdtemp(prefix="tiffin-literals-out-")
+    assert main(["report", "--tables", root, "--out", os.path.join(out, "report")], spark=spark) == 0
+    for key in ("q01_top_dishes", "q03_avg_order_value", "q04_high_spenders", "q06_top_restaurant_by_city",
+                "q08_lapsed_customers", "q09_cancellation_rate"):
+        assert main(["run", key, "--tables", root, "--out", os.path.join(out, key)], spark=spark) == 0
+        rows = sorted(map(tuple, spark.read.parquet(os.path.join(out, key)).collect()))
+        assert rows and rows == sorted(map(tuple, spark.read.parquet(os.path.join(out, "report", key)).collect())), key
+    assert main(["run", "q01_top_dishes", "--tables", root, "--param", "customer_name=12"], spark=spark) == 0
+    capsys.readouterr()
+    main(["list"])
+    listed = capsys.readouterr().out
+    assert "min_orders=750" in listed and "min_total=100000" in listed and "customer_name=Arjun Mehta" in listed
+
+
+@pytest.mark.parametrize("kind", ["string", "timestamp", "int"])
+def test_tables_with_time_columns(spark, kind):
+    """Q2 and Q10 from times as text, timestamps or numbers are the same."""
+    t = from_tpch(spark, SF001)
+    root = tempfile.mkdtemp(prefix=f"tiffin-time-{kind}-")
+    for name in ("orders", "deliveries"):
+        df = getattr(t, name)
+        column = "order_time" if name == "orders" else "delivery_time"
+        seconds = F.col(column)
+        if kind == "string":
+            other = F.format_string("%02d:%02d:%02d", F.floor(seconds / 3600), F.floor(seconds / 60) % 60, seconds % 60)
+            other = F.when(seconds.isNotNull(), other)
+        elif kind == "timestamp":
+            other = F.timestamp_seconds(seconds)
+        else:
+            other = seconds.cast("int")
+        df.withColumn(column, other).write.parquet(os.path.join(root, name))
+    back = read_tables(spark, root)
+    for job in (Q.q02_time_slots, Q.q10_delivery_minutes):
+        assert sorted(collect(job(back)), key=str) == sorted(collect(job(t)), key=str)
+
+
+def test_read_tables_finds_single_files(spark):
+    root = tempfile.mkdtemp(prefix="tiffin-files-")
+    spark.createDataFrame([(1, "r", None)], "rider_id long, rider_name string, sign_up date").write.parquet(os.path.join(root, "riders.parquet"))
+    assert collect(read_tables(spark, root).riders) == [(1, "r", None)]
+
+
+def test_intermediates_go_with_their_context(spark):
+    from tiffin.sources import Intermediates
+
+    with Intermediates(spark) as work:
+        assert work.write(spark.range(3), "three").count() == 3
+        root = work.root.removeprefix("file:")
+        assert os.path.isdir(root)
+    assert not os.path.exists(root)
+
+
+class StubContext:
+    def __init__(self, master, folder=None):
+        self.master, self.folder = master, folder
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+    def getConf(self):
+        return {}
+
+
+class StubConf(dict):
+    def set(self, key, value):
+        self[key] = value
+
+
+class StubSession:
+    def __init__(self, *args):
+        self.sparkContext, self.conf = StubContext(*args), StubConf()
+
 
-    from tiffin.__main__ import _value
+def test_checkpoint_folder():
+    from tiffin.session import ensure_checkpoint_dir
 
-    assert _value("750") == 750 and _value("0.08") == 0.08 and _value("None") is None
-    assert _value("2024-06-30") == dt.date(2024, 6, 30) and _value("Arjun Mehta") == "Arjun Mehta"
+    assert ensure_checkpoint_dir(StubSession("yarn", "hdfs://ck/1")) == "hdfs://ck/1"
+    for master in ("yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            ensure_checkpoint_dir(StubSession(master))
+    local = StubSession("local[2]")
+    assert os.path.isdir(ensure_checkpoint_dir(local)) and local.sparkContext.folder

@@ -11,32 +11,21 @@
 ``--tables`` reads ``customers/ restaurants/ orders/ riders/ deliveries/``
 (Parquet); ``--catalog`` reads the co-bucketed catalog tables of
 :mod:`tiffin.sources.catalog`; ``--tpch`` derives them from TPC-H-style inputs.  Without
-``--out`` the first rows are shown.  ``--param`` overrides a job parameter
-(values are parsed as int, float, ``None`` or dates where they look like one).
+``--out`` the first rows are shown.  ``--param`` overrides a job parameter,
+read by that parameter's own type.  Defaults are the worksheet's literals;
+with ``--tpch`` they are the parameters of the registered queries, which fit that data.
 """
 
 from __future__ import annotations
 
 import argparse
-import datetime as dt
 import sys
 
 from pyspark.sql import SparkSession
 
 
-def _value(text: str):
-    if text == "None":
-        return None
-    for parse in (int, float, dt.date.fromisoformat):
-        try:
-            return parse(text)
-        except ValueError:
-            pass
-    return text
-
-
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    from tiffin.plans.catalog import CATALOG
+    from tiffin.plans.catalog import CATALOG, parse_params, test_job
 
     parser = argparse.ArgumentParser(prog="python -m tiffin")
     sub = parser.add_subparsers(dest="command", required=True)
@@ -83,16 +72,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         tables = read_catalog_tables(spark, args.catalog)
     else:
         tables = from_tpch(spark, args.tpch)
-    overrides = dict(p.split("=", 1) for p in args.param)
+    overrides = parse_params(dict(p.split("=", 1) for p in args.param))
     if args.command == "report":
         from tiffin.plans.report import report, write_report
+        from tiffin.sources import Intermediates
 
-        write_report(report(tables, **{k: _value(v) for k, v in overrides.items()}), args.out)
+        with Intermediates(spark) as work:
+            write_report(report(tables, **overrides, work=work), args.out)
         return 0
-    job, params = CATALOG[args.key]
+    job, params = test_job(args.key) if args.tpch else CATALOG[args.key]
     if args.command == "explain" and args.at_scale:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    df = job(tables, **{**params, **{k: _value(v) for k, v in overrides.items()}})
+    df = job(tables, **{**params, **overrides})
     if args.command == "explain":
         df.explain(mode=args.mode)
         return 0

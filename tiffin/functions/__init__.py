@@ -1,11 +1,11 @@
 """Column-expression helpers; all built-in Spark SQL functions (no UDFs)."""
 
 from tiffin.functions.dates import as_of_date, in_any_year, in_year, month_text, years_before
-from tiffin.functions.money import exact, exact_sum, rounded_ratio, to_double
-from tiffin.functions.timeofday import hour_of, slot_label, time_difference, wrapped_seconds
+from tiffin.functions.money import money_sums, money_value, rounded_ratio
+from tiffin.functions.timeofday import hour_of, seconds_of_day, slot_label, time_difference, wrapped_seconds
 
 __all__ = [
-    "as_of_date", "exact", "exact_sum", "hour_of", "in_any_year", "in_year", "month_text",
-    "rounded_ratio", "slot_label", "time_difference", "to_double", "wrapped_seconds",
+    "as_of_date", "hour_of", "in_any_year", "in_year", "money_sums", "money_value", "month_text",
+    "rounded_ratio", "seconds_of_day", "slot_label", "time_difference", "wrapped_seconds",
     "years_before",
 ]

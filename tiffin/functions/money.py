@@ -1,11 +1,14 @@
-"""Exact money sums and exact decimal rounding.
+"""Money sums that lose nothing, and exact decimal rounding.
 
 Summing ``double`` amounts gives results that depend on the order rows are
-added, i.e. on partitioning.  Amounts are therefore summed as
-``DECIMAL(18,2)`` (exact, order-independent; amounts with more than two
-decimals are rounded to the cent first) and turned into ``double`` only at the
-end.  Percentages are rounded with integer arithmetic, half away from zero,
-which is what ``ROUND(numeric, 2)`` does.
+added, i.e. on partitioning.  Finite amounts below ``LARGE`` are therefore summed as
+``DECIMAL(38, SCALE)`` (exact, order-independent) and turned into ``double``
+only at the end; what an amount has below ``10**-SCALE`` is rounded to it,
+half up.  NaN, the infinities and larger amounts are summed beside them as
+``double`` and added at the end, so a NaN makes the sum NaN and an infinity
+makes it infinite, as ``SUM`` over ``FLOAT`` does; sums with a finite amount of ``LARGE``
+or more have the usual rounding of doubles.  Percentages are rounded with
+integer arithmetic, half away from zero, which is what ``ROUND(numeric, 2)`` does.
 """
 
 from __future__ import annotations
@@ -13,22 +16,31 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONEY = "decimal(18,2)"
+#: Decimals kept of each amount.  Doubles of everyday size have no exact
+#: decimals far beyond this.
+SCALE = 6
+LARGE = 1e18
 
+#: A sum is a pair of columns: ``name`` and ``name + ODD``.
+ODD = "_odd"
 
-def exact(amount: Column) -> Column:
-    """An amount as an exact two-decimal number."""
-    return amount.cast(MONEY)
 
+def money_sums(amount: Column, name: str, scale: int = SCALE) -> dict[str, Column]:
+    """The two aggregates of ``SUM(amount)``: the exact sum of everyday
+    amounts and the sum of the others (each NULL if there are none).  Both
+    can be summed again."""
+    everyday = F.abs(amount) < F.lit(LARGE)  # false for NaN and the infinities
+    return {
+        name: F.sum(F.when(everyday, amount.cast(f"decimal(38,{scale})"))),
+        name + ODD: F.sum(F.when(~everyday, amount)),
+    }
 
-def exact_sum(amount: Column) -> Column:
-    """``SUM(amount)`` without floating-point order effects (NULL when every
-    amount is NULL)."""
-    return F.sum(exact(amount))
 
-
-def to_double(value: Column) -> Column:
-    return value.cast("double")
+def money_value(name: str) -> Column:
+    """The sum that ``money_sums`` left in two columns, as ``double`` (NULL
+    when every amount is NULL)."""
+    exact, odd = F.col(name).cast("double"), F.col(name + ODD)
+    return F.when(odd.isNull(), exact).otherwise(odd + F.coalesce(exact, F.lit(0.0)))
 
 
 def _int_div(x: Column, y: Column) -> Column:

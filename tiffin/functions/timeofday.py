@@ -9,9 +9,42 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SECONDS_PER_DAY = 86400
 
+# The text forms of a time of day.
+TIME_TEXT = r"^\s*(\d{1,2}):(\d{2})(?::(\d{2})(?:\.(\d{1,9}))?)?\s*$"
+
+
+def seconds_of_day(value: Column, kind: T.DataType, name: str = "time") -> Column:
+    """A time of day as whole seconds, from a text ``HH:MM[:SS[.f]]``, a
+    timestamp (its time of day), Spark's ``TIME`` type, or a number of seconds.
+
+    24:00:00 is 86400.  NULL stays NULL.  Text that is no time of day, and a
+    value with a fraction of a second (which whole seconds would lose), raise
+    an error that names the column and the value.
+    """
+    if isinstance(kind, T.IntegralType):
+        return value.cast("bigint")
+    if isinstance(kind, (T.FractionalType, T.DecimalType)):
+        whole = F.floor(value).cast("bigint")
+        return F.when(value.isNull() | (whole == value), whole).otherwise(_no_time(value, name))
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        text = F.date_format(value, "HH:mm:ss.SSSSSS")
+    else:
+        text = value.cast("string")
+    part = [F.regexp_extract(text, TIME_TEXT, i) for i in (1, 2, 3, 4)]
+    hours, minutes, seconds = (F.coalesce(F.try_to_number(p, F.lit("99")).cast("bigint"), F.lit(0)) for p in part[:3])
+    total = hours * 3600 + minutes * 60 + seconds
+    valid = text.rlike(TIME_TEXT) & (minutes < 60) & (seconds < 60) & (total <= SECONDS_PER_DAY) & part[3].rlike("^0*$")
+    return F.when(text.isNull() | valid, F.when(text.isNotNull(), total)).otherwise(_no_time(text, name))
+
+
+def _no_time(value: Column, name: str) -> Column:
+    message = F.concat(F.lit(f"{name}: not a time of day in whole seconds: "), value.cast("string"))
+    return F.raise_error(message).cast("bigint")
+
 
 def hour_of(seconds: Column) -> Column:
     """``EXTRACT(HOUR FROM t)``: 0..23, and 24 for 24:00:00."""

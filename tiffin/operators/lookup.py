@@ -2,7 +2,7 @@
 
 "Revenue per city" when the city is a column of restaurants: the facts
 (orders) must meet the lookup on its key before they can be grouped.  Two
-exact plans, chosen by the lookup's *checked* row count:
+exact plans, chosen by the lookup's *checked* number of rows and bytes:
 
 * small lookup -- broadcast it and join first: the facts are never
   shuffled; only the partial aggregates of the final groups are.
@@ -34,6 +34,7 @@ def rollup_through_lookup(
     group_by: Sequence[str],
     measures: Mapping[str, Column],
     max_broadcast_rows: int = DEFAULT_LOOKUP_ROWS,
+    memo: dict[int, tuple[int, int]] | None = None,
 ) -> DataFrame:
     """``facts JOIN lookup USING (key) GROUP BY group_by`` with ``measures``
     (COUNT/SUM column expressions over fact columns, keyed by output name).
@@ -41,7 +42,7 @@ def rollup_through_lookup(
     ``group_by`` may mix lookup columns and fact columns; ``lookup`` should
     be projected to ``key`` plus the columns it contributes.
     """
-    if is_small(lookup, max_broadcast_rows):
+    if is_small(lookup, max_broadcast_rows, memo=memo):
         joined = facts.join(F.broadcast(lookup), key)
         return joined.groupBy(*group_by).agg(*[expr.alias(name) for name, expr in measures.items()])
     fact_groups = [c for c in group_by if c not in lookup.columns]

@@ -73,7 +73,8 @@ def reference_audit(
         .groupBy(F.col(child_key).alias("k"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    parents = parent.filter(F.col(parent_key).isNotNull()).select(F.col(parent_key).alias("k")).distinct()
+    # no DISTINCT: an anti join ignores repeated parents, and the keys are unique anyway
+    parents = parent.select(F.col(parent_key).alias("k"))
     dangling = refs.join(parents, "k", "left_anti")
     return _report(dangling.agg(F.sum("n").alias("violations")), constraint, child_table, child_key)
 

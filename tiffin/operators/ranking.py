@@ -1,26 +1,34 @@
-"""Rank filters ("top k with ties") over grouped results.
-
-``rank <= k`` filters are recognised by Catalyst, which inserts a partial
-``WindowGroupLimit`` before the shuffle and a final one after it: each map
-task forwards only the rows that can still be in the top ``k`` ranks of their
-group, so a group holding a third of all rows does not move a third of all
-rows into one task.
-
-A full ranking (``k=None``) has no such cut: a window partitioned by the
-group would sort a hot group in one task.  :func:`distributed_rank` computes
-the same ranks from a range partitioning instead (local ranks per partition
-plus per-group offsets from the partitions before), so no task holds more
-than one range partition.
+"""Rank filters ("top k with ties") and full rankings over grouped results.
+
+Ranks depend on the distinct values of a group alone, so rows are first
+counted per (group, value), map-side before any shuffle, the *values* are
+ranked, and the ranks are joined back to the rows.  A value that a third
+of all rows share is one row while it is ranked; its ties meet again only in the
+join, whose large side Spark splits.
+
+* ``k`` up to ``MAX_TOP``: ``row_number <= k`` over the values is recognised by
+  Catalyst, which keeps at most k values per group and task before the shuffle.
+* a full ranking (``k=None``, or a larger k): the values of a group may be as
+  many as its rows, so they are ranked in ranges.  The bounds of the ranges
+  are quantiles of the values, computed once and put into the plan as literals;
+  a value's range is then a function of the value, and its rank is its place in
+  the range plus the sizes of the ranges before.  Nothing is written or checkpointed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_RANKERS = {"dense": F.dense_rank, "rank": F.rank, "row_number": F.row_number}
+METHODS = ("dense", "rank")
+
+#: Above this Catalyst adds no limit per task (its own default threshold).
+MAX_TOP = 1000
+
+_VALUES = "__rank_rows"
 
 
 def order_key(col: str, descending: bool = True, nulls: str = "sql") -> Column:
@@ -43,81 +51,69 @@ def keep_top_ranks(
     rank_col: str = "rank1",
     descending: bool = True,
 ) -> DataFrame:
-    """Add ``rank_col`` (bigint) ranking rows within ``partition_by`` by
-    ``order_by`` and keep ranks ``<= k`` (all rows when ``k`` is None)."""
-    if k is None:
-        return distributed_rank(df, partition_by, order_by, method, rank_col, descending)
-    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if k > limit:
-        # Catalyst adds no WindowGroupLimit above the threshold: rank distributed, then cut.
-        ranked = distributed_rank(df, partition_by, order_by, method, rank_col, descending)
-        return ranked.filter(F.col(rank_col) <= F.lit(int(k)))
+    """Add ``rank_col`` (bigint) ranking rows within ``partition_by`` by the
+    numeric column ``order_by`` and keep ranks ``<= k`` (all rows when ``k``
+    is None)."""
+    if method not in METHODS:
+        raise ValueError(f"method must be one of {METHODS}")
+    values = df.groupBy(*partition_by, order_by).agg(F.count(F.lit(1)).alias(_VALUES))
+    if k is None or k > MAX_TOP:
+        ranked = ranked_in_ranges(values, partition_by, order_by, method, rank_col, descending)
+    else:
+        ranked = ranked_top(values, partition_by, order_by, int(k), method, rank_col, descending)
+    if k is not None:
+        ranked = ranked.filter(F.col(rank_col) <= F.lit(int(k)))
+    keys = [*partition_by, order_by]
+    ranks = ranked.select(*[F.col(c).alias(f"__rank_{i}") for i, c in enumerate(keys)], rank_col)
+    # NULL is a group and a value of its own, so keys are matched null-safely.
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__rank_{i}")) for i, c in enumerate(keys)])
+    return df.join(ranks, same).select(*df.columns, rank_col)
+
+
+def ranked_top(
+    values: DataFrame, partition_by: Sequence[str], order_by: str, k: int, method: str, rank_col: str, descending: bool
+) -> DataFrame:
+    """Ranks of the first k values of each group."""
     window = Window.partitionBy(*partition_by).orderBy(order_key(order_by, descending))
-    ranked = df.withColumn(rank_col, _RANKERS[method]().over(window))
-    ranked = ranked.filter(F.col(rank_col) <= F.lit(int(k)))
-    return ranked.withColumn(rank_col, F.col(rank_col).cast("bigint"))
-
-
-_PID = "__rank_pid"
+    top = values.withColumn("__place", F.row_number().over(window)).filter(F.col("__place") <= F.lit(k))
+    if method == "dense":
+        return top.withColumn(rank_col, F.col("__place").cast("bigint"))
+    before = window.rowsBetween(Window.unboundedPreceding, -1)
+    return top.withColumn(rank_col, F.coalesce(F.sum(_VALUES).over(before), F.lit(0)) + 1)
 
 
-def distributed_rank(
-    df: DataFrame,
+def ranked_in_ranges(
+    values: DataFrame,
     partition_by: Sequence[str],
     order_by: str,
-    method: str = "dense",
-    rank_col: str = "rank1",
-    descending: bool = True,
-    num_partitions: int | None = None,
+    method: str,
+    rank_col: str,
+    descending: bool,
+    ranges: int | None = None,
 ) -> DataFrame:
-    """``rank``/``dense_rank``/``row_number`` over (``partition_by``,
-    ``order_by``) for every row, without putting a whole group in one task.
-
-    1. Range-partition by (group, value): each partition holds a contiguous
-       stretch of the sort order, and equal keys never straddle partitions
-       (the range partitioner sends equal keys to the same partition).
-    2. Rank locally within (partition, group) -- at most one partition's rows.
-    3. Per (partition, group), count rows and distinct values; a running sum
-       over the partitions before (a window over at most one row per
-       partition and group) gives the offsets to add.
-
-    Both the local ranks and the offsets depend on which partition a row
-    landed in, so the partition ids must be the same for both: the
-    range-partitioned rows are checkpointed (to the shared
-    ``spark.checkpoint.dir``) with their ids, once.  Two separate range
-    exchanges could sample different bounds; a checkpoint cannot change, and
-    a lost executor re-reads it instead of re-partitioning.
-    """
-    from tiffin.session import ensure_checkpoint_dir
-
+    """Ranks of all values of each group, range by range."""
+    ranges = ranges or int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = [i / ranges for i in range(1, ranges)]
+    bounds = []
+    if shares:
+        bounds = sorted(set(values.select(F.percentile_approx(F.col(order_by).cast("double"), shares)).first()[0] or []))
+    value = F.col(order_by).cast("double")
+    place = F.lit(0)
+    if bounds:
+        place = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < value))
+    # NULL sorts as the largest value
+    place = F.when(F.col(order_by).isNull(), F.lit(len(bounds) + 1)).otherwise(place)
+    placed = values.withColumn("__range", -place if descending else place)
+
+    counted = F.lit(1) if method == "dense" else F.col(_VALUES)
     groups = list(partition_by)
-    sort_key = order_key(order_by, descending)
-    spark = df.sparkSession
-    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *[F.col(g).asc_nulls_first() for g in groups], sort_key)
-    ensure_checkpoint_dir(spark)
-    with_pid = ranged.withColumn(_PID, F.spark_partition_id()).checkpoint(eager=True)
-
-    local_window = Window.partitionBy(_PID, *groups).orderBy(sort_key)
-    local = with_pid.withColumn("__local", _RANKERS[method]().over(local_window))
-    if method == "rank":
-        # RANK counts the rows before; the offset is the rows of earlier partitions.
-        per_part = F.count(F.lit(1))
-    elif method == "dense":
-        per_part = F.count_distinct(F.col(order_by)) + F.max(F.col(order_by).isNull().cast("int"))
-    else:
-        per_part = F.count(F.lit(1))
-    sizes = with_pid.groupBy(_PID, *groups).agg(per_part.alias("__size"))
-    before = Window.partitionBy(*groups).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("__offset", F.coalesce(F.sum("__size").over(before), F.lit(0)))
-    # NULL is a group of its own, so the group columns are matched null-safely.
-    renamed = offsets.select(
-        F.col(_PID).alias("__o_pid"), *[F.col(g).alias(f"__o_{i}") for i, g in enumerate(groups)], "__offset"
-    )
-    cond = [F.col(_PID) == F.col("__o_pid")] + [
-        F.col(g).eqNullSafe(F.col(f"__o_{i}")) for i, g in enumerate(groups)
-    ]
-    ranked = local.join(renamed, cond, "inner")
-    return ranked.withColumn(rank_col, (F.col("__offset") + F.col("__local")).cast("bigint")).drop(
-        _PID, "__local", "__offset", "__o_pid", *[f"__o_{i}" for i in range(len(groups))]
-    )
+    own = Window.partitionBy(*groups, "__range").orderBy(order_key(order_by, descending))
+    earlier = own.rowsBetween(Window.unboundedPreceding, -1)
+    local = placed.withColumn("__local", F.coalesce(F.sum(counted).over(earlier), F.lit(0)))
+    sizes = placed.groupBy(*groups, "__range").agg(F.sum(counted).alias("__size"))
+    before = Window.partitionBy(*groups).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("__offset", F.coalesce(F.sum("__size").over(before), F.lit(0)))
+    keys = [*groups, "__range"]
+    offsets = sizes.select(*[F.col(c).alias(f"__key_{i}") for i, c in enumerate(keys)], "__offset")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__key_{i}")) for i, c in enumerate(keys)])
+    return local.join(offsets, same).withColumn(rank_col, (F.col("__offset") + F.col("__local") + 1).cast("bigint"))

@@ -2,6 +2,6 @@
 batch report (:mod:`tiffin.plans.report`)."""
 
 from tiffin.plans import checks, questions
-from tiffin.plans.catalog import CATALOG, query_functions, run
+from tiffin.plans.catalog import CATALOG, query_functions, test_job
 
-__all__ = ["CATALOG", "checks", "query_functions", "questions", "run"]
+__all__ = ["CATALOG", "checks", "query_functions", "questions", "test_job"]

@@ -6,9 +6,9 @@ worksheet, and returns a lazy DataFrame.
 
 Design rules applied throughout (the plans must hold at 100 TB):
 
-* **Small lookups are broadcast only after a checked row count.**  Q1's
+* **Small lookups are broadcast only after a check of rows and bytes.**  Q1's
   named customers and the customers/restaurants lookups of Q3, Q4, Q6 and Q7
-  are counted first (one global count job); under the bound they are
+  are measured first (one global aggregate for each lookup of a ``Tables``); under the bounds they are
   broadcast and the orders are filtered and joined where they are read, with
   no shuffle of orders at all (:mod:`tiffin.operators.broadcast`,
   :mod:`tiffin.operators.lookup`).
@@ -28,7 +28,8 @@ Design rules applied throughout (the plans must hold at 100 TB):
   Spark's own size thresholds.
 * **Filters as ranges.**  Year and cut-off filters are written as date
   ranges against literals, which Parquet uses to skip row groups.
-* **Exact arithmetic.**  Money is summed as DECIMAL(18,2); percentages are
+* **Exact arithmetic.**  Everyday amounts are summed as decimals, NaN,
+  infinite and huge ones beside them; percentages are
   rounded with integer arithmetic (see :mod:`tiffin.functions.money`).
 """
 
@@ -41,9 +42,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiffin.functions import (
-    exact_sum,
     in_any_year,
     in_year,
+    money_sums,
+    money_value,
     month_text,
     rounded_ratio,
     slot_label,
@@ -51,7 +53,8 @@ from tiffin.functions import (
     wrapped_seconds,
     years_before,
 )
-from tiffin.operators import broadcast_if_small, keep_top_ranks, order_key, rollup_through_lookup
+from tiffin.functions.money import ODD
+from tiffin.operators import broadcast_if_small, keep_top_ranks, not_in, order_key, rollup_through_lookup
 from tiffin.sources import Tables
 
 DateLike = dt.date | str | None
@@ -65,8 +68,9 @@ DEFAULT_RIDER_SHARE = "0.08"
 DELIVERED = "Delivered"
 GOLD, SILVER = "Gold", "silver"
 
-# Lookup tables (customers, restaurants) with at most this many rows are
-# broadcast after a row-count check; larger ones take the shuffle plan.
+# Lookup tables (customers, restaurants) with at most this many rows (and
+# operators.broadcast.DEFAULT_MAX_BYTES bytes) are broadcast after a check;
+# larger ones take the shuffle plan.
 DEFAULT_LOOKUP_ROWS = 500_000
 
 
@@ -203,14 +207,13 @@ def rider_earnings(delivered_orders: DataFrame, share: str | float | Decimal) ->
     """Q13 core over one row per delivery carrying its order's
     ``order_date`` and ``total_amount`` (deliveries joined to orders)."""
     monthly = delivered_orders.groupBy("rider_id", month_text(F.col("order_date")).alias("month1")).agg(
-        exact_sum(F.col("total_amount")).alias("revenue")
+        *named(money_sums(F.col("total_amount"), "revenue"))
     )
-    rate = F.lit(Decimal(str(share)))
     return monthly.select(
         "rider_id",
         "month1",
-        _money("revenue").alias("revenue"),
-        (F.col("revenue") * rate).cast("double").alias("riders_earning"),
+        money_value("revenue").alias("revenue"),
+        (money_value("revenue") * F.lit(float(share))).alias("riders_earning"),
     ).orderBy(F.col("rider_id").asc_nulls_last(), F.col("month1").asc_nulls_last())
 
 
@@ -231,17 +234,20 @@ def delivery_minutes_from(delivered_orders: DataFrame, status: str) -> DataFrame
 
 def customer_facts(orders: DataFrame) -> DataFrame:
     """Orders reduced to one row per ``customer_id``: ``n_orders``
-    (COUNT(order_id)), ``spent`` (exact SUM of amounts) and ``n_amounts``
-    (COUNT(total_amount)).  Q3, Q4 and Q12 can all be answered from it."""
+    (COUNT(order_id)), ``spent`` (the two columns of a money sum) and
+    ``n_amounts`` (COUNT(total_amount)).  Q3, Q4 and Q12 can all be answered from it."""
     return orders.groupBy("customer_id").agg(
         F.count("order_id").alias("n_orders"),
-        exact_sum(F.col("total_amount")).alias("spent"),
+        *named(money_sums(F.col("total_amount"), "spent")),
         F.count("total_amount").alias("n_amounts"),
     )
 
 
 def totals_per_name_from_facts(
-    facts: DataFrame, customers: DataFrame, lookup_rows: int = DEFAULT_LOOKUP_ROWS
+    facts: DataFrame,
+    customers: DataFrame,
+    lookup_rows: int = DEFAULT_LOOKUP_ROWS,
+    memo: dict[int, tuple[int, int]] | None = None,
 ) -> DataFrame:
     """Per customer *name*: total_orders, spent, n_amounts, from customer facts."""
     return rollup_through_lookup(
@@ -249,38 +255,44 @@ def totals_per_name_from_facts(
         customers.select("customer_id", "customer_name"),
         "customer_id",
         ["customer_name"],
-        {"total_orders": F.sum("n_orders"), "spent": F.sum("spent"), "n_amounts": F.sum("n_amounts")},
+        {"total_orders": F.sum("n_orders"), **summed_again("spent"), "n_amounts": F.sum("n_amounts")},
         lookup_rows,
+        memo,
     )
 
 
 def avg_order_value_from_totals(per_name: DataFrame, min_orders: int) -> DataFrame:
     """Q3 core over per-name totals."""
     kept = per_name.filter(F.col("total_orders") > F.lit(min_orders))
-    avg = F.when(F.col("n_amounts") > 0, _money("spent") / F.col("n_amounts").cast("double"))
+    avg = F.when(F.col("n_amounts") > 0, money_value("spent") / F.col("n_amounts").cast("double"))
     return kept.select("customer_name", "total_orders", avg.alias("avg_money"))
 
 
 def high_spenders_from_totals(per_name: DataFrame, min_total: float) -> DataFrame:
     """Q4 core over per-name totals."""
-    kept = per_name.filter(F.col("spent") > F.lit(min_total))
-    return kept.select("customer_name", _money("spent").alias("total_money"))
+    kept = per_name.filter(money_value("spent") > F.lit(float(min_total)))
+    return kept.select("customer_name", money_value("spent").alias("total_money"))
 
 
 def segments_from_facts(facts: DataFrame, multiple: float, avg_amount: F.Column) -> DataFrame:
     """Q12 core over customer facts and the average order amount (a scalar)."""
     threshold = F.lit(float(multiple)) * avg_amount
     labelled = facts.withColumn(
-        "category", F.when(F.col("spent") > threshold, F.lit(GOLD)).otherwise(F.lit(SILVER))
+        "category", F.when(money_value("spent") > threshold, F.lit(GOLD)).otherwise(F.lit(SILVER))
     )
-    return labelled.groupBy("category").agg(
-        F.sum("n_orders").cast("bigint").alias("total_orders"),
-        F.sum("spent").cast("double").alias("total_spent"),
+    per_category = labelled.groupBy("category").agg(
+        F.sum("n_orders").cast("bigint").alias("total_orders"), *named(summed_again("spent"))
     )
+    return per_category.select("category", "total_orders", money_value("spent").alias("total_spent"))
+
 
+def named(measures: dict[str, F.Column]) -> list[F.Column]:
+    return [expr.alias(name) for name, expr in measures.items()]
 
-def _money(col: str) -> F.Column:
-    return F.col(col).cast("double")
+
+def summed_again(name: str) -> dict[str, F.Column]:
+    """The two columns of a money sum, added up once more."""
+    return {c: F.sum(c) for c in (name, name + ODD)}
 
 
 # ---------------------------------------------------------------- questions
@@ -308,6 +320,7 @@ def q01_top_dishes(
             "customer_id", "customer_name"
         ),
         max_rows=target_max_rows,
+        memo=t.checked,
     )
     recent = t.orders.filter(F.col("order_date") >= years_before(as_of, years)).select(
         "customer_id", F.col("order_item").alias("dish")
@@ -343,10 +356,11 @@ def _totals_per_customer_name(t: Tables, lookup_rows: int) -> DataFrame:
         ["customer_name"],
         {
             "total_orders": F.count("order_id"),
-            "spent": exact_sum(F.col("total_amount")),
+            **money_sums(F.col("total_amount"), "spent"),
             "n_amounts": F.count("total_amount"),
         },
         lookup_rows,
+        t.checked,
     )
 
 
@@ -401,11 +415,13 @@ def q06_top_restaurant_by_city(
         t.restaurants.select("restaurant_id", "city", "restaurant_name"),
         "restaurant_id",
         ["city", "restaurant_name"],
-        {"revenue": exact_sum(F.col("total_amount"))},
+        money_sums(F.col("total_amount"), "revenue"),
         lookup_rows,
+        t.checked,
     )
+    per_name = per_name.select("city", "restaurant_name", money_value("revenue").alias("revenue"))
     ranked = keep_top_ranks(per_name, ["city"], "revenue", keep_rank, method="dense")
-    return ranked.select("city", "restaurant_name", _money("revenue").alias("revenue"), "rank1")
+    return ranked.select("city", "restaurant_name", "revenue", "rank1")
 
 
 def q07_top_dish_by_city(
@@ -423,6 +439,7 @@ def q07_top_dish_by_city(
         ["city", "dish"],
         {"total_orders": F.count("order_id")},
         lookup_rows,
+        t.checked,
     )
     ranked = keep_top_ranks(per_city, ["city"], "total_orders", keep_rank, method="rank")
     return ranked.select("city", "dish", "total_orders", "rank1")
@@ -459,13 +476,27 @@ def q08_lapsed_customers(t: Tables, active_year: int = 2023, absent_year: int =
     return per_customer.filter(in_active & not_in_s).select("customer_id")
 
 
+def q08_lapsed_customers_not_in(t: Tables, active_year: int = 2023, absent_year: int = 2024) -> DataFrame:
+    """Q8 through the general ``NOT IN`` operator: the same rows as
+    :func:`q08_lapsed_customers`, for sets that do not come from one table.
+
+    Output: customer_id.
+    """
+    o = t.orders.select("customer_id", "order_date")
+    active = o.filter(in_year(F.col("order_date"), active_year)).select("customer_id").distinct()
+    absent = o.filter(in_year(F.col("order_date"), absent_year))
+    return not_in(active, "customer_id", absent, "customer_id")
+
+
 def q09_cancellation_rate(t: Tables, previous_year: int = 2023, current_year: int = 2024) -> DataFrame:
     """Q9. Share (percent, 2 decimals) of order rows without a delivery row,
     per restaurant, in two years; only restaurants with orders in both.
     Orders with several deliveries count once per delivery, as the original
     left join does.  One scan and one join instead of one per year.
 
-    Output: restaurant_id, cancel_rat23 (previous year), cancel_rat24 (current year).
+    Output: restaurant_id, cancel_rat23 (previous year), cancel_rat24
+    (current year).  The column names are part of the contract and stay the
+    same whatever years are passed.
     """
     o = t.orders.filter(in_any_year(F.col("order_date"), [previous_year, current_year])).select(
         "order_id", "restaurant_id", "order_date"
@@ -524,11 +555,9 @@ def q12_segments(t: Tables, multiple: float = 1) -> DataFrame:
     # The average over all orders: a scalar subquery (one global aggregate
     # straight over the scan, each task sending one partial row), evaluated
     # once and inlined into the comparison -- no join.
-    avg_amount = t.orders.agg(
-        F.when(
-            F.count("total_amount") > 0,
-            exact_sum(F.col("total_amount")).cast("double") / F.count("total_amount").cast("double"),
-        ).alias("avg_amount")
+    overall = t.orders.agg(*named(money_sums(F.col("total_amount"), "spent")), F.count("total_amount").alias("n"))
+    avg_amount = overall.select(
+        F.when(F.col("n") > 0, money_value("spent") / F.col("n").cast("double")).alias("avg_amount")
     ).scalar()
     return segments_from_facts(customer_facts(t.orders), multiple, avg_amount)
 

@@ -1,6 +1,6 @@
 """All questions in one batch, sharing the order-delivery facts.
 
-Two fact tables are built once, written as Parquet to the shared checkpoint
+Three fact tables are built once, written as Parquet to the shared checkpoint
 folder, and shared:
 
 * order facts -- orders joined to per-order delivery counts -- answer Q5,
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from tiffin.plans import checks
 from tiffin.plans import questions as Q
-from tiffin.sources import Tables, materialize
+from tiffin.functions import money_value
+from tiffin.sources import Intermediates, Tables
 
 
 def shared_order_facts(t: Tables, status: str = Q.DELIVERED) -> DataFrame:
@@ -58,26 +59,24 @@ def report(
     status: str = Q.DELIVERED,
     multiple: float = 1,
     share: str | float | Decimal = Q.DEFAULT_RIDER_SHARE,
-    materialize_facts: bool = True,
+    work: Intermediates | None = None,
 ) -> dict[str, DataFrame]:
     """Every question (and the quality checks) as lazy DataFrames.
 
-    With ``materialize_facts`` the shared fact table is written once, here
-    (the only eager step); without it the four questions share only the plan.
+    With ``work`` the three shared fact tables are written once, here, and go
+    when that context ends; without it the questions share only their plans.
     """
     facts = shared_order_facts(t, status)
     per_customer = Q.customer_facts(t.orders)
     per_delivery = shared_delivery_facts(t)
-    if materialize_facts:
-        facts = materialize(facts, "order_facts")
-        per_customer = materialize(per_customer, "customer_facts")
-        per_delivery = materialize(per_delivery, "delivery_facts")
-    per_name = Q.totals_per_name_from_facts(per_customer, t.customers)
-    avg_amount = per_customer.agg(
-        F.when(
-            F.sum("n_amounts") > 0,
-            F.sum("spent").cast("double") / F.sum("n_amounts").cast("double"),
-        ).alias("avg_amount")
+    if work is not None:
+        facts = work.write(facts, "order_facts")
+        per_customer = work.write(per_customer, "customer_facts")
+        per_delivery = work.write(per_delivery, "delivery_facts")
+    per_name = Q.totals_per_name_from_facts(per_customer, t.customers, memo=t.checked)
+    overall = per_customer.agg(*Q.named(Q.summed_again("spent")), F.sum("n_amounts").alias("n"))
+    avg_amount = overall.select(
+        F.when(F.col("n") > 0, money_value("spent") / F.col("n").cast("double")).alias("avg_amount")
     ).scalar()
     return {
         "null_count_customers": checks.null_count_customers(t),

@@ -62,7 +62,7 @@ _LOCAL_KEY = "tiffin.local.checkpoint.dir"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the configured checkpoint folder; only when none is configured
+    """Use the checkpoint folder that the user set or configured; only when there is none
     *and* the session is local (a test run) create a private scratch folder.
     On a cluster a machine-local folder would be invisible to the executors,
     so a missing ``spark.checkpoint.dir`` is an error there."""
@@ -73,13 +73,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if root is None:
             raise RuntimeError("set spark.checkpoint.dir on the Spark Connect server") from None
         return root
+    if sc.getCheckpointDir() is not None:
+        # Spark appends a folder of its own to what the user set
+        return sc.getCheckpointDir()
     if root is None:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         root = tempfile.mkdtemp(prefix="tiffin-ckpt-")
         spark.conf.set(_LOCAL_KEY, root)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(root)
+    sc.setCheckpointDir(root)
     return root
 
 

@@ -3,30 +3,51 @@
 Q5, Q9, Q10, Q11 and Q13 all bring deliveries and orders together on
 ``order_id``; at 100 TB that shuffle of both tables dominates the workload.
 Written once with ``bucketBy(n, "order_id")`` into the same number of
-buckets (and sorted by it), both tables arrive already partitioned and
-ordered by the join key: the per-order delivery counts, and the sort-merge
-joins on ``order_id``, then read bucket ``i`` of both sides in one task with
-no exchange.  Bucketing needs a metastore (``saveAsTable``); on a cluster that
-is the shared catalog, in tests Spark's in-memory one.
+buckets, both tables arrive already partitioned by the join key: the per-order
+delivery counts, and the joins on ``order_id``, then read bucket ``i`` of
+both sides in one task with no exchange.  Rows are repartitioned by the key
+first, so a table has one file per bucket, sorted by the key.  Spark still
+sorts each bucket before a sort-merge join unless the session sets
+``spark.sql.legacy.bucketedTableScan.outputOrdering``, which lets it use the
+order of single-file buckets.
+
+Buckets cannot be split when they are read.  If one order (or NULL) has more
+rows than ``HOT_BUCKETS`` average buckets in either table, both are written without
+buckets: joins then shuffle both sides, and adaptive execution splits the hot
+order's partition (it cannot if one side is read in buckets).  Bucketing needs a metastore (``saveAsTable``) and a
+warehouse folder that all executors share.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tiffin.sources.tables import TABLE_NAMES, Tables, conform
 
 BUCKETED_BY_ORDER = ("orders", "deliveries")
 
+#: Average buckets that one key may fill before bucketing hurts more than it saves.
+HOT_BUCKETS = 2
+
+
+def hot_key(df: DataFrame, key: str, buckets: int) -> bool:
+    """Whether one key has more rows than HOT_BUCKETS average buckets (keys
+    are counted map-side first, so the hot one does not hurt here)."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    most, rows = counts.agg(F.max("n"), F.sum("n")).first()
+    return bool(rows) and most > max(HOT_BUCKETS * rows / buckets, 1000)
+
 
 def write_catalog_tables(
     tables: Tables,
     database: str,
     buckets: int,
     mode: str = "overwrite",
-) -> None:
+) -> list[str]:
     """Save the five tables as ``database.<table>``; orders and deliveries
-    bucketed and sorted by ``order_id`` into ``buckets`` buckets.
+    bucketed and sorted by ``order_id`` into ``buckets`` buckets of one file
+    each, unless a hot key forbids it.  Returns the names of the bucketed ones.
 
     Pick ``buckets`` so one bucket of deliveries is a few hundred MB (for
     100 TB of deliveries: tens of thousands); both tables must use the same
@@ -34,11 +55,15 @@ def write_catalog_tables(
     """
     spark = tables.orders.sparkSession
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
-    for name, df in tables.as_dict().items():
-        writer = df.write.mode(mode).format("parquet")
-        if name in BUCKETED_BY_ORDER:
-            writer = writer.bucketBy(buckets, "order_id").sortBy("order_id")
-        writer.saveAsTable(f"{database}.{name}")
+    frames = tables.as_dict()
+    hot = any(hot_key(frames[name], "order_id", buckets) for name in BUCKETED_BY_ORDER)
+    bucketed = [] if hot else list(BUCKETED_BY_ORDER)
+    for name, df in frames.items():
+        writer = df.write
+        if name in bucketed:
+            writer = df.repartition(buckets, "order_id").write.bucketBy(buckets, "order_id").sortBy("order_id")
+        writer.mode(mode).format("parquet").saveAsTable(f"{database}.{name}")
+    return bucketed
 
 
 def read_catalog_tables(spark: SparkSession, database: str) -> Tables:

@@ -3,9 +3,10 @@
 The test data the project is checked on is a TPC-H-like star schema
 (``customer supplier nation part orders lineitem``).  This module maps it to
 customers, restaurants, orders, riders and deliveries.  Every column is a
-row-local expression; the only lookups are the nation name (25 rows) and the
-dish name (at most 200 part keys, see ``DISH_KEYS``).  NULLs are injected on
-purpose, because the inputs have none and the questions must handle them.
+row-local expression; the only lookups are the nation name and the dish name,
+which is the name of any part.  Key ranges follow the row counts of the inputs (scalar
+subqueries), so every table grows with them.  NULLs are injected on purpose,
+because the inputs have none and the questions must handle them.
 
 Each derived table already has the declared column names, order and types
 (``tests/test_entry.py`` checks them against ``SCHEMAS``), so no extra
@@ -21,16 +22,13 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tiffin.operators.broadcast import broadcast_if_small
 from tiffin.sources.tables import Tables
 
 # Fixed values of the derivation (they define the test fixture, so the SQL
 # oracle uses the same numbers).
-DISH_KEYS = 200                      # dishes are the names of parts 0..199
 REG_DATE_BASE = dt.date(1995, 1, 1)  # customers.reg_date = base - (id % 365) days
 SIGN_UP_BASE = dt.date(1994, 1, 1)   # riders.sign_up = base + rider_id days
 OPENING_HOURS = "10:00 - 22:00"
-N_RIDERS = 25
 NULL_REG_DATE_EVERY = 97
 NULL_ITEM_EVERY = 101
 NULL_AMOUNT_EVERY = 103
@@ -62,6 +60,11 @@ def read_tpch(spark: SparkSession, sf_dir: str, name: str, infer_schema: bool =
     return spark.read.schema(INPUT_SCHEMAS[name]).parquet(path)
 
 
+def row_count(table: DataFrame) -> F.Column:
+    """The number of rows, NULL if there are none (so that ``x % n`` is NULL)."""
+    return table.select(F.nullif(F.count(F.lit(1)), F.lit(0))).scalar()
+
+
 def derive_customers(customer: DataFrame) -> DataFrame:
     key = F.col("c_custkey")
     reg_date = F.when(key % NULL_REG_DATE_EVERY != 0,
@@ -72,12 +75,8 @@ def derive_customers(customer: DataFrame) -> DataFrame:
 
 
 def derive_restaurants(supplier: DataFrame, nation: DataFrame) -> DataFrame:
-    # nation has 25 rows: a shuffle join on its key would send every supplier
-    # to one of 25 reducers.  Broadcast it after checking its row count.
-    cities = broadcast_if_small(
-        nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("city")),
-        max_rows=10_000,
-    )
+    # Two columns of a file of a few kB: the planner broadcasts it by its size.
+    cities = nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("city"))
     hours = F.when(~(F.col("s_acctbal") < 0) | F.col("s_acctbal").isNull(), F.lit(OPENING_HOURS))
     return supplier.join(cities, "s_nationkey", "left").select(
         F.col("s_suppkey").alias("restaurant_id"),
@@ -89,18 +88,13 @@ def derive_restaurants(supplier: DataFrame, nation: DataFrame) -> DataFrame:
 
 def derive_orders(orders: DataFrame, supplier: DataFrame, part: DataFrame) -> DataFrame:
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
-    # Number of restaurants: a scalar subquery, evaluated once per query.
-    n_restaurants = supplier.select(F.count(F.lit(1))).scalar()
-    # The dish lookup side is bounded by construction: keys 0..DISH_KEYS-1,
-    # one row per key -> at most DISH_KEYS rows, safe to broadcast at any scale.
-    # (p_partkey is the part primary key, so min() only picks the one name.)
-    dishes = (
-        part.filter((F.col("p_partkey") >= 0) & (F.col("p_partkey") < DISH_KEYS))
-        .groupBy(F.col("p_partkey").alias("dish_key"))
-        .agg(F.min("p_name").alias("p_name"))
-    )
-    with_key = orders.withColumn("dish_key", (key * 13 + cust) % DISH_KEYS)
-    joined = with_key.join(F.broadcast(dishes), "dish_key", "left")
+    # Numbers of restaurants and parts: scalar subqueries, evaluated once per query.
+    n_restaurants, n_parts = row_count(supplier), row_count(part)
+    # Parts grow with the data, so nothing is forced: the planner broadcasts
+    # them while they are small and shuffles both sides (on a key that spreads
+    # evenly) once they are not.
+    dishes = part.select(F.col("p_partkey").alias("dish_key"), "p_name")
+    joined = orders.withColumn("dish_key", (key * 13 + cust) % n_parts).join(dishes, "dish_key", "left")
     return joined.select(
         key.alias("order_id"),
         cust.alias("customer_id"),
@@ -121,7 +115,7 @@ def derive_riders(nation: DataFrame) -> DataFrame:
     )
 
 
-def derive_deliveries(lineitem: DataFrame) -> DataFrame:
+def derive_deliveries(lineitem: DataFrame, nation: DataFrame) -> DataFrame:
     key, line = F.col("l_orderkey"), F.col("l_linenumber")
     time = ((key * 7919) % 86400 + 300 + F.col("l_quantity").cast("bigint") * 60 + line * 47) % 86400
     status = F.when(F.col("l_returnflag") == "R", F.lit("Returned")).otherwise(F.lit("Delivered"))
@@ -130,7 +124,7 @@ def derive_deliveries(lineitem: DataFrame) -> DataFrame:
         key.alias("order_id"),
         status.alias("delivery_status"),
         time.alias("delivery_time"),
-        (F.col("l_suppkey") % N_RIDERS).alias("rider_id"),
+        (F.col("l_suppkey") % row_count(nation)).alias("rider_id"),
     )
 
 
@@ -145,5 +139,5 @@ def from_tpch(spark: SparkSession, sf_dir: str) -> Tables:
         restaurants=lambda: derive_restaurants(read("supplier"), read("nation")),
         orders=lambda: derive_orders(read("orders"), read("supplier"), read("part")),
         riders=lambda: derive_riders(read("nation")),
-        deliveries=lambda: derive_deliveries(read("lineitem")),
+        deliveries=lambda: derive_deliveries(read("lineitem"), read("nation")),
     )

@@ -66,6 +66,9 @@ SCHEMAS: dict[str, T.StructType] = {
     "deliveries": DELIVERIES,
 }
 
+#: Columns that hold a time of day.
+TIME_COLUMNS = ("order_time", "delivery_time")
+
 # Fixed values from the reference DDL: primary keys, foreign keys (constraint
 # name, child table, child column, parent table, parent column) and VARCHAR(n)
 # limits (table, column, n).

@@ -6,10 +6,13 @@ import os
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
-from tiffin.sources.schemas import SCHEMAS
+from tiffin.functions import seconds_of_day
+from tiffin.sources.schemas import SCHEMAS, TIME_COLUMNS
 
 
 TABLE_NAMES = ("customers", "restaurants", "orders", "riders", "deliveries")
@@ -33,6 +36,8 @@ class Tables:
             riders=riders, deliveries=deliveries,
         )
         self._frames: dict[str, DataFrame] = {}
+        #: Size checks of lookups made so far, by plan (see operators.broadcast).
+        self.checked: dict[int, tuple[int, int]] = {}
 
     def _get(self, name: str) -> DataFrame:
         if name not in self._frames:
@@ -55,6 +60,8 @@ class Tables:
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Project ``df`` onto the declared columns of ``table``, in declared
     order, casting each to its declared type (a no-op when it already is).
+    Times of day may be text, timestamps, ``TIME`` or numbers of seconds (see
+    :func:`tiffin.functions.seconds_of_day`).
 
     Missing columns raise immediately, at plan time; extra columns are
     dropped, so the Parquet scan only reads declared columns.
@@ -63,23 +70,32 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     missing = [f.name for f in schema.fields if f.name not in df.columns]
     if missing:
         raise ValueError(f"{table}: missing columns {missing}")
-    return df.select(
-        *[
-            F.col(f.name) if df.schema[f.name].dataType == f.dataType
-            else F.col(f.name).cast(f.dataType).alias(f.name)
-            for f in schema.fields
-        ]
-    )
+
+    def column(name: str, declared: DataType) -> F.Column:
+        given = df.schema[name].dataType
+        if given == declared:
+            return F.col(name)
+        if name in TIME_COLUMNS:
+            return seconds_of_day(F.col(name), given, f"{table}.{name}").alias(name)
+        return F.col(name).cast(declared).alias(name)
+
+    return df.select(*[column(f.name, f.dataType) for f in schema.fields])
 
 
 def read_tables(spark: SparkSession, root: str, fmt: str = "parquet") -> Tables:
-    """Read ``{root}/{table}`` (Parquet by default) for each of the five tables."""
+    """Read ``{root}/{table}`` (Parquet by default; ``{table}.parquet`` if
+    that is what there is) for each of the five tables.  Spark looks for the
+    paths, so the root may be on any store that it can read."""
     def reader(name: str) -> Callable[[], DataFrame]:
         def read() -> DataFrame:
             path = os.path.join(root, name)
-            if fmt == "parquet" and not os.path.exists(path) and os.path.exists(path + ".parquet"):
-                path = path + ".parquet"
-            return conform(spark.read.format(fmt).load(path), name)
+            try:
+                found = spark.read.format(fmt).load(path)
+            except AnalysisException as missing:
+                if fmt != "parquet" or "PATH_NOT_FOUND" not in str(missing):
+                    raise
+                found = spark.read.parquet(path + ".parquet")
+            return conform(found, name)
 
         return read
 
@@ -110,21 +126,40 @@ def write_tables(
         df.write.mode(mode).parquet(os.path.join(root, name))
 
 
-def materialize(df: DataFrame, name: str, spark: SparkSession | None = None) -> DataFrame:
-    """Write ``df`` as Parquet under the cluster's shared checkpoint folder
-    (``spark.checkpoint.dir``) and return a DataFrame reading it back.
+class Intermediates:
+    """Tables written under the cluster's shared checkpoint folder
+    (``spark.checkpoint.dir``) and read back, until the context ends::
+
+        with Intermediates(spark) as work:
+            write_report(report(tables, work=work), out)
 
     Used where several jobs share an expensive intermediate: the lineage is
     cut (a lost executor re-reads files instead of recomputing the shuffle
     chain), and later scans get Parquet column pruning and pushdown.
+    ``remove`` (called on leaving the context) deletes the folder; DataFrames over its
+    tables can no longer be evaluated then.
     """
-    from tiffin.session import checkpoint_root, ensure_checkpoint_dir
 
-    spark = spark or df.sparkSession
-    root = checkpoint_root(spark) or ensure_checkpoint_dir(spark)
-    path = os.path.join(root, "tiffin", f"{name}-{uuid.uuid4().hex}")
-    df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    def __init__(self, spark: SparkSession) -> None:
+        from tiffin.session import ensure_checkpoint_dir
+
+        self.spark = spark
+        self.root = os.path.join(ensure_checkpoint_dir(spark), "tiffin", uuid.uuid4().hex)
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = os.path.join(self.root, name)
+        df.write.mode("errorifexists").parquet(path)
+        return self.spark.read.parquet(path)
+
+    def remove(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def __enter__(self) -> Intermediates:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.remove()
 
 
 def register_views(tables: Tables, prefix: str = "") -> list[str]:

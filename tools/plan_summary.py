@@ -62,14 +62,15 @@ ORDER_JOIN_KEYS = ["q05_undelivered", "q09_cancellation_rate", "q10_delivery_min
 
 
 def table(spark, sf_dir: str, overrides: dict[str, dict], tables=None) -> None:
-    from tiffin.plans.catalog import CATALOG
+    from tiffin.plans.catalog import CATALOG, test_job
     from tiffin.sources import from_tpch
 
     print("| query | hash exchanges (keys) | range | single | broadcasts | joins | rank limits |")
     print("| --- | --- | ---: | ---: | ---: | --- | --- |")
-    for key, (job, params) in CATALOG.items():
+    for key in CATALOG:
         if overrides and key not in overrides:
             continue
+        job, params = test_job(key)
         df = job(tables or from_tpch(spark, sf_dir), **{**params, **overrides.get(key, {})})
         s = summarise(physical(df))
         print(f"| {key} | {s['hash exchanges']} | {s['range exchanges']} | "
