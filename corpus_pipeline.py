@@ -10,7 +10,7 @@ and text counts once after the exact stage.  Empty tables pass through.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tiffin.llm.common import Scratch, fresh, table
@@ -22,13 +22,18 @@ from tiffin.llm.queries import vocabulary_path
 from tiffin.llm.simhash import simhash_components
 
 
+def row_key(doc_id: Column, sha: Column) -> Column:
+    """A row's name: its text's SHA-256 and its id, a null id unlike any other."""
+    return F.concat_ws(":", sha, doc_id.cast("string"))
+
+
 def kept_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each ``doc_id, text_sha256`` of ``kept``."""
-    mark = fresh("_sha", docs.columns)
-    marked = docs.withColumn(mark, F.sha2(F.coalesce("text", F.lit("")), 256))
-    kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    same = marked["doc_id"].eqNullSafe(kept["_kept_id"]) & (marked[mark] == kept["_kept_sha"])
-    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", mark]).select(docs.columns)
+    """One row of ``docs`` for each ``doc_id, text_sha256`` of ``kept``.  The
+    join and the removal of repeated rows share one exchange of ``docs``."""
+    key = fresh("_key", docs.columns)
+    marked = docs.withColumn(key, row_key(docs["doc_id"], F.sha2(F.coalesce("text", F.lit("")), 256)))
+    names = kept.select(row_key(F.col("doc_id"), F.col("text_sha256")).alias(key))
+    return marked.join(names, key, "left_semi").dropDuplicates([key]).select(docs.columns)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
