@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from tiffin.llm.common import Scratch, salted_left_join
 
 DIMENSIONS = 8
-LEAF = 48
+LEAF = 256
+#: What rounding may move a projected distance or a score by.
+SLACK = 1e-9
 #: Vectors in a cell on average, cells at most, and vectors of a cell that one task searches.
 CELL, MAX_CELLS, PART = 4096, 4096, 1 << 16
 #: Vectors of the sample on which cells are fitted.
@@ -131,35 +133,38 @@ def leaves_of(points: np.ndarray) -> list[np.ndarray]:
 
 
 class CellIndex:
-    """A cell's own kd-tree over projected points, with the original vectors."""
+    """A cell's own kd-tree over projected points, with the original vectors;
+    the rows of a leaf lie side by side."""
 
     def __init__(self, raw: np.ndarray, ids: list[list[int]], project: np.ndarray):
-        self.raw, self.ids = raw, ids
-        self.norms = np.sqrt((raw * raw).sum(axis=1))
-        self.points = units(raw) @ project
-        self.leaves = leaves_of(self.points)
-        self.low = np.array([self.points[x].min(axis=0) for x in self.leaves])
-        self.high = np.array([self.points[x].max(axis=0) for x in self.leaves])
+        points = units(raw) @ project
+        leaves = leaves_of(points)
+        order = np.concatenate(leaves)
+        self.raw, self.points, self.ids = raw[order], points[order], [ids[i] for i in order.tolist()]
+        self.norms = np.sqrt((self.raw * self.raw).sum(axis=1))
+        self.squares = (self.points * self.points).sum(axis=1)
+        self.edges = np.concatenate([[0], np.cumsum([len(x) for x in leaves])]).tolist()
+        self.low = np.array([points[x].min(axis=0) for x in leaves])
+        self.high = np.array([points[x].max(axis=0) for x in leaves])
 
     def search(self, q: np.ndarray, p: np.ndarray, k: int, bound: float, radius2: float) -> list[tuple[float, int]]:
         """The best k (score, id); ``radius2`` is the squared distance of the
         k-th neighbour known so far."""
         gap = np.maximum(0, np.maximum(self.low - p, p - self.high))
         far = (gap * gap).sum(axis=1)
-        norm = float(np.sqrt(q @ q))
+        norm, square = float(np.sqrt(q @ q)), float(p @ p)
         best: list[tuple[float, int]] = []  # a heap of (score, -id)
         for leaf in np.argsort(far, kind="stable").tolist():
-            if far[leaf] > bound * radius2 + 1e-9:
+            if far[leaf] > bound * radius2 + SLACK:
                 break
-            rows = self.leaves[leaf]
-            near = ((self.points[rows] - p) ** 2).sum(axis=1)
-            rows = rows[near <= bound * radius2 + 1e-9]
-            if not len(rows):
-                continue
-            scores = (self.raw[rows] * q).sum(axis=1) / (self.norms[rows] * norm)
-            for row, score in zip(rows.tolist(), scores.tolist()):
-                if len(best) == k and score < best[0][0]:
-                    continue
+            rows = slice(self.edges[leaf], self.edges[leaf + 1])
+            near = self.squares[rows] - 2 * (self.points[rows] @ p) + square
+            scores = np.where(near <= bound * radius2 + SLACK, (self.raw[rows] @ q) / (self.norms[rows] * norm), -np.inf)
+            least = np.partition(scores, -k)[-k] if len(scores) > k else -np.inf
+            least = max(least, best[0][0]) if len(best) == k else least
+            for row in (np.flatnonzero((scores >= least - SLACK) & (scores > -np.inf)) + rows.start).tolist():
+                # summed in the order of the components, whatever rows stand beside it
+                score = float((self.raw[row] * q).sum() / (self.norms[row] * norm))
                 for i in self.ids[row]:
                     entry = (score, -i)
                     if len(best) < k:
@@ -266,7 +271,7 @@ def nearest(
             r2, at_home = batch.column("radius2").to_numpy(), batch.column("cell").to_numpy()
             for row in range(batch.num_rows):
                 gap = np.maximum(0, np.maximum(low - p[row], p[row] - high))
-                go = ((gap * gap).sum(axis=1) <= bound * r2[row] + 1e-9) & (box_cells != at_home[row])
+                go = ((gap * gap).sum(axis=1) <= bound * r2[row] + SLACK) & (box_cells != at_home[row])
                 to = pa.array(box_cells[go], pa.int32())
                 yield pa.record_batch([*(batch.column(c).take(pa.array(np.full(len(to), row))) for c in ("query", "vec", "point", "radius2")), to], names=["query", "vec", "point", "radius2", "cell"])
 
