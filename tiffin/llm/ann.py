@@ -266,14 +266,13 @@ def nearest(
 
     def onward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each query once for every other cell whose box passes the test."""
-        for batch in batches:
-            p = np.array(batch.column("point").to_pylist()).reshape(-1, DIMENSIONS)
-            r2, at_home = batch.column("radius2").to_numpy(), batch.column("cell").to_numpy()
-            for row in range(batch.num_rows):
-                gap = np.maximum(0, np.maximum(low - p[row], p[row] - high))
-                go = ((gap * gap).sum(axis=1) <= bound * r2[row] + SLACK) & (box_cells != at_home[row])
-                to = pa.array(box_cells[go], pa.int32())
-                yield pa.record_batch([*(batch.column(c).take(pa.array(np.full(len(to), row))) for c in ("query", "vec", "point", "radius2")), to], names=["query", "vec", "point", "radius2", "cell"])
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
+            p = np.array(batch.column("point").to_pylist()).reshape(-1, 1, DIMENSIONS)
+            gap = np.maximum(0, np.maximum(low - p, p - high))
+            go = (gap * gap).sum(axis=2) <= bound * batch.column("radius2").to_numpy()[:, None] + SLACK
+            rows, to = np.nonzero(go & (box_cells != batch.column("cell").to_numpy()[:, None]))
+            own = batch.select(["query", "vec", "point", "radius2"]).take(pa.array(rows))
+            yield pa.record_batch([*own.columns, pa.array(box_cells[to], pa.int32())], names=["query", "vec", "point", "radius2", "cell"])
 
     others = posed.mapInArrow(onward, "query long, vec binary, point array<double>, radius2 double, cell int")
     away = run(in_parts(others).select("query", "vec", "cell", "point", "radius2", "part"))

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiffin.llm.common import Scratch, id_text, mix, prefix_hash, salted_left_join, slices, span_hash
+from tiffin.llm.common import Scratch, id_text, mix, prefix_hash, salted_left_join, seg_sum, slices, span_hash
 
 GRAM, STEP, RUN = 64, 16, 512
 #: Bits of a slice position in the ordering value of a gram.
@@ -153,7 +153,8 @@ def stretches(batches: Iterator[pa.RecordBatch], length: int, step: int) -> Iter
     """Classes cut into stretches of ``step`` windows aligned to the anchor,
     named after the bytes that all windows of such a stretch share."""
     names = ["up_key", "up_h", "rel", "key", "h", "w", "doc_rank", "start", "starts", "anchor", "body"]
-    for batch in batches:
+    for batch in (b.slice(i, 64) for b in batches for i in range(0, b.num_rows, 64)):
+        cut = []
         for r in batch.to_pylist():
             body, anchor = r["body"], r["anchor"]
             data = np.frombuffer(body, np.uint8)
@@ -172,7 +173,8 @@ def stretches(batches: Iterator[pa.RecordBatch], length: int, step: int) -> Iter
                 pa.array([r["doc_rank"]] * m, pa.int64()), pa.array(r["start"] + begin, pa.int64()), pa.array(n, pa.int64()),
                 pa.array(anchor - begin, pa.int64()), pa.array([body[a : a + k + length - 1] for a, k in zip(begin.tolist(), n.tolist())], pa.binary()),
             ]
-            yield pa.record_batch(columns, names=names)
+            cut.append(pa.record_batch(columns, names=names))
+        yield from pa.Table.from_batches(cut).combine_chunks().to_batches()
 
 
 def handed_up(members: DataFrame, marks: DataFrame, up: list[str], keep_first: bool, total: int) -> DataFrame:
@@ -286,13 +288,15 @@ def repeated_passages(
         wanted = parts.groupBy("sha").agg(F.collect_list("part").alias("parts"))
 
         def slice_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    raw = batch.column("text")[i].as_py().encode()
-                    own = pa.RecordBatch.from_struct_array(batch.column("parts")[i].values)
-                    at, n = own.column("start").to_pylist(), own.column("starts").to_pylist()
-                    body = pa.array([raw[a : a + k + length - 1] for a, k in zip(at, n)], pa.binary())
-                    yield pa.record_batch([*own.columns, body], names=[*own.schema.names, "body"])
+            for batch, data, offsets in slices(batches, limit=1 << 20):
+                lists = batch.column("parts")
+                own = pa.RecordBatch.from_struct_array(lists.flatten())
+                base = np.repeat(offsets[:-1], lists.value_lengths().to_numpy())
+                at = base + own.column("start").to_numpy()
+                to = at + own.column("starts").to_numpy() + length - 1
+                raw = memoryview(data)
+                body = pa.array([bytes(raw[a:b]) for a, b in zip(at.tolist(), to.tolist())], pa.binary())
+                yield pa.record_batch([*own.columns, body], names=[*own.schema.names, "body"])
 
         joined = spark.table(name).select("sha", "text").join(wanted, "sha").select("text", "parts")
         return joined.mapInArrow(slice_out, "key long, h long, w long, doc_rank long, start long, starts long, anchor long, body binary")
@@ -310,20 +314,24 @@ def repeated_passages(
     covered = handed_up(members, placed, ["sha"], keep_first, n_runs)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                raw = batch.column("text")[i].as_py().encode()
-                marked = batch.column("marks")[i].as_py() or []
-                gone = np.zeros(len(raw) + 1, np.int32)
-                for m in marked:
-                    gone[m["lo"]] += 1
-                    gone[m["hi"] + length] -= 1
-                flags = np.cumsum(gone[:-1]) > 0
-                kept = np.frombuffer(raw, np.uint8)[~flags].tobytes()
-                spans = [{"start": s["lo"], "end": s["hi"] + 1} for s in intervals_of(flags)]
-                columns = [batch.column("sha").slice(i, 1), pa.array([len(raw)], pa.int64()), pa.array([int(flags.sum())], pa.int64()), pa.array([spans], _SPANS)]
-                columns += [pa.array([hashlib.sha256(kept).hexdigest()]), pa.array([kept if with_kept else None], pa.binary())]
-                yield pa.record_batch(columns, names=["sha", "n_bytes", "n_removed", "spans", "kept_sha256", "kept"])
+        for batch, data, offsets in slices(batches, limit=1 << 20):
+            lists = batch.column("marks").fill_null([])
+            marked = lists.flatten()
+            base = np.repeat(offsets[:-1], lists.value_lengths().to_numpy())
+            gone = np.zeros(len(data) + 1, np.int32)
+            np.add.at(gone, base + marked.field("lo").to_numpy(), 1)
+            np.add.at(gone, base + marked.field("hi").to_numpy() + length, -1)
+            flags = np.cumsum(gone[:-1]) > 0
+            n_removed, spans, digests, kept = seg_sum(flags.astype(np.int64), offsets), [], [], []
+            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                own = flags[a:b]
+                spans.append([{"start": s["lo"], "end": s["hi"] + 1} for s in intervals_of(own)])
+                left = data[a:b][~own].tobytes()
+                digests.append(hashlib.sha256(left).hexdigest())
+                kept.append(left if with_kept else None)
+            columns = [batch.column("sha"), pa.array(np.diff(offsets)), pa.array(n_removed), pa.array(spans, _SPANS)]
+            columns += [pa.array(digests, pa.string()), pa.array(kept, pa.binary())]
+            yield pa.record_batch(columns, names=["sha", "n_bytes", "n_removed", "spans", "kept_sha256", "kept"])
 
     joined = spark.table(name).select("sha", "text").join(covered, "sha", "left")
     cleaned = joined.mapInArrow(remove, f"sha binary, n_bytes long, n_removed long, spans {SPANS}, kept_sha256 string, kept binary")
