@@ -61,6 +61,7 @@ def test_temperature_softens_overconfidence():
 def test_sample_is_bounded_and_stable(spark):
     rows = spark.range(5000).selectExpr("id as doc_id", "cast(id % 10 = 0 as int) as label")
     chosen, sizes = labelled_sample(rows, "label", 100)
+    assert list(labelled_sample(rows, "label", 100, max_labels=1)[1]) == [0]
     first = sorted(map(tuple, chosen.collect()))
     assert sizes == {0: 4500, 1: 500} and len(first) == 200
     assert first == sorted(map(tuple, labelled_sample(rows.repartition(7), "label", 100)[0].collect()))

@@ -6,16 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def labelled_sample(rows: DataFrame, label: str, per_label: int) -> tuple[DataFrame, dict]:
+#: Labels learned at most, the most frequent ones; a bound of the fit, like the
+#: rows per label.
+MAX_LABELS = 500
+
+
+def labelled_sample(rows: DataFrame, label: str, per_label: int, max_labels: int = MAX_LABELS) -> tuple[DataFrame, dict]:
     """``rows(doc_id, label)`` thinned to ``per_label`` rows of each label, and
     the number of rows of each label.
 
     Rows are taken by the hash of their id, so the sample is the same in every
     run; at most ``per_label`` per label stay (labels with fewer rows stay whole).  The
     result goes to the driver's model fit: it has per_label rows for each
-    of the labels, however large the table is.
+    of at most max_labels labels, however large the table is.
     """
-    sizes = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    counted = rows.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(max_labels)
+    sizes = {r[label]: r["n"] for r in counted.collect()}
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 40)).cast("double") / float(1 << 40)
     chosen = None
     for value, n in sizes.items():
