@@ -80,3 +80,19 @@ def test_awkward_rows(spark):
     unlearned = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     (r,) = score_documents(awkward(spark, [(unlearned, "a b", None)])).collect()
     assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) == (3, 0, 0, 0.0)
+
+
+def test_bits_per_entry_stay_whatever_the_bound(spark):
+    """A filter beyond the bound is probed in its ranges: same scores."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").repartition(3)
+    for rows in (docs, awkward(spark), awkward(spark, [])):
+        wide, tight = (sorted((tuple(r) for r in score_documents(rows, max_bytes=b).collect()), key=repr) for b in (1 << 40, 1))
+        assert len(wide) == len(tight) == rows.count()
+        assert [r[:5] + r[6:] for r in wide] == [r[:5] + r[6:] for r in tight]
+        assert [r[5] for r in wide] == pytest.approx([r[5] for r in tight], rel=1e-12)
+
+
+def test_packed_keys():
+    keys = np.sort(np.random.default_rng(3).integers(0, 2**64, 500, dtype=np.uint64))
+    for own in (keys, keys[:1], keys[:0]):
+        assert bloom_lm.unpacked_keys(bloom_lm.packed_keys(own)).tolist() == own.tolist()

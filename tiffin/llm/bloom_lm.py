@@ -12,9 +12,12 @@ unigrams: P(w | h) = (c(h w) + mu P(w)) / (c(h) + mu).  Every count comes from
 the filter.  A bigram is probed only if its words are present, and its count is
 held to theirs, which keeps most false positives out.
 
-Size: ``bits_per_entry`` bits for every (n-gram, level) until the filter
-reaches ``max_bytes``, the bound of what is broadcast.  Beyond it no n-gram is
-dropped; the filter fills, and its false positive rate rises.
+Size: ``bits_per_entry`` bits for every (n-gram, level), however many there
+are.  A filter that is certain to stay within ``max_bytes`` is broadcast.  A
+larger one never leaves its ranges: the distinct n-grams of every slice, those to be
+learned and those to be scored alike, go to the range of their segment, are
+probed there, and their levels come back to the slice.  Both ways read the same
+segments, so the scores are the same.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ from pyspark.sql import functions as F
 from tiffin.llm.common import Scratch, fold_of, id_text, lower_ascii, mix, prefix_hash, slices, span_hash, word_spans
 
 TEXT_BYTES = 2 << 20
+#: Text bytes of a slice whose n-grams are probed in their ranges.
+PROBE_BYTES = 8 << 20
 #: Words with at least 1/HEAD of all training tokens, at most HEAD of them, are
 #: broadcast with their counts; the others are counted by a shuffle.
 HEAD = 1 << 20
@@ -84,6 +89,20 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     return Tokens(keys, at)
 
 
+def tokens_in(data: bytes, offsets: bytes) -> Tokens:
+    """The tokens of a large slice, from runs of whole rows: hashing a run
+    takes several times its bytes."""
+    text, ends = np.frombuffer(data, np.uint8), np.frombuffer(offsets, np.int64)
+    keys, n, at = [], [np.zeros(1, np.int64)], 0
+    while at < len(ends) - 1:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + TEXT_BYTES, "right")) - 1)
+        run = tokens_of(text[ends[at] : ends[to]], ends[at : to + 1] - ends[at])
+        keys.append(run.keys)
+        n.append(np.diff(run.offsets))
+        at = to
+    return Tokens(np.concatenate(keys), np.cumsum(np.concatenate(n)))
+
+
 def by_bucket(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
     """Runs of sorted keys with the same leading bits."""
     edges = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
@@ -92,6 +111,17 @@ def by_bucket(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
             yield b, int(lo), int(hi)
 
 
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as the byte planes of their differences; the upper planes
+    are nearly all zeros, which the shuffle's compression takes out."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked_keys(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
@@ -122,7 +152,11 @@ class BloomCounts:
     mu: float
 
     def count(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised counts, level after level until a probe fails."""
+        """Quantised counts."""
+        return VALUES[self.levels(keys)]
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Levels, one after the other until a probe fails."""
         level = np.zeros(len(keys), np.int64)
         live = np.arange(len(keys))
         segment = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -139,29 +173,43 @@ class BloomCounts:
             if not len(live):
                 break
             level[live] = q
-        return VALUES[level]
+        return level
 
     def log_probabilities(self, tokens: Tokens) -> np.ndarray:
         """log10 P of every token."""
         distinct, same = np.unique(np.concatenate([tokens.keys, np.array([BEGIN])]), return_inverse=True)
         counts = self.count(distinct)
         c_w = counts[same[:-1]]
-        c_h = np.empty_like(c_w)
-        c_h[1:] = c_w[:-1]
-        c_h[tokens.offsets[:-1]] = counts[same[-1]]
-        unigram = (c_w + 1) / (self.n_tokens + self.n_types + 1)
+        c_h = after(c_w, tokens.offsets, counts[same[-1]])
         joint = np.zeros_like(c_w)
         seen = np.flatnonzero((c_w > 0) & (c_h > 0))
         joint[seen] = self.count(pair(tokens.histories()[seen], tokens.keys[seen]))
-        joint = np.minimum(joint, np.minimum(c_w, c_h))
-        return np.log10(np.minimum(1.0, (joint + self.mu * unigram) / (c_h + self.mu)))
+        return smoothed(c_w, c_h, joint, self.n_tokens, self.n_types, self.mu)
 
 
-def segment_of(keys: np.ndarray, counts: np.ndarray, k: int, bits_per_entry: float, max_bits: int) -> np.ndarray:
-    """The filter segment of a range of n-grams."""
+def after(values: np.ndarray, offsets: np.ndarray, first: float) -> np.ndarray:
+    """Each token's predecessor's value, ``first`` at the start of a document."""
+    out = np.empty_like(values)
+    out[1:] = values[:-1]
+    out[offsets[:-1]] = first
+    return out
+
+
+def smoothed(c_w: np.ndarray, c_h: np.ndarray, joint: np.ndarray, n_tokens: int, n_types: int, mu: float) -> np.ndarray:
+    """log10 P from the counts of words, histories and bigrams."""
+    unigram = (c_w + 1) / (n_tokens + n_types + 1)
+    joint = np.minimum(joint, np.minimum(c_w, c_h))
+    return np.log10(np.minimum(1.0, (joint + mu * unigram) / (c_h + mu)))
+
+
+def segment_of(keys: np.ndarray, counts: np.ndarray, k: int, bits_per_entry: float, max_bits: int = 1 << 32) -> np.ndarray:
+    """The filter segment of a range of n-grams.  Bits are addressed by 32-bit
+    hashes; a segment that would need more fails rather than fill up."""
     top = np.searchsorted(LEVELS, counts, "right")
     n = int(top.sum())
-    size = min(max_bits, max(64, 8 * math.ceil(n * bits_per_entry / 8)))
+    size = max(64, 8 * math.ceil(n * bits_per_entry / 8))
+    if size > max_bits:
+        raise ValueError(f"a segment of {size} bits is above {max_bits}: cut the filter into more segments")
     out = np.zeros(size, bool)
     for q in range(1, int(top.max(initial=0)) + 1):
         for h in probes(keys[top >= q], q, k):
@@ -169,18 +217,28 @@ def segment_of(keys: np.ndarray, counts: np.ndarray, k: int, bits_per_entry: flo
     return np.packbits(out, bitorder="little")
 
 
+def segment_bits(texts: DataFrame) -> int:
+    return min(16, max(8, (4 * max(1, texts.rdd.getNumPartitions()) - 1).bit_length()))
+
+
+def most_bytes(texts: DataFrame, bits: int, bits_per_entry: float) -> float:
+    """What the filter of ``texts(text)`` takes at most: a word needs two bytes
+    with its space, a document has an end and a begin, and no n-gram has more levels than
+    occurrences."""
+    size, n = texts.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    return ((size or 0) + 4 * n) * bits_per_entry / 8 + 9 * (1 << bits)
+
+
 def train(
     texts: DataFrame,
     scratch: Scratch,
     mu: float,
     k: int,
     bits_per_entry: float,
-    max_bytes: int,
-) -> tuple[BloomCounts, DataFrame, int]:
+    bits: int,
+) -> tuple[BloomCounts, DataFrame]:
     """The model of ``texts(text)``, and the exact counts of the words as a
     table of packed ranges."""
-    n_parts = max(1, texts.rdd.getNumPartitions())
-    bits = min(16, max(8, (4 * n_parts - 1).bit_length()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in slices(batches, limit=TEXT_BYTES):
@@ -194,8 +252,6 @@ def train(
             columns = list(zip(*rows))
             yield pa.record_batch([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())], names=["bucket", "kind", "keys", "counts"])
 
-    room = 8 * (max_bytes >> bits)
-
     def reduce(group: pd.DataFrame) -> pd.DataFrame:
         found = {}
         for kind in (0, 1, 2):
@@ -205,14 +261,14 @@ def train(
             found[kind] = added(keys, counts)
         keys, counts = (np.concatenate([found[kind][i] for kind in (0, 1, 2)]) for i in (0, 1))
         words, n = found[0]
-        row = {"bucket": [int(group["bucket"].iloc[0])], "bits": [segment_of(keys, counts, k, bits_per_entry, room).tobytes()]}
+        row = {"bucket": [int(group["bucket"].iloc[0])], "bits": [segment_of(keys, counts, k, bits_per_entry).tobytes()]}
         row |= {"words": [words.tobytes()], "counts": [n.tobytes()], "n_types": [len(words)], "n_tokens": [int(n.sum())]}
         return pd.DataFrame(row)
 
     packed = texts.select("text").mapInArrow(count, "bucket int, kind int, keys binary, counts binary")
     merged = packed.groupBy("bucket").applyInPandas(reduce, "bucket int, bits binary, words binary, counts binary, n_types long, n_tokens long")
     merged = scratch.write(merged, "ranges")
-    # the segments together have at most max_bytes
+    # only called where most_bytes bounds the segments together
     parts = sorted(merged.select("bucket", "bits", "n_types", "n_tokens").collect())
     sizes = np.zeros(1 << bits, np.int64)
     for r in parts:
@@ -220,7 +276,7 @@ def train(
     starts = (np.cumsum(sizes) - sizes) // 8
     data = np.frombuffer(b"".join(bytes(r["bits"]) for r in parts), np.uint8)
     n_tokens, n_types = sum(r["n_tokens"] for r in parts), sum(r["n_types"] for r in parts)
-    return BloomCounts(bits, k, data, starts, sizes, n_tokens, n_types, mu), merged.select("bucket", "words", "counts"), bits
+    return BloomCounts(bits, k, data, starts, sizes, n_tokens, n_types, mu), merged.select("bucket", "words", "counts")
 
 
 def head_words(ranges: DataFrame, n_tokens: int) -> tuple[np.ndarray, np.ndarray]:
@@ -267,16 +323,117 @@ def score_documents(
     Tokens are words (ASCII letters in lower case) and one end.  The counts come from all rows
     outside the held-out fold of crc32(id).  ``base_score`` uses exact
     add-one unigram counts, ``score`` the filter's smoothed bigrams; both are
-    sums of log10 over the tokens.  Null text is empty: one token, the end.
+    sums of log10 over the tokens.  ``max_bytes`` only decides whether the
+    filter is broadcast or probed in its ranges, not its size.  Null text is empty: one token, the end.
     Without training rows every token is unknown.  Null ids fall in the fold of ''; rows may repeat.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "lm")
     kind = docs.schema[id_col].dataType.simpleString()
     rows = id_text(docs, id_col, text_col).withColumn("held_out", fold_of(F.col("doc_id"), folds) == held_out_fold)
-    model, ranges, bits = train(rows.where("not held_out"), scratch, mu, k, bits_per_entry, max_bytes)
+    learned = rows.where("not held_out")
+    bits = segment_bits(learned)
+    if most_bytes(learned, bits, bits_per_entry) > max_bytes:
+        found, n_tokens = score_in_ranges(rows, kind, scratch, mu, k, bits_per_entry, bits)
+    else:
+        found, n_tokens = score_by_broadcast(rows, kind, scratch, mu, k, bits_per_entry, bits)
+    held = fold_of(F.col("doc_id"), folds) == held_out_fold
+    return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def score_in_ranges(rows: DataFrame, kind: str, scratch: Scratch, mu: float, k: int, bits_per_entry: float, bits: int) -> tuple[DataFrame, int]:
+    """Scores of ``rows(doc_id, text, held_out)`` with every n-gram counted and
+    probed in the range of its segment, and the number of learned tokens.
+    Nothing but two sums reaches the driver."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slice_no = TaskContext.get().partitionId() << 32
+        for batch, data, offsets in slices(batches, limit=PROBE_BYTES):
+            held = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+            ids = pa.array([batch.column("doc_id").to_pylist()], pa.list_(batch.schema.field("doc_id").type))
+            blobs = [pa.array([x.tobytes()], pa.binary()) for x in (held, offsets, data)]
+            yield pa.record_batch([pa.array([slice_no], pa.int64()), ids, *blobs], names=["slice", "ids", "held", "offsets", "data"])
+            slice_no += 1
+
+    cuts = scratch.write(rows.select("doc_id", "text", "held_out").mapInArrow(cut, f"slice long, ids array<{kind}>, held binary, offsets binary, data binary"), "slices")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The distinct n-grams of each slice with their learned occurrences;
+        those only to be scored have 0."""
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        for batch in batches:
+            for i in range(batch.num_rows):
+                number, held, offsets, data = (batch.column(c)[i].as_py() for c in ("slice", "held", "offsets", "data"))
+                tokens = tokens_in(data, offsets)
+                docs = ~np.frombuffer(held, bool)
+                learn = np.repeat(docs, np.diff(tokens.offsets))
+                out: list[tuple] = []
+                for sort, keys, own in ((0, tokens.keys, learn), (1, pair(tokens.histories(), tokens.keys), learn), (2, np.full(len(docs), BEGIN), docs)):
+                    keys, same = np.unique(keys, return_inverse=True)
+                    counts = np.bincount(same[own], minlength=len(keys)).astype(np.uint32)
+                    out += [(number, b, sort, packed_keys(keys[lo:hi]), counts[lo:hi].tobytes()) for b, lo, hi in by_bucket(keys, bits)]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["slice", "bucket", "kind", "keys", "counts"])
+
+    def probe(group: pd.DataFrame) -> pd.DataFrame:
+        """Builds the segment of a range and answers the slices: levels of all
+        n-grams, and exact counts of the words.  One more row has the range's sums."""
+        bucket = int(group["bucket"].iloc[0])
+        asked = [unpacked_keys(x) for x in group["keys"]]
+        sorts = group["kind"].to_numpy()
+        found = {}
+        for sort in (0, 1, 2):
+            own = np.flatnonzero(sorts == sort).tolist()
+            counts = [np.frombuffer(group["counts"].iloc[i], np.uint32).astype(np.int64) for i in own]
+            found[sort] = added(np.concatenate([asked[i] for i in own] or [np.empty(0, np.uint64)]), np.concatenate(counts or [np.empty(0, np.int64)]))
+        keys, counts = (np.concatenate([found[sort][i] for sort in (0, 1, 2)]) for i in (0, 1))
+        data = segment_of(keys[counts > 0], counts[counts > 0], k, bits_per_entry)
+        sizes = np.zeros(1 << bits, np.int64)
+        sizes[bucket] = 8 * len(data)
+        segment = BloomCounts(bits, k, data, np.zeros(1 << bits, np.int64), sizes, 0, 0, mu)
+        levels = {sort: segment.levels(found[sort][0]).astype(np.uint8) for sort in found}
+        out = []
+        for i, (number, sort) in enumerate(zip(group["slice"].tolist(), sorts.tolist())):
+            at = np.searchsorted(found[sort][0], asked[i])
+            out.append((number, bucket, sort, levels[sort][at].tobytes(), found[0][1][at].tobytes() if sort == 0 else None, 0, 0))
+        n = found[0][1]
+        out.append((-1, bucket, -1, None, None, int((n > 0).sum()), int(n.sum())))
+        return pd.DataFrame(out, columns=["slice", "bucket", "kind", "levels", "counts", "n_types", "n_tokens"])
+
+    asked = cuts.select("slice", "held", "offsets", "data").mapInArrow(count, "slice long, bucket int, kind int, keys binary, counts binary")
+    answers = asked.groupBy("bucket").applyInPandas(probe, "slice long, bucket int, kind int, levels binary, counts binary, n_types long, n_tokens long")
+    answers = scratch.write(answers, "answers")
+    n_types, n_tokens = (x or 0 for x in answers.agg(F.sum("n_types"), F.sum("n_tokens")).first())
+    total = n_tokens + n_types + 1
+
+    def finish(whole: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        own = whole.iloc[0]
+        tokens = tokens_in(own["data"], own["offsets"])
+        told = told.sort_values("bucket")  # ranges in order are distinct keys in order
+        level = {sort: VALUES[np.frombuffer(b"".join(told.loc[told["kind"] == sort, "levels"]), np.uint8)] for sort in (0, 1, 2)}
+        exact = np.frombuffer(b"".join(told.loc[told["kind"] == 0, "counts"]), np.int64)
+        n = np.diff(tokens.offsets)
+        doc = np.repeat(np.arange(len(n)), n)
+        _, same = np.unique(tokens.keys, return_inverse=True)
+        c_w = level[0][same]
+        known = np.bincount(doc, (exact > 0)[same], len(n)).astype(np.int64)
+        base = np.bincount(doc, np.log10(exact + 1.0)[same], len(n)) - n * math.log10(total)
+        c_h = after(c_w, tokens.offsets, level[2][0])
+        _, same = np.unique(pair(tokens.histories(), tokens.keys), return_inverse=True)
+        joint = np.where((c_w > 0) & (c_h > 0), level[1][same], 0.0)
+        score = np.bincount(doc, smoothed(c_w, c_h, joint, n_tokens, n_types, mu), len(n))
+        return pd.DataFrame({"doc_id": list(own["ids"]), "n_tokens": n, "n_known": known, "base_score": base, "score": score})
+
+    told = answers.where("kind >= 0").select("slice", "bucket", "kind", "levels", "counts")
+    parts = cuts.select("slice", "ids", "offsets", "data").groupBy("slice").cogroup(told.groupBy("slice"))
+    return parts.applyInPandas(finish, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double"), n_tokens
+
+
+def score_by_broadcast(rows: DataFrame, kind: str, scratch: Scratch, mu: float, k: int, bits_per_entry: float, bits: int) -> tuple[DataFrame, int]:
+    """As ``score_in_ranges``, with the filter broadcast."""
+    spark = rows.sparkSession
+    model, ranges = train(rows.where("not held_out"), scratch, mu, k, bits_per_entry, bits)
     total = model.n_tokens + model.n_types + 1
-    # at most max_bytes, and at most HEAD words
+    # a filter of at most max_bytes, and at most HEAD words
     shared = spark.sparkContext.broadcast((model, head_words(ranges, model.n_tokens)))
     wide = bits - 3  # the tail goes to an eighth as many ranges
 
@@ -347,5 +504,4 @@ def score_documents(
     exact = ranges.withColumn("bucket", F.shiftright("bucket", 3))
     counted = tails.groupBy("bucket").cogroup(exact.groupBy("bucket")).applyInPandas(count_tail, schema)
     found = counted.groupBy("slice").applyInPandas(finish, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
-    held = fold_of(F.col("doc_id"), folds) == held_out_fold
-    return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return found, model.n_tokens
