@@ -63,6 +63,40 @@ def test_one_vector_in_many_rows(spark):
     assert of(104) == [i for i, _ in brute(np.array([i for i, _ in rows]), x, 44)]
 
 
+def answers(found):
+    got = {}
+    for r in sorted(found, key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    return got
+
+
+@pytest.mark.parametrize("cell", [ann.CELL, 20])
+def test_repeated_rows_and_ids(spark, monkeypatch, cell):
+    """Every row twice, one ten times, one id with many vectors, and one
+    vector with many ids: own rows never take the places of others."""
+    monkeypatch.setattr(ann, "CELL", cell)
+    monkeypatch.setattr(ann, "PART", 16)
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=(4, 8))[rng.integers(0, 4, 60)] + 0.2 * rng.normal(size=(60, 8))).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x) for _ in range(10 if i == 7 else 2)]
+    rows += [(5, (x[5] + 0.01 * j).tolist()) for j in range(12)] + [(200 + j, x[9].tolist()) for j in range(8)]
+    vectors = frame(spark, rows)
+    queries = frame(spark, [(i, x[i].tolist()) for i in (5, 7, 9, 30)] + [(203, x[9].tolist())])
+    got = answers(nearest(vectors, queries, confidence=1 - 1e-9).collect())
+    ids, full = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float32).astype(float)
+    for q in (5, 7, 9, 30, 203):
+        own = brute(ids, full, [i for i, _ in rows].index(q))
+        assert [(r, i) for r, i, _ in got[q]] == [(r + 1, i) for r, (i, _) in enumerate(own)], q
+        assert [s for _, _, s in got[q]] == pytest.approx([s for _, s in own])
+
+
+def test_one_id_asked_with_two_vectors(spark):
+    vectors = frame(spark, [(i, [1.0, i / 9]) for i in range(10)])
+    queries = frame(spark, [(50, [1.0, 0.0]), (50, [1.0, 1.0])])
+    found = nearest(vectors, queries, k=2).collect()
+    assert sorted(r["vec_id"] for r in found) == [0, 1, 8, 9]
+
+
 def test_awkward_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (50, [2.0, 0.0]), (51, [0.0, 1.0]), (52, None), (53, [0.0, 0.0]), (100, [nan, 1.0]), (150, [inf, 1.0]), (200, [1.0]), (None, [1.0, 1.0]), (250, [1.0, None])]

@@ -12,11 +12,13 @@ its own cell, which gives r_k, then all other cells whose box passes the same
 test; in a cell the leaves of its own kd-tree are visited in the order of their projected
 distance until the test holds.  Equal vectors are indexed once with their smallest ids, and
 equal queries searched once, so a vector that many rows hold costs as much as any other.
+
+Equal queries may have different ids, and each leaves out the rows of its own.  So a search keeps
+the shortest list of best rows that has k rows without those of any one id.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -132,6 +134,22 @@ def leaves_of(points: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def shortest(ranked: list[tuple[float, int]], k: int) -> tuple[list[tuple[float, int]], bool]:
+    """The first of the ranked (-score, id) until k are left without those of
+    any one id, and whether that is reached.  Of an id no more than k count."""
+    out, counts, most = [], {}, 0
+    for entry in ranked:
+        n = counts.get(entry[1], 0) + 1
+        if n > k:
+            continue
+        counts[entry[1]] = n
+        out.append(entry)
+        most = max(most, n)
+        if len(out) - most >= k:
+            return out, True
+    return out, False
+
+
 class CellIndex:
     """A cell's own kd-tree over projected points, with the original vectors;
     the rows of a leaf lie side by side."""
@@ -148,32 +166,30 @@ class CellIndex:
         self.high = np.array([points[x].max(axis=0) for x in leaves])
 
     def search(self, q: np.ndarray, p: np.ndarray, k: int, bound: float, radius2: float) -> list[tuple[float, int]]:
-        """The best k (score, id); ``radius2`` is the squared distance of the
-        k-th neighbour known so far."""
+        """The ``shortest`` list of best (score, id) for k; ``radius2`` is the
+        squared distance of the last of such a list known so far."""
         gap = np.maximum(0, np.maximum(self.low - p, p - self.high))
         far = (gap * gap).sum(axis=1)
         norm, square = float(np.sqrt(q @ q)), float(p @ p)
-        best: list[tuple[float, int]] = []  # a heap of (score, -id)
+        best: list[tuple[float, int]] = []  # (-score, id), best first
+        full = False
         for leaf in np.argsort(far, kind="stable").tolist():
             if far[leaf] > bound * radius2 + SLACK:
                 break
             rows = slice(self.edges[leaf], self.edges[leaf + 1])
             near = self.squares[rows] - 2 * (self.points[rows] @ p) + square
             scores = np.where(near <= bound * radius2 + SLACK, (self.raw[rows] @ q) / (self.norms[rows] * norm), -np.inf)
-            least = np.partition(scores, -k)[-k] if len(scores) > k else -np.inf
-            least = max(least, best[0][0]) if len(best) == k else least
-            for row in (np.flatnonzero((scores >= least - SLACK) & (scores > -np.inf)) + rows.start).tolist():
+            some = np.flatnonzero(scores >= -best[-1][0] - SLACK if full else scores > -np.inf)
+            for at in some[np.argsort(-scores[some], kind="stable")].tolist():
+                if full and scores[at] < -best[-1][0] - SLACK:
+                    break
+                row = rows.start + at
                 # summed in the order of the components, whatever rows stand beside it
                 score = float((self.raw[row] * q).sum() / (self.norms[row] * norm))
-                for i in self.ids[row]:
-                    entry = (score, -i)
-                    if len(best) < k:
-                        heapq.heappush(best, entry)
-                    elif entry > best[0]:
-                        heapq.heapreplace(best, entry)
-            if len(best) == k:
-                radius2 = min(radius2, max(0.0, 2 - 2 * best[0][0]))
-        return [(s, -i) for s, i in best]
+                best, full = shortest(sorted(best + [(-score, i) for i in self.ids[row]]), k)
+            if full:
+                radius2 = min(radius2, max(0.0, 2 + 2 * best[-1][0]))
+        return [(-s, i) for s, i in best]
 
 
 def nearest(
@@ -200,13 +216,16 @@ def nearest(
     asked, _, asked_width = usable(queries, id_col, vector_col)
     if asked_width != width:
         asked = asked.limit(0)
-    want = k + 1  # the query itself may be among them
     project, bound = directions(max(1, width)), chi_square_bound(confidence)
 
-    # equal vectors tie for every query, so only the smallest ids of each can be among the nearest
+    # equal vectors tie for every query, so only the smallest k + 1 ids of each can be among the
+    # nearest, one of which may be the query's own; an id has its copies, k of them at most
     by_id = Window.partitionBy("vec").orderBy("id")
-    few = base.withColumn("n", F.row_number().over(by_id)).where(F.col("n") <= want)
-    classes = scratch.write(few.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")), "classes")
+    rows = base.groupBy("vec", "id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("copies"))
+    few = rows.withColumn("n", F.row_number().over(by_id)).where(F.col("n") <= k + 1)
+    few = few.groupBy("vec").agg(F.sort_array(F.collect_list(F.struct("id", "copies"))).alias("few"))
+    ids = F.slice(F.flatten(F.transform("few", lambda x: F.array_repeat(x["id"], x["copies"]))), 1, 2 * k)
+    classes = scratch.write(few.select("vec", ids.alias("ids")), "classes")
     n_classes = classes.count()
     depth = int(np.clip(np.ceil(np.log2(max(1, n_classes) / CELL)), 0, np.log2(MAX_CELLS)))
     sample = classes.select("vec").orderBy(F.xxhash64("vec")).limit(SAMPLE).collect() if depth else []
@@ -230,7 +249,7 @@ def nearest(
 
     # equal queries are searched once
     asked = scratch.write(asked, "queries")
-    distinct = asked.groupBy("vec").agg(F.min("id").alias("query"), F.count("*").alias("n"))
+    distinct = asked.groupBy("vec").agg(F.count("*").alias("n")).select("vec", F.monotonically_increasing_id().alias("query"), "n")
     placed = scratch.write(distinct.mapInArrow(place, "vec binary, query long, n long, cell int, point array<double>"), "placed")
 
     searched = "query long, score double, id long"
@@ -241,7 +260,7 @@ def nearest(
             cell = CellIndex(matrix(list(own["vec"]), kind), [list(x) for x in own["ids"]], project)
             for q in posed.itertuples():
                 p = np.asarray(q.point)
-                found = cell.search(matrix([q.vec], kind)[0], p, want, bound, q.radius2)
+                found = cell.search(matrix([q.vec], kind)[0], p, k, bound, q.radius2)
                 rows += [(q.query, s, i) for s, i in found]
         return pd.DataFrame(rows, columns=["query", "score", "id"]).astype({"query": "int64", "score": "float64", "id": "int64"})
 
@@ -258,9 +277,17 @@ def nearest(
     four = F.lit(4.0)  # no two unit vectors are farther apart
     home = scratch.write(run(in_parts(placed.select("query", "vec", "cell", "point", four.alias("radius2")))), "home")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    home_best = home.withColumn("r", F.row_number().over(best)).where(F.col("r") <= want)
-    reach = home_best.groupBy("query").agg(F.min("score").alias("least"), F.count("*").alias("found"))
-    radius = F.when(F.col("found") == want, F.greatest(F.lit(0.0), 2 - 2 * F.col("least"))).otherwise(four)
+    same_id = Window.partitionBy("query", "id").orderBy(F.desc("score"))
+
+    def shortest_of(hits: DataFrame) -> DataFrame:
+        """As ``shortest``, for each query: ``r`` is the place and ``copy`` counts the rows of an id."""
+        hits = hits.repartition("query").withColumn("copy", F.row_number().over(same_id)).where(F.col("copy") <= k)
+        hits = hits.withColumn("r", F.row_number().over(best))
+        most = F.coalesce(F.max("copy").over(best.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return hits.withColumn("before", F.col("r") - 1 - most).where(F.col("before") < k)
+
+    reach = shortest_of(home).groupBy("query").agg(F.min("score").alias("least"), (F.count("*") - F.max("copy")).alias("found"))
+    radius = F.when(F.col("found") >= k, F.greatest(F.lit(0.0), 2 - 2 * F.col("least"))).otherwise(four)
     posed = placed.join(reach.withColumnRenamed("query", "of"), F.col("query") == F.col("of"), "left")
     posed = posed.select("query", "vec", "cell", "point", F.coalesce(radius, four).alias("radius2"))
 
@@ -276,7 +303,7 @@ def nearest(
 
     others = posed.mapInArrow(onward, "query long, vec binary, point array<double>, radius2 double, cell int")
     away = run(in_parts(others).select("query", "vec", "cell", "point", "radius2", "part"))
-    found = home.union(away).withColumn("r", F.row_number().over(best)).where(F.col("r") <= want)
+    found = shortest_of(home.union(away))
     lists = found.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("r", "id", "score"))).alias("near"))
     answers = placed.select("vec", "query", "n").join(lists, "query").select("vec", "n", "near")
     each = salted_left_join(asked, answers, ["vec"], "n", "id", max(1, asked.count()))
