@@ -97,6 +97,13 @@ def test_one_id_asked_with_two_vectors(spark):
     assert sorted(r["vec_id"] for r in found) == [0, 1, 8, 9]
 
 
+def test_queries_of_mixed_widths(spark):
+    """Most queries have another width than the table."""
+    vectors = frame(spark, [(i, [1.0, i / 9]) for i in range(10)])
+    queries = frame(spark, [(0, [1.0, 0.0]), (60, [1.0]), (61, [2.0]), (62, [1.0, 1.0, 1.0])])
+    assert [(q, i) for q, own in answers(nearest(vectors, queries, k=2).collect()).items() for _, i, _ in own] == [(0, 1), (0, 2)]
+
+
 def test_awkward_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (50, [2.0, 0.0]), (51, [0.0, 1.0]), (52, None), (53, [0.0, 0.0]), (100, [nan, 1.0]), (150, [inf, 1.0]), (200, [1.0]), (None, [1.0, 1.0]), (250, [1.0, None])]

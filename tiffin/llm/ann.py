@@ -66,16 +66,18 @@ def units(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def usable(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, str, int]:
+def usable(vectors: DataFrame, id_col: str, vector_col: str, width: int | None = None) -> tuple[DataFrame, str, int]:
     """``id, vec`` (bytes) of the vectors that take part, their number type,
-    and their width: the most frequent one (of equally frequent ones the larger)."""
+    and their width: the most frequent one (of equally frequent ones the larger)
+    if it is not given."""
     kind = "<f8" if "double" in vectors.schema[vector_col].dataType.simpleString() else "<f4"
     v = vectors[vector_col]
     rows = vectors.select(vectors[id_col].cast("long").alias("id"), v.cast("array<double>").alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~bad & F.exists("v", lambda x: x != 0))
-    widths = rows.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("width")).first()
-    width = widths["width"] if widths else 0
+    if width is None:
+        widths = rows.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("width")).first()
+        width = widths["width"] if widths else 0
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,16 +208,14 @@ def nearest(
     ties go to the smaller id.
 
     Vectors that are null, zero, hold null or non-finite components or differ in
-    width from the most frequent width take no part, nor do null ids.  Of rows
+    width from the most frequent width of ``vectors`` take no part, nor do null ids.  Of rows
     repeated with the same id and vector each may be a candidate.  Fewer than
     k candidates give fewer ranks; none give none.
     """
     spark = vectors.sparkSession
     scratch = scratch or Scratch(spark, "ann")
     base, kind, width = usable(vectors, id_col, vector_col)
-    asked, _, asked_width = usable(queries, id_col, vector_col)
-    if asked_width != width:
-        asked = asked.limit(0)
+    asked, _, _ = usable(queries, id_col, vector_col, width)
     project, bound = directions(max(1, width)), chi_square_bound(confidence)
 
     # equal vectors tie for every query, so only the smallest k + 1 ids of each can be among the
