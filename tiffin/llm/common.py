@@ -249,3 +249,35 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+
+
+def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words with ``keep``, joined by one space within each document: bytes
+    and n+1 offsets.  ``words`` are the documents' n+1 offsets into the words."""
+    count = np.concatenate([[0], np.cumsum(keep)])[words]
+    starts, ends = starts[keep], ends[keep]
+    lengths, space = ends - starts, np.ones(len(starts), np.int64)
+    space[count[1:][count[1:] > count[:-1]] - 1] = 0  # none after a document's last word
+    after = np.concatenate([[0], np.cumsum(lengths + space)])
+    inked = np.concatenate([[0], np.cumsum(lengths)])
+    out = np.full(after[-1], 32, np.uint8)
+    step = np.arange(inked[-1])
+    out[step + np.repeat(after[:-1] - inked[:-1], lengths)] = data[step + np.repeat(starts - inked[:-1], lengths)]
+    return out, after[count]
+
+
+def text_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """The opposite of ``text_column``."""
+    return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
+
+
+def word_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each word, equal where the bytes are equal (compared, not hashed)."""
+    if not len(starts):
+        return np.empty(0, np.int64)
+    lengths = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    step = np.arange(offsets[-1])
+    ink = data[step + np.repeat(starts - offsets[:-1], lengths)]
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(ink)])
+    return words.dictionary_encode().indices.to_numpy().astype(np.int64)
