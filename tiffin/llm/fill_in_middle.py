@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 from pyspark import RDD
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tiffin.llm.common import id_text
@@ -35,6 +36,9 @@ from tiffin.llm.common import id_text
 SENTINELS = {"P": "<P>", "S": "<S>", "M": "<M>"}
 FORMS = {"psm": "PSM", "spm": "SPM"}
 
+#: Text that one partition assembles, however the input is cut.
+PART_BYTES = 64 << 20
+
 #: Order of the parts in the original text (T: a plain text).
 _PLACE = {"T": 0, "P": 0, "M": 1, "S": 2}
 _MARK = re.compile(b"<([PSM])>")
@@ -174,7 +178,9 @@ def fill_in_middle(
     a document of its own, however often it is repeated.  Other columns are not read.
     """
     spark = docs.sparkSession
-    rows = id_text(docs, id_col, text_col).rdd
+    read = id_text(docs, id_col, text_col)
+    size = read.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = read.rdd
 
     def emit(index: int, part: Iterator) -> Iterator:
         for i, (doc_id, text) in enumerate(part):
@@ -188,7 +194,7 @@ def fill_in_middle(
                 yield ((index << 33) + i, place), (name, name != last, packed(piece), None if place else about)
                 last = name
 
-    parts = max(rows.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(size // PART_BYTES + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     in_order: RDD = rows.mapPartitionsWithIndex(emit).repartitionAndSortWithinPartitions(parts, by_row)
     outputs = in_order.mapPartitions(lambda p: assembled(p, with_output), preservesPartitioning=True)
     results = outputs.repartitionAndSortWithinPartitions(parts, by_row).mapPartitions(finished)
