@@ -47,9 +47,16 @@ class Scratch:
         df.write.parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing reads any more."""
+        for name in names:
+            self._delete(self.path(name))
+
     def remove(self) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
+        self._delete(self.root)
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -271,6 +278,17 @@ def text_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data)))
 
 
+def spaced_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All words, each followed by one space, and their n+1 offsets."""
+    lengths = ends - starts
+    inked = np.concatenate([[0], np.cumsum(lengths)])
+    after = inked + np.arange(len(inked))
+    out = np.full(after[-1], 32, np.uint8)
+    step = np.arange(inked[-1])
+    out[step + np.repeat(after[:-1] - inked[:-1], lengths)] = data[step + np.repeat(starts - inked[:-1], lengths)]
+    return out, after
+
+
 def word_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A number for each word, equal where the bytes are equal (compared, not hashed)."""
     if not len(starts):

@@ -21,6 +21,7 @@ from tiffin.llm.periodic import periodic_runs, planted_runs
 from tiffin.llm.pii import KINDS, find_pii
 from tiffin.llm.quality import classify_quality
 from tiffin.llm.repeats import repeated_passages
+from tiffin.llm.seed_extend import repeated_substrings
 from tiffin.llm.simhash import simhash_components
 
 
@@ -117,6 +118,11 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle(table(spark, sf_dir, "documents"), seed=1, percent=90, spm_percent=20)
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_substrings(table(spark, sf_dir, "documents"), length=50)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256", "spans")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -130,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_repeated_passages": op10_repeated_passages,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_substring_dedup": op13_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
