@@ -26,6 +26,7 @@ has equal words or equal 128-bit digests (BLAKE2).
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,6 +54,27 @@ def digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one: they are shuffled twice."""
+    for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
+        body = pa.array([zlib.compress(t.encode(), 1) for t in batch.column("text").to_pylist()], pa.binary())
+        yield pa.record_batch([batch.column("row_no"), batch.column("doc_id"), body], names=["row_no", "doc_id", "packed"])
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts again, at most 256 compressed rows or 1 MB (one row at least) at a time."""
+    for batch in batches:
+        sizes = np.cumsum([len(b) for b in batch.column("packed").to_pylist()])
+        at = 0
+        while at < batch.num_rows:
+            to = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + (1 << 20), "right"))
+            part = batch.slice(at, min(max(at + 1, to), at + 256) - at)
+            at += part.num_rows
+            text = pa.array([zlib.decompress(b).decode() for b in part.column("packed").to_pylist()], pa.string())
+            names = [c for c in part.schema.names if c != "packed"]
+            yield pa.record_batch([*[part.column(c) for c in names], text], names=[*names, "text"])
+
+
 def winnowed(words: np.ndarray, docs_at: np.ndarray, length: int, gram: int) -> dict[str, np.ndarray]:
     """The runs of a slice: document, first window (a word number of the slice), number of windows,
     place of the anchor after the first window, hash of the anchor.  ``words`` are hashes."""
@@ -81,7 +103,7 @@ def winnowed(words: np.ndarray, docs_at: np.ndarray, length: int, gram: int) ->
 
 def seeded(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     """Per row: its words, the digest of the whole text, and its runs."""
-    for batch, data, offsets in slices(batches, limit=1 << 20):
+    for batch, data, offsets in slices(unpacked(batches), limit=1 << 20):
         starts, ends, docs_at = word_spans(data, offsets)
         hashes = span_hash(prefix_hash(data), starts, ends)
         text, at = spaced_words(data, starts, ends)
@@ -102,7 +124,7 @@ def seeded(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterato
 def bodies_of(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """The words of the runs in ``parts``, joined by a space, long ones as a tab and
     their digest (no word begins with a tab)."""
-    for batch, data, offsets in slices(batches, limit=1 << 20):
+    for batch, data, offsets in slices(unpacked(batches), limit=1 << 20):
         starts, ends, docs_at = word_spans(data, offsets)
         text, at = spaced_words(data, starts, ends)
         raw = memoryview(text)
@@ -170,7 +192,7 @@ def windows_of(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Re
 
 def cleaned_texts(batches: Iterator[pa.RecordBatch], length: int, with_kept: bool) -> Iterator[pa.RecordBatch]:
     """Texts without the words that the marked windows cover."""
-    for batch, data, offsets in slices(batches, limit=1 << 20):
+    for batch, data, offsets in slices(unpacked(batches), limit=1 << 20):
         starts, ends, docs_at = word_spans(data, offsets)
         lists = batch.column("marks").fill_null([])
         marked = lists.flatten()
@@ -223,8 +245,8 @@ def repeated_substrings(
 
     # the rows, numbered for good; later steps find their texts by the number
     numbered = id_text(docs, id_col, text_col).withColumn("row_no", F.monotonically_increasing_id())
-    numbered.write.option("compression", "zstd").parquet(scratch.path("texts"))
-    texts = spark.read.schema(numbered.schema).parquet(scratch.path("texts"))
+    schema = T.StructType([T.StructField("row_no", T.LongType()), T.StructField("doc_id", id_type), T.StructField("packed", T.BinaryType())])
+    texts = scratch.write(numbered.mapInArrow(packed, schema), "texts")
     schema = T.StructType([
         T.StructField("row_no", T.LongType()),
         T.StructField("doc_id", id_type),
@@ -257,7 +279,7 @@ def repeated_substrings(
         *[T.StructField(c, T.LongType()) for c in ("start", "starts", "off")],
         T.StructField("body", T.BinaryType()),
     ])
-    fetched = texts.select("row_no", "text").join(wanted, "row_no").select("text", "parts")
+    fetched = texts.select("row_no", "packed").join(wanted, "row_no").select("packed", "parts")
     bodies = scratch.write(fetched.mapInArrow(lambda b: bodies_of(b, length), schema), "bodies")
 
     # each class meets its leader
@@ -298,7 +320,7 @@ def repeated_substrings(
     own = F.transform("marks", lambda m: F.struct((m["lo"] + start).alias("lo"), (m["hi"] + start).alias("hi")))
     held = held.where("least is not null").select("row_no", F.when(F.col("doc") > F.col("least"), whole).otherwise(own).alias("marks"))
     covered = held.where("size(marks) > 0").groupBy("row_no").agg(F.flatten(F.collect_list("marks")).alias("marks"))
-    touched = texts.select("row_no", "text").join(covered, "row_no", "left" if with_kept else "inner")
+    touched = texts.select("row_no", "packed").join(covered, "row_no", "left" if with_kept else "inner")
     schema = f"row_no long, n_removed long, spans {SPANS}, kept_sha256 string, kept string"
     touched = touched.mapInArrow(lambda b: cleaned_texts(b, length, with_kept), schema)
     touched = scratch.write(touched, "touched")
