@@ -257,16 +257,20 @@ def repeated_substrings(
     rows = scratch.write(texts.mapInArrow(lambda b: seeded(b, length, gram), schema), "rows")
     runs = rows.select("row_no", doc().alias("doc"), F.explode("runs").alias("run")).select("row_no", "doc", "run.*")
 
-    # 1. classes of equal runs
+    # 1. anchors that several documents have, and classes of equal runs
+    total = max(1, rows.agg(F.sum(F.size("runs"))).first()[0] or 0)
+    keys = runs.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("least"), F.max("doc").alias("most"))
+    keys = scratch.write(keys.where("least < most").select("key", "n"), "keys")
+    runs = salted_left_join(runs, keys, ["key"], "n", "row_no", total).where("n is not null").drop("n")
+    runs = scratch.write(runs, "runs")
     first = F.min(F.struct("doc", "row_no", "start", "starts", "off")).alias("first")
     classes = runs.groupBy("key", "h").agg(F.count("*").alias("size"), first, F.max("doc").alias("latest"))
     classes = scratch.write(classes, "classes")
 
-    # 2. anchors of several documents, their leaders, and the words of their classes
+    # 2. leaders, and the words of the classes of their anchors
     leader = F.min(F.struct("first.doc", "h")).alias("leader")
     anchors = classes.groupBy("key").agg(F.count("*").alias("members"), leader, F.max("first.doc").alias("last_doc"))
     anchors = anchors.where("leader.doc < last_doc").select("key", "members", "leader")
-    total = max(1, rows.agg(F.sum(F.size("runs"))).first()[0] or 0)
     shared = classes.join(anchors, "key")
     involved = shared.select("key", "members", (F.col("h") == F.col("leader.h")).alias("leads"), (F.col("first.doc") > F.col("leader.doc")).alias("later"), "h", "first.*")
     involved = scratch.write(involved.withColumn("class_no", F.monotonically_increasing_id()), "involved")
@@ -324,7 +328,7 @@ def repeated_substrings(
     schema = f"row_no long, n_removed long, spans {SPANS}, kept_sha256 string, kept string"
     touched = touched.mapInArrow(lambda b: cleaned_texts(b, length, with_kept), schema)
     touched = scratch.write(touched, "touched")
-    scratch.drop("texts", "classes", "involved", "bodies", "grown", "open_ends", "windows", "marks")
+    scratch.drop("texts", "keys", "runs", "classes", "involved", "bodies", "grown", "open_ends", "windows", "marks")
 
     result = rows.select("row_no", "doc_id", "n_words", "whole_sha256").join(touched, "row_no", "left")
     return result.select(
