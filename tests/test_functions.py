@@ -4,6 +4,7 @@ import datetime as dt
 import itertools
 import pathlib
 import random
+import struct
 
 import pytest
 from pyspark.sql import Window
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 import tiffin
 from tests.conftest import D, T
 from tiffin.functions import rounded_ratio, seconds_of_day, slot_label, wrapped_seconds, years_before
-from tiffin.operators import keep_top_ranks, not_in, order_key
-from tiffin.operators.ranking import ranked_in_ranges
+from tiffin.functions.bits import order_bits
+from tiffin.operators import keep_top_ranks, not_in, order_key, ranking
 
 
 def one(spark, col):
@@ -119,16 +120,51 @@ def test_ranks_equal_the_window(spark, method, k, descending):
 
 
 @pytest.mark.parametrize("method", ["dense", "rank"])
-@pytest.mark.parametrize("ranges", [1, 3, 7])
-def test_ranges_equal_the_window(spark, method, ranges):
-    df = spark.createDataFrame(ranked_rows(200, ranges), "g string, v double, id long")
+@pytest.mark.parametrize("digit", [1, 3, 21])
+@pytest.mark.parametrize("descending", [True, False])
+def test_radix_ranks_equal_the_window(spark, monkeypatch, method, digit, descending):
+    """With few bits a digit every level of the histogram has work to do."""
+    monkeypatch.setattr(ranking, "DIGIT_BITS", digit)
+    close = [(rng_group, 1.0 + i * 2.0**-52, i) for i in range(90) for rng_group in ("a", None)]
+    df = spark.createDataFrame(ranked_rows(200, digit) + close, "g string, v double, id long")
     values = df.groupBy("g", "v").agg(F.count("*").alias("__rank_rows"))
-    got = ranked_in_ranges(values, ["g"], "v", method, "r", True, ranges)
-    want = by_window(df, ["g"], method, True).select("g", "v", "r").distinct()
-    key = lambda r: (str(r["g"]), str(r["v"]), r["r"])
+    got = ranking.ranked_by_radix(values, ["g"], "v", method, "r", descending).select("g", "v", "r")
+    want = by_window(df, ["g"], method, descending).select("g", "v", "r").distinct()
+    key = lambda r: (str(r["g"]), repr(r["v"]), r["r"])
     assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
 
 
+def test_full_ranking_plans_no_job_and_scans_no_bounds(spark):
+    """Building the plan runs nothing, and the plan holds no list of bounds."""
+    df = spark.range(1000).select((F.col("id") % 7).alias("g"), F.sqrt("id").alias("v"))
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    ranked = keep_top_ranks(df, ["g"], "v", None, "dense", "r")
+    assert len(tracker.getJobIdsForGroup(None)) == before
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and "percentile" not in plan
+
+
+DOUBLES = [
+    0.0, -0.0, 5e-324, 1e-323, 2.0**-1022, 2.0**-1022 - 5e-324, 1e-300, 2.0**-52, 0.1, 1 - 2.0**-53, 1.0, 1 + 2.0**-52,
+    2 - 2.0**-52, 2.0, 3.0, 1e15, 2.0**53, 2.0**53 + 2, 1e22, 2.0**1023, 1.7976931348623157e308, float("inf"),
+]
+
+
+def test_order_bits_are_the_bits(spark):
+    rng = random.Random(8)
+    values = DOUBLES + [struct.unpack("<d", struct.pack("<Q", rng.getrandbits(63) % (2047 << 52)))[0] for _ in range(3000)]
+    values += [m * 2.0**e for e in range(-1060, 1020, 7) for m in (1.0, 2 - 2.0**-52)]
+    values += [-v for v in values]
+    df = spark.createDataFrame([(v,) for v in values + [float("nan"), None]], "v double")
+    for r in df.select("v", order_bits(F.col("v")).alias("b")).collect():
+        if r["v"] is None or r["v"] != r["v"]:
+            assert r["b"] == (None if r["v"] is None else (2047 << 52) + 1)
+        else:
+            bits = struct.unpack("<q", struct.pack("<d", abs(r["v"])))[0]
+            assert r["b"] == (-bits if r["v"] < 0 else bits), r["v"]
+
+
 def test_a_large_k_is_as_lazy_as_a_small_one(spark, tmp_path):
     df = spark.createDataFrame([(v,) for v in [5, 3, 3, None, 1, 5]], "v long")
     got = [(r.v, r.r) for r in keep_top_ranks(df, [], "v", 1001, "dense", "r").collect()]

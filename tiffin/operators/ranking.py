@@ -9,10 +9,13 @@ join, whose large side Spark splits.
 * ``k`` up to ``MAX_TOP``: ``row_number <= k`` over the values is recognised by
   Catalyst, which keeps at most k values per group and task before the shuffle.
 * a full ranking (``k=None``, or a larger k): the values of a group may be as
-  many as its rows, so they are ranked in ranges.  The bounds of the ranges
-  are quantiles of the values, computed once and put into the plan as literals;
-  a value's range is then a function of the value, and its rank is its place in
-  the range plus the sizes of the ranges before.  Nothing is written or checkpointed.
+  many as its rows, so they are ranked through a histogram of their leading bits.
+  A value becomes a 64-bit integer of the same order (``order_bits``), read as three
+  digits of at most 22 bits.  Its rank is its place among the values with the same two
+  leading digits, plus the sizes of the earlier second digits under the same first one,
+  plus those of the earlier first digits.  No window thus sorts more than 2**22 rows,
+  however many values a group has and however close they lie; there is no
+  sample, no bound to choose, and no job while the plan is built.
 """
 
 from __future__ import annotations
@@ -20,14 +23,22 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tiffin.functions.bits import order_bits
+
 METHODS = ("dense", "rank")
 
 #: Above this Catalyst adds no limit per task (its own default threshold).
 MAX_TOP = 1000
 
+#: Bits of the two lower digits of a value; the first digit has the other 22.
+DIGIT_BITS = 21
+
+#: NULL sorts as the largest value.
+_NULL_BITS = (1 << 63) - 1
+
 _VALUES = "__rank_rows"
 
 
@@ -58,7 +69,7 @@ def keep_top_ranks(
         raise ValueError(f"method must be one of {METHODS}")
     values = df.groupBy(*partition_by, order_by).agg(F.count(F.lit(1)).alias(_VALUES))
     if k is None or k > MAX_TOP:
-        ranked = ranked_in_ranges(values, partition_by, order_by, method, rank_col, descending)
+        ranked = ranked_by_radix(values, partition_by, order_by, method, rank_col, descending)
     else:
         ranked = ranked_top(values, partition_by, order_by, int(k), method, rank_col, descending)
     if k is not None:
@@ -82,38 +93,31 @@ def ranked_top(
     return top.withColumn(rank_col, F.coalesce(F.sum(_VALUES).over(before), F.lit(0)) + 1)
 
 
-def ranked_in_ranges(
-    values: DataFrame,
-    partition_by: Sequence[str],
-    order_by: str,
-    method: str,
-    rank_col: str,
-    descending: bool,
-    ranges: int | None = None,
+def ranked_by_radix(
+    values: DataFrame, partition_by: Sequence[str], order_by: str, method: str, rank_col: str, descending: bool
 ) -> DataFrame:
-    """Ranks of all values of each group, range by range."""
-    ranges = ranges or int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shares = [i / ranges for i in range(1, ranges)]
-    bounds = []
-    if shares:
-        bounds = sorted(set(values.select(F.percentile_approx(F.col(order_by).cast("double"), shares)).first()[0] or []))
-    value = F.col(order_by).cast("double")
-    place = F.lit(0)
-    if bounds:
-        place = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < value))
-    # NULL sorts as the largest value
-    place = F.when(F.col(order_by).isNull(), F.lit(len(bounds) + 1)).otherwise(place)
-    placed = values.withColumn("__range", -place if descending else place)
-
+    """Ranks of all values of each group: a value's place among those with the
+    same leading bits, plus the sizes of the histogram's earlier buckets."""
+    bits = F.coalesce(order_bits(F.col(order_by).cast("double")), F.lit(_NULL_BITS))
+    place = -bits if descending else bits
     counted = F.lit(1) if method == "dense" else F.col(_VALUES)
-    groups = list(partition_by)
-    own = Window.partitionBy(*groups, "__range").orderBy(order_key(order_by, descending))
-    earlier = own.rowsBetween(Window.unboundedPreceding, -1)
-    local = placed.withColumn("__local", F.coalesce(F.sum(counted).over(earlier), F.lit(0)))
-    sizes = placed.groupBy(*groups, "__range").agg(F.sum(counted).alias("__size"))
-    before = Window.partitionBy(*groups).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("__offset", F.coalesce(F.sum("__size").over(before), F.lit(0)))
-    keys = [*groups, "__range"]
-    offsets = sizes.select(*[F.col(c).alias(f"__key_{i}") for i, c in enumerate(keys)], "__offset")
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__key_{i}")) for i, c in enumerate(keys)])
-    return local.join(offsets, same).withColumn(rank_col, (F.col("__offset") + F.col("__local") + 1).cast("bigint"))
+    # one column for the group: a struct is never NULL, so joins on it keep the partitioning
+    group = F.struct(*partition_by) if partition_by else F.lit(0)
+    placed = values.withColumns({"__group": group, "__fine": F.shiftright(place, DIGIT_BITS), "__counted": counted})
+
+    def before(window: WindowSpec, column: str) -> Column:
+        return F.coalesce(F.sum(column).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    own = Window.partitionBy("__group", "__fine").orderBy(order_key(order_by, descending))
+    local = placed.withColumn("__local", before(own, "__counted"))
+
+    fine = placed.groupBy("__group", "__fine").agg(F.sum("__counted").alias("__size"))
+    fine = fine.withColumn("__coarse", F.shiftright("__fine", DIGIT_BITS))
+    coarse = fine.groupBy("__group", "__coarse").agg(F.sum("__size").alias("__size"))
+    earlier = before(Window.partitionBy("__group").orderBy("__coarse"), "__size")
+    coarse = coarse.select("__group", "__coarse", earlier.alias("__earlier"))
+    inside = before(Window.partitionBy("__group", "__coarse").orderBy("__fine"), "__size")
+    fine = fine.withColumn("__inside", inside).join(coarse, ["__group", "__coarse"])
+    offsets = fine.select("__group", "__fine", (F.col("__earlier") + F.col("__inside")).alias("__offset"))
+    rank = (F.col("__offset") + F.col("__local") + 1).cast("bigint")
+    return local.join(offsets, ["__group", "__fine"]).withColumn(rank_col, rank).select(*values.columns, rank_col)
