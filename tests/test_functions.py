@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import decimal
 import itertools
 import pathlib
 import random
@@ -12,7 +13,9 @@ from pyspark.sql import functions as F
 
 import tiffin
 from tests.conftest import D, T
-from tiffin.functions import rounded_ratio, seconds_of_day, slot_label, wrapped_seconds, years_before
+from tiffin.functions import (
+    money_sums, money_value, rounded_ratio, seconds_of_day, slot_label, sums_again, wrapped_seconds, years_before,
+)
 from tiffin.functions.bits import order_bits
 from tiffin.operators import keep_top_ranks, not_in, order_key, ranking
 
@@ -145,6 +148,43 @@ def test_full_ranking_plans_no_job_and_scans_no_bounds(spark):
     assert "lambda" not in plan and "percentile" not in plan
 
 
+def money_sum(spark, amounts, parts=1):
+    df = spark.createDataFrame([(a,) for a in amounts], "a double").repartition(parts)
+    once = df.groupBy(F.spark_partition_id().alias("p")).agg(*[c.alias(n) for n, c in money_sums(F.col("a"), "m").items()])
+    again = once.agg(*[c.alias(n) for n, c in sums_again("m").items()])
+    return again.select(money_value("m").alias("v")).first()["v"]
+
+
+def test_sums_keep_digits_past_the_sixth(spark):
+    assert money_sum(spark, [4e-7] * 1000, 3) == 4e-4
+    assert money_sum(spark, [5e-7, -4e-7]) == 1e-7 and money_sum(spark, [1e-20] * 7) == 7e-20
+    assert money_sum(spark, [0.1] * 10) == 1.0 and money_sum(spark, [12345.67, 1e-9]) == 12345.670000001
+    assert money_sum(spark, [None, None]) is None and money_sum(spark, []) is None
+    long = decimal.Decimal("1e12") + decimal.Decimal(repr(123456789.123456789))
+    assert money_sum(spark, [1e12, 123456789.123456789]) == float(long)
+
+
+def test_sums_equal_the_sum_of_the_printed_decimals(spark):
+    rng = random.Random(4)
+    for spread in (range(-8, 0), range(-4, 11), range(4, 17), range(17, 25)):
+        amounts = [rng.choice([1, -1]) * round(rng.random(), rng.choice([2, 9, 17])) * 10.0 ** rng.choice(spread) for _ in range(300)]
+        exact = sum(decimal.Decimal(repr(a)) for a in amounts)
+        got = money_sum(spark, amounts, 4)
+        assert got == pytest.approx(float(exact), rel=1e-15, abs=1e-21), spread
+
+
+def test_large_sums_do_not_depend_on_the_order(spark):
+    amounts = [1e18, -1e18, 3e18 + 1024, 7.25, 1e25, -1e25, 2.0**57, 0.1, 4e-7] * 40
+    found = set()
+    for seed in range(4):
+        random.Random(seed).shuffle(amounts)
+        found.add(money_sum(spark, amounts, seed + 1))
+    assert found == {float(sum(decimal.Decimal(repr(a)) for a in amounts))}
+    for odd in (float("nan"), float("inf"), 1e300):
+        got = money_sum(spark, [odd, 1e18, 0.1])
+        assert got == odd or got != got and odd != odd
+
+
 DOUBLES = [
     0.0, -0.0, 5e-324, 1e-323, 2.0**-1022, 2.0**-1022 - 5e-324, 1e-300, 2.0**-52, 0.1, 1 - 2.0**-53, 1.0, 1 + 2.0**-52,
     2 - 2.0**-52, 2.0, 3.0, 1e15, 2.0**53, 2.0**53 + 2, 1e22, 2.0**1023, 1.7976931348623157e308, float("inf"),

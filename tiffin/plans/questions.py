@@ -28,8 +28,8 @@ Design rules applied throughout (the plans must hold at 100 TB):
   Spark's own size thresholds.
 * **Filters as ranges.**  Year and cut-off filters are written as date
   ranges against literals, which Parquet uses to skip row groups.
-* **Exact arithmetic.**  Everyday amounts are summed as decimals, NaN,
-  infinite and huge ones beside them; percentages are
+* **Exact arithmetic.**  Amounts are summed as decimals, binned by the
+  size of their digits, NaN and infinite ones beside them; percentages are
   rounded with integer arithmetic (see :mod:`tiffin.functions.money`).
 """
 
@@ -49,11 +49,11 @@ from tiffin.functions import (
     month_text,
     rounded_ratio,
     slot_label,
+    sums_again,
     time_difference,
     wrapped_seconds,
     years_before,
 )
-from tiffin.functions.money import ODD
 from tiffin.operators import broadcast_if_small, keep_top_ranks, not_in, order_key, rollup_through_lookup
 from tiffin.sources import Tables
 
@@ -234,7 +234,7 @@ def delivery_minutes_from(delivered_orders: DataFrame, status: str) -> DataFrame
 
 def customer_facts(orders: DataFrame) -> DataFrame:
     """Orders reduced to one row per ``customer_id``: ``n_orders``
-    (COUNT(order_id)), ``spent`` (the two columns of a money sum) and
+    (COUNT(order_id)), ``spent`` (the bins of a money sum) and
     ``n_amounts`` (COUNT(total_amount)).  Q3, Q4 and Q12 can all be answered from it."""
     return orders.groupBy("customer_id").agg(
         F.count("order_id").alias("n_orders"),
@@ -255,7 +255,7 @@ def totals_per_name_from_facts(
         customers.select("customer_id", "customer_name"),
         "customer_id",
         ["customer_name"],
-        {"total_orders": F.sum("n_orders"), **summed_again("spent"), "n_amounts": F.sum("n_amounts")},
+        {"total_orders": F.sum("n_orders"), **sums_again("spent"), "n_amounts": F.sum("n_amounts")},
         lookup_rows,
         memo,
     )
@@ -281,7 +281,7 @@ def segments_from_facts(facts: DataFrame, multiple: float, avg_amount: F.Column)
         "category", F.when(money_value("spent") > threshold, F.lit(GOLD)).otherwise(F.lit(SILVER))
     )
     per_category = labelled.groupBy("category").agg(
-        F.sum("n_orders").cast("bigint").alias("total_orders"), *named(summed_again("spent"))
+        F.sum("n_orders").cast("bigint").alias("total_orders"), *named(sums_again("spent"))
     )
     return per_category.select("category", "total_orders", money_value("spent").alias("total_spent"))
 
@@ -290,11 +290,6 @@ def named(measures: dict[str, F.Column]) -> list[F.Column]:
     return [expr.alias(name) for name, expr in measures.items()]
 
 
-def summed_again(name: str) -> dict[str, F.Column]:
-    """The two columns of a money sum, added up once more."""
-    return {c: F.sum(c) for c in (name, name + ODD)}
-
-
 # ---------------------------------------------------------------- questions
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tiffin.plans import checks
 from tiffin.plans import questions as Q
-from tiffin.functions import money_value
+from tiffin.functions import money_value, sums_again
 from tiffin.sources import Intermediates, Tables
 
 
@@ -74,7 +74,7 @@ def report(
         per_customer = work.write(per_customer, "customer_facts")
         per_delivery = work.write(per_delivery, "delivery_facts")
     per_name = Q.totals_per_name_from_facts(per_customer, t.customers, memo=t.checked)
-    overall = per_customer.agg(*Q.named(Q.summed_again("spent")), F.sum("n_amounts").alias("n"))
+    overall = per_customer.agg(*Q.named(sums_again("spent")), F.sum("n_amounts").alias("n"))
     avg_amount = overall.select(
         F.when(F.col("n") > 0, money_value("spent") / F.col("n").cast("double")).alias("avg_amount")
     ).scalar()
