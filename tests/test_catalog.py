@@ -67,3 +67,22 @@ def test_cli_reads_the_catalog(spark, bucketed, capsys):
 
     assert main(["run", "q02_time_slots", "--catalog", "tiffin_test", "--show", "3"], spark=spark) == 0
     assert "time_slot" in capsys.readouterr().out
+
+
+def test_hot_ids_come_and_go(spark, make_tables):
+    """NULL and one order are hot in one table only; the next write without
+    them leaves no overflow behind."""
+    orders = [(i, 1, 1, "x", None, None, "F", 1.0) for i in range(3000)]
+    deliveries = [(j, None if j % 3 else 7, "Delivered", 60, 1) for j in range(9000)]
+    t = make_tables(orders=orders, deliveries=deliveries + [(9000 + i, i, "Delivered", 60, 2) for i in range(3000)])
+    assert set(write_catalog_tables(t, "tiffin_hot_ids", buckets=8)) == {None, 7}
+    hybrid = read_catalog_tables(spark, "tiffin_hot_ids")
+    for job in (Q.q05_undelivered, Q.q10_delivery_minutes, Q.q13_rider_earnings):
+        assert sorted(collect(job(hybrid)), key=str) == sorted(collect(job(t)), key=str), job.__name__
+    assert hybrid.deliveries.count() == 12000 and hybrid.orders.count() == 3000
+    assert spark.table("tiffin_hot_ids.deliveries_hot").count() == 9001 and spark.table("tiffin_hot_ids.orders_hot").count() == 1
+
+    few = make_tables(orders=orders[:50], deliveries=deliveries[:40])
+    assert write_catalog_tables(few, "tiffin_hot_ids", buckets=8) == []
+    assert read_catalog_tables(spark, "tiffin_hot_ids").deliveries.count() == 40
+    assert not spark.catalog.tableExists("tiffin_hot_ids.deliveries_hot")

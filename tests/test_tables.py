@@ -3,16 +3,18 @@ from __future__ import annotations
 import datetime as dt
 import io
 import os
+import re
 import tempfile
 from contextlib import redirect_stdout
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from tests.conftest import SF001, collect
+from tests.conftest import D, SF001, T, collect
 from tiffin.plans import questions as Q
 from tiffin.plans.catalog import TEST_AS_OF
-from tiffin.sources import SCHEMAS, from_tpch, read_tables, write_tables
+from tiffin.sources import SCHEMAS, from_tpch, read_tables, register_views, write_tables
 
 
 def test_write_then_read_round_trip(spark):
@@ -220,3 +222,90 @@ def test_checkpoint_folder():
             ensure_checkpoint_dir(StubSession(master))
     local = StubSession("local[2]")
     assert os.path.isdir(ensure_checkpoint_dir(local)) and local.sparkContext.folder
+
+
+# --- partitions by month, names in any case, intervals ---------------------
+
+
+@pytest.fixture(scope="module")
+def by_month(spark, tmp_path_factory):
+    root = str(tmp_path_factory.mktemp("by_month"))
+    write_tables(from_tpch(spark, SF001), root, partition_orders_by_month=True)
+    return root
+
+
+@pytest.mark.parametrize("key", ["q01_top_dishes", "q06_top_restaurant_by_city", "q08_lapsed_customers", "q09_cancellation_rate"])
+def test_dates_prune_monthly_partitions(spark, by_month, key):
+    from tiffin.plans.catalog import test_job
+
+    job, params = test_job(key)
+    df = job(read_tables(spark, by_month), **params)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    filters = [f for f in re.findall(r"PartitionFilters: \[([^\]]*)\]", plan) if "order_month" in f]
+    assert filters and all(">=" in f and ("<" in f or key[:3] in ("q01", "q06")) for f in filters), plan
+    assert sorted(collect(df), key=str) == sorted(collect(job(from_tpch(spark, SF001), **params)), key=str)
+
+
+def test_monthly_partitions_are_not_seen_by_the_jobs(spark, by_month):
+    t = read_tables(spark, by_month)
+    assert t.orders.columns == SCHEMAS["orders"].fieldNames()
+    assert sorted(collect(t.orders), key=str) == sorted(collect(from_tpch(spark, SF001).orders), key=str)
+    folders = [n for n in os.listdir(os.path.join(by_month, "orders")) if n.startswith("order_month=")]
+    assert len(folders) > 12
+
+
+def test_orders_without_a_date_keep_their_own_partition(spark, make_tables, tmp_path):
+    orders = [(1, 1, 1, "x", None, None, "F", 1.0), (2, 1, 1, "x", D(2024, 2, 29), None, "F", 1.0)]
+    write_tables(make_tables(orders=orders), str(tmp_path / "m"), partition_orders_by_month=True)
+    t = read_tables(spark, str(tmp_path / "m"))
+    assert t.orders.count() == 2
+    low, high = F.lit(D(2024, 2, 29)), F.lit(D(2024, 3, 1))
+    assert [r.order_id for r in t.orders_in((low, high)).collect()] == [2] == [r.order_id for r in t.orders_in((low, None)).collect()]
+    assert t.orders_in((None, low)).count() == 0 and t.orders_in((None, low), (low, None)).count() == 1
+
+
+def test_table_names_in_any_case(spark, make_tables, tmp_path):
+    t = make_tables(orders=[(1, 1, 1, "x", None, None, "F", 1.0)], riders=[(1, "r", None)])
+    t.orders.write.parquet(str(tmp_path / "Orders"))
+    t.riders.write.parquet(str(tmp_path / "RIDERS.parquet"))
+    t.customers.write.parquet(str(tmp_path / "customers"))
+    t.customers.write.parquet(str(tmp_path / "Customers"))
+    found = read_tables(spark, str(tmp_path))
+    assert found.orders.count() == 1 and found.riders.count() == 1 and found.customers.count() == 0
+    t.restaurants.write.parquet(str(tmp_path / "Restaurants"))
+    t.restaurants.write.parquet(str(tmp_path / "RESTAURANTS"))
+    with pytest.raises(ValueError, match="several tables named restaurants"):
+        found.restaurants  # noqa: B018
+    with pytest.raises(AnalysisException):
+        found.deliveries  # noqa: B018
+    register_views(t)
+    assert spark.sql("SELECT * FROM Orders").count() == spark.sql("select * from ORDERS").count() == 1
+
+
+def test_time_difference_as_interval(spark, make_tables):
+    from tiffin.plans import questions as Q
+    from tiffin.plans.catalog import parse_params
+
+    orders = [(1, 1, 1, "x", None, T(23, 50), "F", 1.0), (2, 1, 1, "x", None, T(12), "F", 1.0), (3, 1, 1, "x", None, None, "F", 1.0)]
+    deliveries = [(1, 1, "Delivered", T(0, 10), 1), (2, 2, "Delivered", 86400, 1), (3, 3, "Delivered", 5, 1), (4, 2, "Delivered", T(12), 1)]
+    t = make_tables(orders=orders, deliveries=deliveries)
+    df = Q.q10_delivery_minutes(t, **parse_params({"as_interval": "true"}))
+    assert df.schema["time_difference"].dataType.simpleString() == "interval day to second"
+    found = {(r.order_id, r.delivery_time): (r.time_difference, r.time_difference_minutes) for r in df.collect()}
+    assert found == {
+        (1, T(0, 10)): (dt.timedelta(seconds=T(0, 10) - T(23, 50)), 20.0),
+        (2, 86400): (dt.timedelta(hours=12), 720.0),
+        (2, T(12)): (dt.timedelta(0), 0.0),
+        (3, 5): (None, None),
+    }
+
+
+def test_report_keeps_the_order_of_its_results(spark, make_tables, tmp_path):
+    """ORDER BY survives the write: read in file order, rows are sorted."""
+    from tiffin.plans.report import write_report
+
+    rows = spark.range(0, 5000, 1, 7).select(((F.col("id") * 7919) % 5000).alias("n"))
+    write_report({"ordered": rows.orderBy(F.desc("n"))}, str(tmp_path))
+    parts = sorted(n for n in os.listdir(tmp_path / "ordered") if n.endswith(".parquet"))
+    read = [r.n for part in parts for r in spark.read.parquet(str(tmp_path / "ordered" / part)).collect()]
+    assert read == sorted(read, reverse=True)

@@ -35,6 +35,11 @@ def in_year(date_col: Column, year: int) -> Column:
     return (date_col >= F.lit(dt.date(year, 1, 1))) & (date_col < F.lit(dt.date(year + 1, 1, 1)))
 
 
+def year_range(year: int) -> tuple[Column, Column]:
+    """First day of the year, and of the next."""
+    return F.lit(dt.date(year, 1, 1)), F.lit(dt.date(year + 1, 1, 1))
+
+
 def in_any_year(date_col: Column, years: list[int]) -> Column:
     """OR of :func:`in_year` ranges (pushed down as one ``Or`` filter)."""
     cond = None

@@ -68,9 +68,12 @@ def slot_label(seconds: Column, hours: int = 2) -> Column:
     return F.when(inside, label)
 
 
-def time_difference(later: Column, earlier: Column) -> Column:
-    """Raw ``later - earlier`` in seconds; negative across midnight."""
-    return later - earlier
+def time_difference(later: Column, earlier: Column, as_interval: bool = False) -> Column:
+    """Raw ``later - earlier``, negative across midnight: seconds, or a
+    day-time interval as SQL has it for ``time - time``."""
+    if not as_interval:
+        return later - earlier
+    return F.make_dt_interval(secs=(later - earlier).cast("decimal(18,6)"))
 
 
 def wrapped_seconds(later: Column, earlier: Column) -> Column:

@@ -14,6 +14,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def any_null(cols: Sequence[str]) -> Column:
@@ -45,16 +46,61 @@ def _report(df_one_row: DataFrame, constraint: str, table: str, column: str) ->
     )
 
 
-def key_audit(df: DataFrame, key: str, table: str, constraint: str | None = None) -> DataFrame:
+#: Bits and bytes of one of Spark's bitmaps.
+BITMAP_BITS, BITMAP_BYTES = 32768, 4096
+
+#: Bytes that a key costs when it is shuffled with its count.
+KEY_BYTES = 8
+
+#: Classes of bitmaps that are told apart when keys are looked up again.
+CLASSES = 1024
+
+
+def bitmaps_pay(keyed: Sequence[tuple[DataFrame, str]]) -> list[bool]:
+    """For each (table, key column) whether bitmaps are smaller than the keys:
+    integers that lie close together in the files, as serial numbers do.  One job for all tables, in
+    which every task sends a sketch of the bitmaps that it would fill."""
+    def sizes(df: DataFrame, key: str) -> DataFrame:
+        if not isinstance(df.schema[key].dataType, T.IntegralType):
+            return df.sparkSession.range(1).select(F.lit(False).alias("pay"))
+        read = df.select(F.col(key).alias("k"), F.spark_partition_id().alias("task"))
+        touched = F.approx_count_distinct(F.struct("task", F.bitmap_bucket_number("k")))
+        return read.agg((touched * BITMAP_BYTES < F.count("k") * KEY_BYTES).alias("pay"))
+
+    each = [sizes(df, key).select(F.lit(i).alias("i"), "pay") for i, (df, key) in enumerate(keyed)]
+    found = dict(tuple(r) for r in reduce(DataFrame.union, each).collect())
+    return [found[i] for i in range(len(keyed))]
+
+
+def key_audit(df: DataFrame, key: str, table: str, constraint: str | None = None, bitmaps: bool = False) -> DataFrame:
     """Primary-key audit: number of key values occurring more than once,
-    plus the number of rows whose key is NULL."""
-    per_key = df.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    violations = per_key.agg(
-        (
-            F.count_if(F.col("k").isNotNull() & (F.col("n") > 1))
-            + F.coalesce(F.sum(F.when(F.col("k").isNull(), F.col("n"))), F.lit(0))
-        ).alias("violations")
+    plus the number of rows whose key is NULL.
+
+    With ``bitmaps`` (integer keys, see :func:`bitmaps_pay`) each key is one bit: per range of
+    ``BITMAP_BITS`` integers the rows are counted and their bits set, map-side, and only if a
+    range has more rows than bits are keys moved: those of ranges of the same class."""
+    if not bitmaps:
+        per_key = df.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+        violations = per_key.agg(
+            (
+                F.count_if(F.col("k").isNotNull() & (F.col("n") > 1))
+                + F.coalesce(F.sum(F.when(F.col("k").isNull(), F.col("n"))), F.lit(0))
+            ).alias("violations")
+        )
+        return _report(violations, constraint or f"{table}_pkey", table, key)
+    number = F.bitmap_bucket_number(F.col(key))
+    filled = F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position(F.col(key))))
+    ranges = df.groupBy(number.alias("range")).agg(F.count(F.lit(1)).alias("n"), filled.alias("bits"))
+    repeating = F.col("range").isNotNull() & (F.col("n") > F.col("bits"))
+    summary = ranges.agg(
+        F.collect_set(F.when(repeating, F.pmod("range", F.lit(CLASSES)))).alias("classes"),
+        F.sum(F.when(F.col("range").isNull(), F.col("n"))).alias("nulls"),
     )
+    found = summary.select(F.struct("classes", "nulls")).scalar()
+    suspects = df.where((F.size(found["classes"]) > 0) & F.array_contains(found["classes"], F.pmod(number, F.lit(CLASSES))))
+    per_key = suspects.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    violations = per_key.agg(F.count_if(F.col("n") > 1).alias("repeated"))
+    violations = violations.select((F.col("repeated") + F.coalesce(found["nulls"], F.lit(0))).alias("violations"))
     return _report(violations, constraint or f"{table}_pkey", table, key)
 
 

@@ -104,6 +104,7 @@ PARAM_TYPES: dict[str, Callable[[str], object]] = {
     "min_total": float,
     "multiple": float,
     "cols": lambda text: text.split(","),
+    "as_interval": lambda text: {"true": True, "false": False}[text.lower()],
 } | {
     name: int
     for name in (

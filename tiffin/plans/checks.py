@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 
-from tiffin.operators import drop_null, key_audit, length_audit, null_count, null_rows, reference_audit
+from tiffin.operators import bitmaps_pay, drop_null, key_audit, length_audit, null_count, null_rows, reference_audit
 from tiffin.sources import Tables
 from tiffin.sources.schemas import FOREIGN_KEYS, PRIMARY_KEYS, VARCHAR_LIMITS
 
@@ -45,7 +45,8 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 def pk_audit(t: Tables) -> DataFrame:
     """One report row per declared primary key."""
-    return _union([key_audit(getattr(t, table), key, table) for table, key in PRIMARY_KEYS])
+    pay = bitmaps_pay([(getattr(t, table), key) for table, key in PRIMARY_KEYS])
+    return _union([key_audit(getattr(t, table), key, table, bitmaps=p) for (table, key), p in zip(PRIMARY_KEYS, pay)])
 
 
 def fk_audit(t: Tables) -> DataFrame:

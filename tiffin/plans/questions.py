@@ -52,6 +52,7 @@ from tiffin.functions import (
     sums_again,
     time_difference,
     wrapped_seconds,
+    year_range,
     years_before,
 )
 from tiffin.operators import broadcast_if_small, keep_top_ranks, not_in, order_key, rollup_through_lookup
@@ -217,7 +218,7 @@ def rider_earnings(delivered_orders: DataFrame, share: str | float | Decimal) ->
     ).orderBy(F.col("rider_id").asc_nulls_last(), F.col("month1").asc_nulls_last())
 
 
-def delivery_minutes_from(delivered_orders: DataFrame, status: str) -> DataFrame:
+def delivery_minutes_from(delivered_orders: DataFrame, status: str, as_interval: bool = False) -> DataFrame:
     """Q10 core over one row per delivery carrying its order's ``order_time``
     (deliveries joined to orders)."""
     d = delivered_orders.filter(F.col("delivery_status") == F.lit(status))
@@ -227,7 +228,7 @@ def delivery_minutes_from(delivered_orders: DataFrame, status: str) -> DataFrame
         "order_id",
         "order_time",
         "delivery_time",
-        time_difference(d_t, o_t).alias("time_difference"),
+        time_difference(d_t, o_t, as_interval).alias("time_difference"),
         rounded_ratio(wrapped_seconds(d_t, o_t), F.lit(60)).alias("time_difference_minutes"),
     )
 
@@ -317,7 +318,7 @@ def q01_top_dishes(
         max_rows=target_max_rows,
         memo=t.checked,
     )
-    recent = t.orders.filter(F.col("order_date") >= years_before(as_of, years)).select(
+    recent = t.orders_in((years_before(as_of, years), None)).select(
         "customer_id", F.col("order_item").alias("dish")
     )
     per_name = (
@@ -386,7 +387,7 @@ def q05_undelivered(t: Tables) -> DataFrame:
 
     Output: restaurant_name, city, cnt_not_delivered_orders.
     """
-    facts = order_facts(t.orders.select("order_id", "restaurant_id"), t.deliveries)
+    facts = t.by_order(lambda o, d: order_facts(o.select("order_id", "restaurant_id"), d))
     return undelivered_from_facts(facts, t.restaurants)
 
 
@@ -404,7 +405,7 @@ def q06_top_restaurant_by_city(
 
     Output: city, restaurant_name, revenue, rank1.
     """
-    recent = t.orders.filter(F.col("order_date") >= years_before(as_of, years))
+    recent = t.orders_in((years_before(as_of, years), None))
     per_name = rollup_through_lookup(
         recent,
         t.restaurants.select("restaurant_id", "city", "restaurant_name"),
@@ -455,13 +456,13 @@ def q08_lapsed_customers(t: Tables, active_year: int = 2023, absent_year: int =
     # map-side.  x NOT IN S then needs two facts about S, the absent year's
     # ids: is it empty, and does it hold a NULL -- a scan-only aggregate,
     # evaluated once as a scalar subquery.
-    o = t.orders.filter(in_any_year(F.col("order_date"), [active_year, absent_year]))
+    o = t.orders_in(year_range(active_year), year_range(absent_year))
     active, absent = in_year(F.col("order_date"), active_year), in_year(F.col("order_date"), absent_year)
     # Presence in each year packed into one small int (bit 1: active year,
     # bit 2: absent year), so each customer shuffles as an id and one flag.
     year_bit = F.when(active, F.lit(1)).otherwise(F.lit(0)) + F.when(absent, F.lit(2)).otherwise(F.lit(0))
     per_customer = o.groupBy("customer_id").agg(F.bit_or(year_bit.cast("tinyint")).alias("years"))
-    s_rows_df = t.orders.filter(absent).agg(
+    s_rows_df = t.orders_in(year_range(absent_year)).agg(
         F.count(F.lit(1)).alias("s_rows"), F.count_if(F.col("customer_id").isNull()).alias("s_nulls")
     )
     s_rows, s_nulls = s_rows_df.select("s_rows").scalar(), s_rows_df.select("s_nulls").scalar()
@@ -477,9 +478,8 @@ def q08_lapsed_customers_not_in(t: Tables, active_year: int = 2023, absent_year:
 
     Output: customer_id.
     """
-    o = t.orders.select("customer_id", "order_date")
-    active = o.filter(in_year(F.col("order_date"), active_year)).select("customer_id").distinct()
-    absent = o.filter(in_year(F.col("order_date"), absent_year))
+    active = t.orders_in(year_range(active_year)).select("customer_id").distinct()
+    absent = t.orders_in(year_range(absent_year)).select("customer_id")
     return not_in(active, "customer_id", absent, "customer_id")
 
 
@@ -493,34 +493,37 @@ def q09_cancellation_rate(t: Tables, previous_year: int = 2023, current_year: in
     (current year).  The column names are part of the contract and stay the
     same whatever years are passed.
     """
-    o = t.orders.filter(in_any_year(F.col("order_date"), [previous_year, current_year])).select(
-        "order_id", "restaurant_id", "order_date"
-    )
-    return cancellation_from_facts(order_facts(o, t.deliveries), previous_year, current_year)
+    years = year_range(previous_year), year_range(current_year)
+
+    def facts(orders: DataFrame, deliveries: DataFrame) -> DataFrame:
+        return order_facts(orders.select("order_id", "restaurant_id", "order_date"), deliveries)
+
+    return cancellation_from_facts(t.by_order(facts, *years), previous_year, current_year)
 
 
-def q10_delivery_minutes(t: Tables, status: str = DELIVERED) -> DataFrame:
+def q10_delivery_minutes(t: Tables, status: str = DELIVERED, as_interval: bool = False) -> DataFrame:
     """Q10. Delivery time of every delivery with ``status``.
 
     ``order_time``/``delivery_time`` are seconds of the day;
-    ``time_difference`` is the raw difference in seconds (negative across
-    midnight); ``time_difference_minutes`` adds a day when the delivery time
+    ``time_difference`` is the raw difference (negative across midnight), in
+    seconds or, ``as_interval``, as a day-time interval; ``time_difference_minutes`` adds a day when the delivery time
     is earlier than the order time, in minutes rounded to 2 decimals.
 
     Output: rider_id, order_id, order_time, delivery_time, time_difference,
     time_difference_minutes.
     """
-    d = t.deliveries.filter(F.col("delivery_status") == F.lit(status)).select(
-        "rider_id", "order_id", "delivery_status", "delivery_time"
-    )
+    wanted = F.col("delivery_status") == F.lit(status)
     # Deliveries stream, orders (one row per id) are the buffered side.  A
     # hot order's deliveries land in one shuffle partition; AQE's skew-join
     # split (on by default) cuts that partition into several tasks, each
     # joined with the single buffered order row.  Isolating hot keys by hand
     # would need a full count of deliveries per order first -- a second
     # shuffle of deliveries on every run, skewed or not.
-    j = d.join(t.orders.select("order_id", "order_time"), "order_id")
-    return delivery_minutes_from(j, status)
+    def joined(orders: DataFrame, deliveries: DataFrame) -> DataFrame:
+        d = deliveries.filter(wanted).select("rider_id", "order_id", "delivery_status", "delivery_time")
+        return d.join(orders.select("order_id", "order_time"), "order_id")
+
+    return delivery_minutes_from(t.by_order(joined), status, as_interval)
 
 
 def q11_monthly_growth(t: Tables, status: str = DELIVERED) -> DataFrame:
@@ -530,14 +533,11 @@ def q11_monthly_growth(t: Tables, status: str = DELIVERED) -> DataFrame:
 
     Output: restaurant_id, year1, month1, month_orders, prev_month_orders, growth_rat.
     """
-    facts = order_facts(
-        t.orders.select("order_id", "restaurant_id", "order_date"),
-        t.deliveries,
-        status=status,
-        only_status=True,
-        how="inner",
-    )
-    return growth_from_facts(facts)
+    def facts(orders: DataFrame, deliveries: DataFrame) -> DataFrame:
+        orders = orders.select("order_id", "restaurant_id", "order_date")
+        return order_facts(orders, deliveries, status=status, only_status=True, how="inner")
+
+    return growth_from_facts(t.by_order(facts))
 
 
 def q12_segments(t: Tables, multiple: float = 1) -> DataFrame:
@@ -570,7 +570,8 @@ def q13_rider_earnings(t: Tables, share: str | float | Decimal = DEFAULT_RIDER_S
     # (order, rider) would need a second shuffle, on order_id alone, to join.
     # Deliveries stream (AQE can split a hot order's run); orders, one row
     # per id, are the buffered side.
-    delivered_orders = t.deliveries.select("order_id", "rider_id").join(
-        t.orders.select("order_id", "order_date", "total_amount"), "order_id"
-    )
-    return rider_earnings(delivered_orders, share)
+    def joined(orders: DataFrame, deliveries: DataFrame) -> DataFrame:
+        orders = orders.select("order_id", "order_date", "total_amount")
+        return deliveries.select("order_id", "rider_id").join(orders, "order_id")
+
+    return rider_earnings(t.by_order(joined), share)

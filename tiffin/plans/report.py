@@ -32,16 +32,22 @@ from tiffin.sources import Intermediates, Tables
 
 def shared_order_facts(t: Tables, status: str = Q.DELIVERED) -> DataFrame:
     """orders LEFT JOIN per-order delivery counts, unmaterialised."""
-    orders = t.orders.select("order_id", "restaurant_id", "order_date")
-    return Q.order_facts(orders, t.deliveries, status=status, how="left")
+
+    def facts(orders: DataFrame, deliveries: DataFrame) -> DataFrame:
+        return Q.order_facts(orders.select("order_id", "restaurant_id", "order_date"), deliveries, status=status, how="left")
+
+    return t.by_order(facts)
 
 
 def shared_delivery_facts(t: Tables) -> DataFrame:
     """Every delivery joined to its order (deliveries stream, orders buffer),
     with the columns Q10 and Q13 need, unmaterialised."""
-    deliveries = t.deliveries.select("order_id", "rider_id", "delivery_status", "delivery_time")
-    orders = t.orders.select("order_id", "order_time", "order_date", "total_amount")
-    return deliveries.join(orders, "order_id")
+
+    def joined(orders: DataFrame, deliveries: DataFrame) -> DataFrame:
+        deliveries = deliveries.select("order_id", "rider_id", "delivery_status", "delivery_time")
+        return deliveries.join(orders.select("order_id", "order_time", "order_date", "total_amount"), "order_id")
+
+    return t.by_order(joined)
 
 
 def report(

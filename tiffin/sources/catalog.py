@@ -11,15 +11,20 @@ sorts each bucket before a sort-merge join unless the session sets
 ``spark.sql.legacy.bucketedTableScan.outputOrdering``, which lets it use the
 order of single-file buckets.
 
-Buckets cannot be split when they are read.  If one order (or NULL) has more
-rows than ``HOT_BUCKETS`` average buckets in either table, both are written without
-buckets: joins then shuffle both sides, and adaptive execution splits the hot
-order's partition (it cannot if one side is read in buckets).  Bucketing needs a metastore (``saveAsTable``) and a
-warehouse folder that all executors share.
+Buckets cannot be split when they are read.  Order ids that fill more than
+``HOT_BUCKETS`` average buckets in either table (NULL may be one of them) are therefore kept out:
+their orders and deliveries go to the plain tables ``orders_hot`` and ``deliveries_hot``
+beside the bucketed ones.  An order id is in one part of both tables, so a join on it is
+the union of two joins (``Tables.by_order``): the bucketed one without an exchange, and one of the few
+hot ids, whose shuffle adaptive execution splits (or whose few orders it broadcasts).
+At most ``buckets / HOT_BUCKETS`` ids of a table can be hot, which bounds their list.  Bucketing
+needs a metastore (``saveAsTable``) and a warehouse folder that all executors share.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,14 +34,16 @@ BUCKETED_BY_ORDER = ("orders", "deliveries")
 
 #: Average buckets that one key may fill before bucketing hurts more than it saves.
 HOT_BUCKETS = 2
+#: Rows that are no trouble in one task, whatever their share.
+HOT_ROWS = 1000
 
 
-def hot_key(df: DataFrame, key: str, buckets: int) -> bool:
-    """Whether one key has more rows than HOT_BUCKETS average buckets (keys
-    are counted map-side first, so the hot one does not hurt here)."""
+def hot_ids(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """The keys with more rows than HOT_BUCKETS average buckets, at least
+    ``HOT_ROWS`` (keys are counted map-side first, so a hot one does not hurt here)."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    most, rows = counts.agg(F.max("n"), F.sum("n")).first()
-    return bool(rows) and most > max(HOT_BUCKETS * rows / buckets, 1000)
+    rows = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
+    return counts.where(F.col("n") > F.greatest(rows * HOT_BUCKETS / buckets, F.lit(HOT_ROWS))).select(key)
 
 
 def write_catalog_tables(
@@ -47,7 +54,7 @@ def write_catalog_tables(
 ) -> list[str]:
     """Save the five tables as ``database.<table>``; orders and deliveries
     bucketed and sorted by ``order_id`` into ``buckets`` buckets of one file
-    each, unless a hot key forbids it.  Returns the names of the bucketed ones.
+    each, their hot ids apart as ``database.<table>_hot``.  Returns the hot ids.
 
     Pick ``buckets`` so one bucket of deliveries is a few hundred MB (for
     100 TB of deliveries: tens of thousands); both tables must use the same
@@ -56,22 +63,29 @@ def write_catalog_tables(
     spark = tables.orders.sparkSession
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
     frames = tables.as_dict()
-    hot = any(hot_key(frames[name], "order_id", buckets) for name in BUCKETED_BY_ORDER)
-    bucketed = [] if hot else list(BUCKETED_BY_ORDER)
+    key = "order_id"
+    ids = reduce(DataFrame.union, [hot_ids(frames[name], key, buckets) for name in BUCKETED_BY_ORDER]).distinct()
+    found = [row[0] for row in ids.collect()]  # at most buckets / HOT_BUCKETS of each table
+    is_hot = F.when(F.col(key).isNull(), F.lit(None in found)).otherwise(F.col(key).isin([i for i in found if i is not None]))
     for name, df in frames.items():
+        spark.sql(f"DROP TABLE IF EXISTS {database}.{name}_hot")
         writer = df.write
-        if name in bucketed:
-            writer = df.repartition(buckets, "order_id").write.bucketBy(buckets, "order_id").sortBy("order_id")
+        if name in BUCKETED_BY_ORDER:
+            if found:
+                df.where(is_hot).write.mode(mode).format("parquet").saveAsTable(f"{database}.{name}_hot")
+            rest = df.where(~is_hot) if found else df
+            writer = rest.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
         writer.mode(mode).format("parquet").saveAsTable(f"{database}.{name}")
-    return bucketed
+    return found
 
 
 def read_catalog_tables(spark: SparkSession, database: str) -> Tables:
     """``database.<table>`` for the five tables, lazily, conformed to the
     declared schemas (without casts when the types already match, so the
-    bucketing stays visible to the planner)."""
+    bucketing stays visible to the planner), with the hot parts if there are any."""
 
-    def reader(name: str):
-        return lambda: conform(spark.table(f"{database}.{name}"), name)
+    def reader(name: str, declared: str):
+        return lambda: conform(spark.table(f"{database}.{name}"), declared)
 
-    return Tables(**{name: reader(name) for name in TABLE_NAMES})
+    hot = {f"{n}_hot": n for n in BUCKETED_BY_ORDER if spark.catalog.tableExists(f"{database}.{n}_hot")}
+    return Tables(**{name: reader(name, declared) for name, declared in ({n: n for n in TABLE_NAMES} | hot).items()})
