@@ -44,7 +44,9 @@ def test_bitmaps_pay_for_serial_numbers_only(spark):
     serial = spark.range(1_000_000).toDF("k")
     spread = spark.range(100_000).select((F.col("id") * 1_000_003).alias("k"))
     text = serial.select(F.col("k").cast("string"))
-    assert bitmaps_pay([(serial, "k"), (spread, "k"), (text, "k"), (serial.limit(0), "k")]) == [True, False, False, False]
+    twice = serial.limit(200_000).union(serial.limit(200_000))
+    found = bitmaps_pay([(serial, "k"), (spread, "k"), (text, "k"), (serial.limit(0), "k"), (twice, "k")])
+    assert found == [True, False, False, False, False]
 
 
 def test_no_key_moves_without_repeats(spark):

@@ -52,20 +52,25 @@ BITMAP_BITS, BITMAP_BYTES = 32768, 4096
 #: Bytes that a key costs when it is shuffled with its count.
 KEY_BYTES = 8
 
+#: Least share of distinct keys, by a sketch that errs by a twentieth.
+UNIQUE_SHARE = 0.9
+
 #: Classes of bitmaps that are told apart when keys are looked up again.
 CLASSES = 1024
 
 
 def bitmaps_pay(keyed: Sequence[tuple[DataFrame, str]]) -> list[bool]:
     """For each (table, key column) whether bitmaps are smaller than the keys:
-    integers that lie close together in the files, as serial numbers do.  One job for all tables, in
-    which every task sends a sketch of the bitmaps that it would fill."""
+    integers that lie close together in the files, as serial numbers do, and seldom
+    repeat (ranges with repeats have to move their keys as well).  One job for all tables, in
+    which every task sends sketches of its keys and of the bitmaps that it would fill."""
     def sizes(df: DataFrame, key: str) -> DataFrame:
         if not isinstance(df.schema[key].dataType, T.IntegralType):
             return df.sparkSession.range(1).select(F.lit(False).alias("pay"))
         read = df.select(F.col(key).alias("k"), F.spark_partition_id().alias("task"))
         touched = F.approx_count_distinct(F.struct("task", F.bitmap_bucket_number("k")))
-        return read.agg((touched * BITMAP_BYTES < F.count("k") * KEY_BYTES).alias("pay"))
+        distinct = F.approx_count_distinct("k") >= F.count("k") * UNIQUE_SHARE
+        return read.agg(((touched * BITMAP_BYTES < F.count("k") * KEY_BYTES) & distinct).alias("pay"))
 
     each = [sizes(df, key).select(F.lit(i).alias("i"), "pay") for i, (df, key) in enumerate(keyed)]
     found = dict(tuple(r) for r in reduce(DataFrame.union, each).collect())
