@@ -96,3 +96,40 @@ def test_packed_keys():
     keys = np.sort(np.random.default_rng(3).integers(0, 2**64, 500, dtype=np.uint64))
     for own in (keys, keys[:1], keys[:0]):
         assert bloom_lm.unpacked_keys(bloom_lm.packed_keys(own)).tolist() == own.tolist()
+
+
+def test_words_of_equal_polynomial_hashes_are_two_words(spark):
+    one, other = ("".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(1024)) for flip in (0, 1))
+    rows = [(1, f"{one} {one} x", None), (2, other, None), (3, f"{one} {other}", None)]
+    expected, counts = brute([(i, t) for i, t, _ in rows])
+    for bound in (1 << 40, 1):
+        for r in score_documents(awkward(spark, rows), max_bytes=bound).collect():
+            n, known, base = expected[r["doc_id"]]
+            assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, sum(counts.values()))
+            assert abs(r["base_score"] - base) < 1e-9
+
+
+def test_score_from_exact_counts(spark):
+    """With bits to spare (a false probe in 10**7) the score is the smoothed bigram model over counts
+    rounded to their levels, recomputed here from a plain table."""
+    mu, docs = 500.0, [(i, t) for i, t in documents(spark).items()][:80]
+    words = {i: [w for w in t.encode().lower().split()] + [b"\x00end"] for i, t in docs}
+    learned = [words[i] for i, _ in docs if zlib.crc32(str(i).encode()) % 7 != 2]
+    one, two = Counter(), Counter()
+    for own in learned:
+        one.update([b"\x00begin", *own])
+        two.update(zip([b"\x00begin", *own], own))
+    level = lambda n: VALUES[np.searchsorted(LEVELS, n, "right")]
+    n_tokens, n_types = sum(map(len, learned)), len(one) - 1
+
+    def score(own: list) -> float:
+        total = 0.0
+        for h, w in zip([b"\x00begin", *own], own):
+            c_h, c_w = level(one[h]), level(one[w])
+            joint = min(level(two[h, w]), c_h, c_w) if c_h and c_w else 0.0
+            total += math.log10(min(1.0, (joint + mu * (c_w + 1) / (n_tokens + n_types + 1)) / (c_h + mu)))
+        return total
+
+    found = score_documents(awkward(spark, [(i, t, None) for i, t in docs]), mu=mu, bits_per_entry=1024.0).collect()
+    for r in found:
+        assert r["score"] == pytest.approx(score(words[r["doc_id"]]), rel=1e-9), r["doc_id"]

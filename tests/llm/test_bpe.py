@@ -2,13 +2,14 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from tests.llm.helpers import AWKWARD, SF, awkward, documents
 from tiffin.llm.bpe import decode, encode, encode_slice, merge_by_heap, vocabulary
-from tiffin.llm.common import text_column
+from tiffin.llm.common import prefix_hash, span_hash, text_column
 from tiffin.llm.queries import QUERIES, vocabulary_path
 
 
@@ -70,3 +71,22 @@ def test_awkward_rows(spark, tokenizer):
     assert texts == {1: tokenizer.decode([447], skip_special_tokens=False), 2: "", 3: ""}
     with pytest.raises(ValueError):
         decode(broken, vocabulary_path(), into="ids")
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    """A word of n letters and its complement: equal under polynomial hashes modulo 2**64."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_pieces_with_equal_hashes_keep_their_own_ids(spark, tokenizer, n):
+    one, other = thue_morse(n)
+    data = np.frombuffer((one + other).encode(), np.uint8)
+    hashes = span_hash(prefix_hash(data), np.array([0, n]), np.array([n, 2 * n]))
+    assert hashes[0] == hashes[1]  # the case is real
+    texts = [one, other, one, f"{other} {one} {other}", "", "a"]
+    assert ours(texts) == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    docs = awkward(spark, [(i, t, None) for i, t in enumerate(texts)]).coalesce(1)
+    found = decode(encode(docs, vocabulary_path()), vocabulary_path()).collect()
+    assert {r["doc_id"]: r["decoded"] for r in found} == dict(enumerate(texts))

@@ -22,6 +22,7 @@ segments, so the scores are the same.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,14 +31,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from tiffin.llm.common import Scratch, fold_of, id_text, lower_ascii, mix, prefix_hash, slices, span_hash, word_spans
+from tiffin.llm.common import Scratch, fold_of, id_text, lower_ascii, mix, slices, spaced_words, word_numbers, word_spans
 
 TEXT_BYTES = 2 << 20
 #: Text bytes of a slice whose n-grams are probed in their ranges.
-PROBE_BYTES = 8 << 20
+PROBE_BYTES = 4 << 20
 #: Words with at least 1/HEAD of all training tokens, at most HEAD of them, are
 #: broadcast with their counts; the others are counted by a shuffle.
 HEAD = 1 << 20
@@ -60,6 +61,19 @@ def pair(history: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(history * _ODD + (word ^ (word >> np.uint64(29))))
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits of BLAKE2 of every word, worked out once for each distinct one:
+    unlike a polynomial hash it has no words with equal values by their structure."""
+    text, at = spaced_words(data, starts, ends)
+    raw = memoryview(text)
+    numbers = word_numbers(data, starts, ends)
+    first = np.empty(numbers.max(initial=-1) + 1, np.int64)
+    first[numbers[::-1]] = np.arange(len(numbers))[::-1]
+    spans = zip(at[first].tolist(), (at[first + 1] - 1).tolist())
+    digests = b"".join(hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in spans)
+    return np.frombuffer(digests, np.uint64)[numbers]
+
+
 @dataclass
 class Tokens:
     """The tokens of a slice: words' hashes with an end after each document."""
@@ -77,7 +91,7 @@ class Tokens:
 def tokens_of(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     low = lower_ascii(data)
     starts, ends, words = word_spans(low, offsets)
-    hashes = span_hash(prefix_hash(low), starts, ends)
+    hashes = word_hashes(low, starts, ends)
     n = len(offsets) - 1
     at = words + np.arange(n + 1)
     keys = np.empty(len(hashes) + n, np.uint64)
@@ -357,22 +371,19 @@ def score_in_ranges(rows: DataFrame, kind: str, scratch: Scratch, mu: float, k:
 
     cuts = scratch.write(rows.select("doc_id", "text", "held_out").mapInArrow(cut, f"slice long, ids array<{kind}>, held binary, offsets binary, data binary"), "slices")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(parts: Iterator[Row]) -> Iterator[tuple]:
         """The distinct n-grams of each slice with their learned occurrences;
         those only to be scored have 0."""
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-        for batch in batches:
-            for i in range(batch.num_rows):
-                number, held, offsets, data = (batch.column(c)[i].as_py() for c in ("slice", "held", "offsets", "data"))
-                tokens = tokens_in(data, offsets)
-                docs = ~np.frombuffer(held, bool)
-                learn = np.repeat(docs, np.diff(tokens.offsets))
-                out: list[tuple] = []
-                for sort, keys, own in ((0, tokens.keys, learn), (1, pair(tokens.histories(), tokens.keys), learn), (2, np.full(len(docs), BEGIN), docs)):
-                    keys, same = np.unique(keys, return_inverse=True)
-                    counts = np.bincount(same[own], minlength=len(keys)).astype(np.uint32)
-                    out += [(number, b, sort, packed_keys(keys[lo:hi]), counts[lo:hi].tobytes()) for b, lo, hi in by_bucket(keys, bits)]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["slice", "bucket", "kind", "keys", "counts"])
+        for number, held, offsets, data in parts:
+            tokens = tokens_in(data, offsets)
+            docs = ~np.frombuffer(held, bool)
+            learn = np.repeat(docs, np.diff(tokens.offsets))
+            for sort in (0, 1, 2):  # one after the other: each takes several times its keys
+                keys = tokens.keys if sort == 0 else pair(tokens.histories(), tokens.keys) if sort == 1 else np.full(len(docs), BEGIN)
+                keys, same = np.unique(keys, return_inverse=True)
+                counts = np.bincount(same[docs if sort == 2 else learn], minlength=len(keys)).astype(np.uint32)
+                for b, lo, hi in by_bucket(keys, bits):
+                    yield number, b, sort, packed_keys(keys[lo:hi]), counts[lo:hi].tobytes()
 
     def probe(group: pd.DataFrame) -> pd.DataFrame:
         """Builds the segment of a range and answers the slices: levels of all
@@ -399,7 +410,10 @@ def score_in_ranges(rows: DataFrame, kind: str, scratch: Scratch, mu: float, k:
         out.append((-1, bucket, -1, None, None, int((n > 0).sum()), int(n.sum())))
         return pd.DataFrame(out, columns=["slice", "bucket", "kind", "levels", "counts", "n_types", "n_tokens"])
 
-    asked = cuts.select("slice", "held", "offsets", "data").mapInArrow(count, "slice long, bucket int, kind int, keys binary, counts binary")
+    # an RDD: its batches are cut by bytes, while one of Arrow would take all slices of a task at once
+    counted = cuts.select("slice", "held", "offsets", "data").rdd.mapPartitions(count)
+    schema = "slice long, bucket int, kind int, keys binary, counts binary"
+    asked = rows.sparkSession.createDataFrame(counted, schema, verifySchema=False)
     answers = asked.groupBy("bucket").applyInPandas(probe, "slice long, bucket int, kind int, levels binary, counts binary, n_types long, n_tokens long")
     answers = scratch.write(answers, "answers")
     n_types, n_tokens = (x or 0 for x in answers.agg(F.sum("n_types"), F.sum("n_tokens")).first())

@@ -188,15 +188,33 @@ def pieces(data: np.ndarray, offsets: np.ndarray, special: dict[bytes, int]) ->
     return found
 
 
+def distinct_pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One piece of each kind, and the kind of every piece.  Pieces are brought
+    together by a hash and compared byte by byte with the one that stands for
+    them; one that differs (equal hashes can be made on purpose) stands for itself."""
+    _, first, same = np.unique(span_hash(prefix_hash(data), starts, ends), return_index=True, return_inverse=True)
+    lengths, model = ends - starts, first[same]
+    differs = lengths != lengths[model]
+    copies = np.flatnonzero((model != np.arange(len(starts))) & ~differs & (lengths > 0))
+    sizes = lengths[copies]
+    base = np.cumsum(sizes) - sizes
+    step = np.arange(int(sizes.sum()), dtype=np.int32)
+    own = data[step + np.repeat(starts[copies] - base, sizes).astype(np.int32)]
+    other = data[step + np.repeat(starts[model[copies]] - base, sizes).astype(np.int32)]
+    unequal = np.flatnonzero(own != other)
+    differs[copies[np.searchsorted(base, unequal, "right") - 1]] = True
+    alone = np.flatnonzero(differs)
+    same[alone] = len(first) + np.arange(len(alone))
+    return np.append(first, alone), same
+
+
 def encode_slice(vocab: Vocabulary, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all documents of a slice, and the n+1 offsets into them."""
     starts = pieces(data, offsets, vocab.special)
     if not len(starts):
         return np.empty(0, np.int32), np.zeros(len(offsets), np.int64)
     ends = np.append(starts[1:], len(data))
-    keys = span_hash(prefix_hash(data), starts, ends)
-    _, first, same = np.unique(keys, return_index=True, return_inverse=True)
-    del keys
+    first, same = distinct_pieces(data, starts, ends)
     ids, spread = encode_pieces(vocab, data, starts[first], ends[first])
     lengths = np.diff(spread)[same]
     into = np.cumsum(lengths)
