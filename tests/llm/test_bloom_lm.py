@@ -133,3 +133,10 @@ def test_score_from_exact_counts(spark):
     found = score_documents(awkward(spark, [(i, t, None) for i, t in docs]), mu=mu, bits_per_entry=1024.0).collect()
     for r in found:
         assert r["score"] == pytest.approx(score(words[r["doc_id"]]), rel=1e-9), r["doc_id"]
+
+
+def test_large_ids_beside_a_null_one(spark):
+    ids = [2**62 + 1, 2**53 + 1, None, -(2**62) - 1]
+    rows = awkward(spark, [(i, "some words", None) for i in ids]).coalesce(1)
+    for bound in (1 << 40, 1):
+        assert {r["doc_id"] for r in score_documents(rows, max_bytes=bound).collect()} == set(ids)

@@ -31,10 +31,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tiffin.llm.common import Scratch, fold_of, id_text, lower_ascii, mix, slices, spaced_words, word_numbers, word_spans
+from tiffin.llm.common import Scratch, fold_of, id_text, lower_ascii, mix, slices, spaced_words, text_column, word_numbers, word_spans
 
 TEXT_BYTES = 2 << 20
 #: Text bytes of a slice whose n-grams are probed in their ranges.
@@ -103,10 +104,9 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     return Tokens(keys, at)
 
 
-def tokens_in(data: bytes, offsets: bytes) -> Tokens:
+def tokens_in(text: np.ndarray, ends: np.ndarray) -> Tokens:
     """The tokens of a large slice, from runs of whole rows: hashing a run
     takes several times its bytes."""
-    text, ends = np.frombuffer(data, np.uint8), np.frombuffer(offsets, np.int64)
     keys, n, at = [], [np.zeros(1, np.int64)], 0
     while at < len(ends) - 1:
         to = max(at + 1, int(np.searchsorted(ends, ends[at] + TEXT_BYTES, "right")) - 1)
@@ -343,8 +343,11 @@ def score_documents(
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "lm")
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = id_text(docs, id_col, text_col).withColumn("held_out", fold_of(F.col("doc_id"), folds) == held_out_fold)
+    id_type = docs.schema[id_col].dataType
+    # integers travel as text: pandas would make them doubles beside a null
+    kind = "string" if isinstance(id_type, T.IntegralType) else id_type.simpleString()
+    rows = id_text(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast(kind))
+    rows = rows.withColumn("held_out", fold_of(F.col("doc_id"), folds) == held_out_fold)
     learned = rows.where("not held_out")
     bits = segment_bits(learned)
     if most_bytes(learned, bits, bits_per_entry) > max_bytes:
@@ -352,7 +355,7 @@ def score_documents(
     else:
         found, n_tokens = score_by_broadcast(rows, kind, scratch, mu, k, bits_per_entry, bits)
     held = fold_of(F.col("doc_id"), folds) == held_out_fold
-    return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return found.select(F.col("doc_id").cast(id_type), held.alias("held_out"), "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def score_in_ranges(rows: DataFrame, kind: str, scratch: Scratch, mu: float, k: int, bits_per_entry: float, bits: int) -> tuple[DataFrame, int]:
@@ -361,29 +364,36 @@ def score_in_ranges(rows: DataFrame, kind: str, scratch: Scratch, mu: float, k:
     Nothing but two sums reaches the driver."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slice_no = TaskContext.get().partitionId() << 32
-        for batch, data, offsets in slices(batches, limit=PROBE_BYTES):
-            held = batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
-            ids = pa.array([batch.column("doc_id").to_pylist()], pa.list_(batch.schema.field("doc_id").type))
-            blobs = [pa.array([x.tobytes()], pa.binary()) for x in (held, offsets, data)]
-            yield pa.record_batch([pa.array([slice_no], pa.int64()), ids, *blobs], names=["slice", "ids", "held", "offsets", "data"])
-            slice_no += 1
+        """Rows numbered, with the number of their slice."""
+        task, n = TaskContext.get().partitionId() << 32, 0
+        for number, (batch, _, _) in enumerate(slices(batches, limit=PROBE_BYTES)):
+            columns = [pa.array(np.full(batch.num_rows, task + number)), pa.array(task + n + np.arange(batch.num_rows)), *batch.columns]
+            yield pa.record_batch(columns, names=["slice", "row_no", *batch.schema.names])
+            n += batch.num_rows
 
-    cuts = scratch.write(rows.select("doc_id", "text", "held_out").mapInArrow(cut, f"slice long, ids array<{kind}>, held binary, offsets binary, data binary"), "slices")
+    cuts = scratch.write(rows.select("doc_id", "text", "held_out").mapInArrow(cut, f"slice long, row_no long, doc_id {kind}, text string, held_out boolean"), "slices")
 
-    def count(parts: Iterator[Row]) -> Iterator[tuple]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The distinct n-grams of each slice with their learned occurrences;
-        those only to be scored have 0."""
-        for number, held, offsets, data in parts:
-            tokens = tokens_in(data, offsets)
-            docs = ~np.frombuffer(held, bool)
-            learn = np.repeat(docs, np.diff(tokens.offsets))
-            for sort in (0, 1, 2):  # one after the other: each takes several times its keys
-                keys = tokens.keys if sort == 0 else pair(tokens.histories(), tokens.keys) if sort == 1 else np.full(len(docs), BEGIN)
-                keys, same = np.unique(keys, return_inverse=True)
-                counts = np.bincount(same[docs if sort == 2 else learn], minlength=len(keys)).astype(np.uint32)
-                for b, lo, hi in by_bucket(keys, bits):
-                    yield number, b, sort, packed_keys(keys[lo:hi]), counts[lo:hi].tobytes()
+        those only to be scored have 0.  A slice that is read in parts is counted by
+        parts, each named after its first row."""
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+        for batch in batches:
+            number, row_no = batch.column("slice").to_numpy(), batch.column("row_no").to_numpy()
+            edges = np.flatnonzero(np.diff(number, prepend=number[:1] - 1, append=number[-1:] + 1)).tolist()
+            for a, b in zip(edges, edges[1:]):
+                part = batch.slice(a, b - a)
+                tokens = tokens_in(*text_column(part.column("text")))
+                docs = ~part.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+                learn = np.repeat(docs, np.diff(tokens.offsets))
+                for sort in (0, 1, 2):  # one after the other: each takes several times its keys
+                    keys = tokens.keys if sort == 0 else pair(tokens.histories(), tokens.keys) if sort == 1 else np.full(len(docs), BEGIN)
+                    keys, same = np.unique(keys, return_inverse=True)
+                    counts = np.bincount(same[docs if sort == 2 else learn], minlength=len(keys)).astype(np.uint32)
+                    del same
+                    name = int(number[a]), int(row_no[a])
+                    out = [(*name, b, sort, packed_keys(keys[lo:hi]), counts[lo:hi].tobytes()) for b, lo, hi in by_bucket(keys, bits)]
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["slice", "part", "bucket", "kind", "keys", "counts"])
 
     def probe(group: pd.DataFrame) -> pd.DataFrame:
         """Builds the segment of a range and answers the slices: levels of all
@@ -403,25 +413,27 @@ def score_in_ranges(rows: DataFrame, kind: str, scratch: Scratch, mu: float, k:
         segment = BloomCounts(bits, k, data, np.zeros(1 << bits, np.int64), sizes, 0, 0, mu)
         levels = {sort: segment.levels(found[sort][0]).astype(np.uint8) for sort in found}
         out = []
-        for i, (number, sort) in enumerate(zip(group["slice"].tolist(), sorts.tolist())):
+        for i, (number, part, sort) in enumerate(zip(group["slice"].tolist(), group["part"].tolist(), sorts.tolist())):
             at = np.searchsorted(found[sort][0], asked[i])
-            out.append((number, bucket, sort, levels[sort][at].tobytes(), found[0][1][at].tobytes() if sort == 0 else None, 0, 0))
+            out.append((number, part, bucket, sort, levels[sort][at].tobytes(), found[0][1][at].tobytes() if sort == 0 else None, 0, 0))
         n = found[0][1]
-        out.append((-1, bucket, -1, None, None, int((n > 0).sum()), int(n.sum())))
-        return pd.DataFrame(out, columns=["slice", "bucket", "kind", "levels", "counts", "n_types", "n_tokens"])
-
-    # an RDD: its batches are cut by bytes, while one of Arrow would take all slices of a task at once
-    counted = cuts.select("slice", "held", "offsets", "data").rdd.mapPartitions(count)
-    schema = "slice long, bucket int, kind int, keys binary, counts binary"
-    asked = rows.sparkSession.createDataFrame(counted, schema, verifySchema=False)
-    answers = asked.groupBy("bucket").applyInPandas(probe, "slice long, bucket int, kind int, levels binary, counts binary, n_types long, n_tokens long")
+        out.append((-1, -1, bucket, -1, None, None, int((n > 0).sum()), int(n.sum())))
+        return pd.DataFrame(out, columns=["slice", "part", "bucket", "kind", "levels", "counts", "n_types", "n_tokens"])
+
+    asked = cuts.select("slice", "row_no", "text", "held_out").mapInArrow(count, "slice long, part long, bucket int, kind int, keys binary, counts binary")
+    answers = asked.groupBy("bucket").applyInPandas(probe, "slice long, part long, bucket int, kind int, levels binary, counts binary, n_types long, n_tokens long")
     answers = scratch.write(answers, "answers")
     n_types, n_tokens = (x or 0 for x in answers.agg(F.sum("n_types"), F.sum("n_tokens")).first())
     total = n_tokens + n_types + 1
 
     def finish(whole: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        own = whole.iloc[0]
-        tokens = tokens_in(own["data"], own["offsets"])
+        whole = whole.sort_values("row_no")
+        firsts = np.unique(told["part"])
+        cuts = [*np.searchsorted(whole["row_no"], firsts).tolist(), len(whole)]
+        return pd.concat([finish_part(whole.iloc[a:b], told[told["part"] == first]) for first, a, b in zip(firsts, cuts, cuts[1:])])
+
+    def finish_part(own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        tokens = tokens_in(*text_column(pa.array(own["text"], pa.large_string())))
         told = told.sort_values("bucket")  # ranges in order are distinct keys in order
         level = {sort: VALUES[np.frombuffer(b"".join(told.loc[told["kind"] == sort, "levels"]), np.uint8)] for sort in (0, 1, 2)}
         exact = np.frombuffer(b"".join(told.loc[told["kind"] == 0, "counts"]), np.int64)
@@ -435,10 +447,10 @@ def score_in_ranges(rows: DataFrame, kind: str, scratch: Scratch, mu: float, k:
         _, same = np.unique(pair(tokens.histories(), tokens.keys), return_inverse=True)
         joint = np.where((c_w > 0) & (c_h > 0), level[1][same], 0.0)
         score = np.bincount(doc, smoothed(c_w, c_h, joint, n_tokens, n_types, mu), len(n))
-        return pd.DataFrame({"doc_id": list(own["ids"]), "n_tokens": n, "n_known": known, "base_score": base, "score": score})
+        return pd.DataFrame({"doc_id": own["doc_id"].tolist(), "n_tokens": n, "n_known": known, "base_score": base, "score": score})
 
-    told = answers.where("kind >= 0").select("slice", "bucket", "kind", "levels", "counts")
-    parts = cuts.select("slice", "ids", "offsets", "data").groupBy("slice").cogroup(told.groupBy("slice"))
+    told = answers.where("kind >= 0").select("slice", "part", "bucket", "kind", "levels", "counts")
+    parts = cuts.select("slice", "row_no", "doc_id", "text").groupBy("slice").cogroup(told.groupBy("slice"))
     return parts.applyInPandas(finish, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double"), n_tokens
 
 
