@@ -3,13 +3,15 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import AWKWARD, awkward
 from tiffin.llm import quality
 from tiffin.llm.langid import LanguageModel, calibrate, columns_of, identify_language
 from tiffin.llm.common import text_column
 from tiffin.llm.queries import QUERIES
-from tiffin.llm.sampling import labelled_sample
+from tiffin.llm.sampling import labelled_sample, sampled_texts
 
 SF01 = "/root/testdata/sf0.01"
 
@@ -67,6 +69,30 @@ def test_sample_is_bounded_and_stable(spark):
     assert first == sorted(map(tuple, labelled_sample(rows.repartition(7), "label", 100)[0].collect()))
 
 
+def test_a_language_of_one_repeated_row_is_learned(spark):
+    """A third of all rows are copies of one English row; the others are German."""
+    german = [(i, f"der hund {i} und die katze {i % 7}", "de") for i in range(2000)]
+    for repeated in (0, 4, 5, 12):
+        rows = spark.createDataFrame(german, "doc_id long, text string, lang string")
+        copies = spark.range(3000).select(F.lit(repeated).cast("long").alias("doc_id"), F.lit("the dog and the cat").alias("text"), F.lit("en").alias("lang"))
+        chosen, languages = sampled_texts(rows.unionByName(copies), "lang", 60, 500)
+        found = [tuple(r) for r in chosen.collect()]
+        assert languages == ["de", "en"] and [r[0] for r in found if r[2] == "en"] == [repeated]
+        assert len(found) == 61 and len(set(found)) == 61
+
+
+def test_sample_of_many_labels(spark):
+    rows = spark.range(6000).select("id", F.concat(F.lit("t"), F.col("id")).alias("text"), (F.col("id") % 600).alias("lang")).toDF("doc_id", "text", "lang")
+    chosen, labels = sampled_texts(rows, "lang", 3, 600)
+    assert labels == list(range(600)) and {r["count"] for r in chosen.groupBy("lang").count().collect()} == {3}
+    assert chosen._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 6000") == 1  # one scan for all labels
+    again = sampled_texts(rows.repartition(5), "lang", 3, 600)[0]
+    assert sorted(map(tuple, chosen.collect())) == sorted(map(tuple, again.collect()))
+    with pytest.raises(ValueError, match="more than 599"):
+        sampled_texts(rows, "lang", 3, 599)
+    assert sampled_texts(rows.limit(0), "lang", 3, 5)[1] == []
+
+
 def test_quality_of_held_out_documents(spark):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF01}/labels.parquet").collect()}
     rows = {r["doc_id"]: r for r in QUERIES["op5_quality"](spark, SF01).collect()}

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tiffin.llm.bpe import char_classes
 from tiffin.llm.common import fold_of, id_text, slices
-from tiffin.llm.sampling import labelled_sample
+from tiffin.llm.sampling import sampled_texts
 
 BITS = 15
 BUCKETS = 1 << BITS
@@ -107,6 +107,7 @@ def inverse_document_frequency(texts: DataFrame) -> np.ndarray:
 def train(
     texts: DataFrame,
     per_language: int = 600,
+    max_languages: int = 500,
     epochs: int = 3,
     alpha: float = 0.5,
     beta: float = 1.0,
@@ -114,11 +115,10 @@ def train(
     l2: float = 0.1,
 ) -> LanguageModel:
     """Fit on ``texts(doc_id, text, lang)``; null languages are left out.
-    At most ``per_language`` rows of each language are fitted on; document
-    frequencies are over all rows."""
+    At most ``per_language`` different rows of each language are fitted on; more
+    than ``max_languages`` languages are an error; document frequencies are over all rows."""
     known = texts.where("lang is not null")
-    chosen, sizes = labelled_sample(known.select("doc_id", "lang"), "lang", per_language)
-    languages = sorted(sizes)
+    chosen, languages = sampled_texts(known.select("doc_id", "text", "lang"), "lang", per_language, max_languages)
     idf = inverse_document_frequency(known.select("doc_id", "text"))
     k = len(languages)
     model = LanguageModel(languages, idf, np.zeros((BUCKETS, k)), np.zeros(k), 1.0)
@@ -132,10 +132,9 @@ def train(
             columns = [own.column("doc_id").cast(pa.string()), own.column("lang"), pa.array([grams.astype(np.int32)]), pa.array([tf[grams].astype(np.int32)])]
             yield pa.record_batch(columns, names=["doc_id", "lang", "grams", "tf"])
 
-    # the sample's ids: per_language rows for each language
-    sampled = known.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
-    rows = sampled.select("doc_id", "text", "lang").mapInArrow(features, "doc_id string, lang string, grams array<int>, tf array<int>").collect()
-    rows.sort(key=lambda r: (str(r["doc_id"]), r["lang"]))
+    # per_language rows for each of at most max_languages languages
+    rows = chosen.select("doc_id", "text", "lang").mapInArrow(features, "doc_id string, lang string, grams array<int>, tf array<int>").collect()
+    rows.sort(key=lambda r: (str(r["doc_id"]), r["lang"], r["grams"], r["tf"]))
     data = [(np.array(r["grams"], np.int64), np.array(r["tf"], np.float64), languages.index(r["lang"])) for r in rows]
     data = [(g, unit(tf * idf[g]), y) for g, tf, y in data if len(g)]
     order = np.random.default_rng(7).permutation(len(data))
@@ -228,16 +227,19 @@ def identify_language(
     folds: int = 4,
     held_out_fold: int = 2,
     per_language: int = 600,
+    max_languages: int = 500,
 ) -> DataFrame:
     """One row per input row: ``doc_id, held_out, lang_pred, score``.
 
     Learns from the rows outside the held-out fold of crc32(id).  Null, empty
     and letterless texts are ``und``; equal probabilities go to the first
-    language in order; rows may repeat; null ids fall in the fold of ''.
+    language in order; null ids fall in the fold of ''; rows may repeat, and a language is
+    learned however often its rows do.  ``per_language`` and ``max_languages`` bound
+    the sample that the driver fits on; every language of the learning rows is learned.
     """
     rows = id_text(docs, id_col, text_col).select("doc_id", "text")
     labelled = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"), docs[lang_col].alias("lang"))
     held = fold_of(F.col("doc_id"), folds) == held_out_fold
-    model = train(labelled.where(~held), per_language)
+    model = train(labelled.where(~held), per_language, max_languages)
     found = predict(rows, model)
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")

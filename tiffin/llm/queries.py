@@ -96,7 +96,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_passages(table(spark, sf_dir, "documents"), length=400, keep_first=False)
     n_spans = F.size("spans").cast("long").alias("n_spans")
-    return found.select("doc_id", "n_bytes", "n_removed", n_spans, "kept_sha256")
+    return found.select("doc_id", "n_bytes", "n_removed", n_spans, "kept_sha256", "spans")
 
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
