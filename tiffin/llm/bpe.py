@@ -27,6 +27,7 @@ from tiffin.llm.common import id_text, prefix_hash, slices, span_hash
 #: Text bytes encoded at once, and the fragment length from which a heap is
 #: used instead of rounds over the whole fragment.
 ENCODE_BYTES = 1 << 20
+COMPARE_BYTES = 1 << 16
 DECODE_ROWS = 256
 LONG_FRAGMENT = 192
 
@@ -196,13 +197,16 @@ def distinct_pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> t
     lengths, model = ends - starts, first[same]
     differs = lengths != lengths[model]
     copies = np.flatnonzero((model != np.arange(len(starts))) & ~differs & (lengths > 0))
-    sizes = lengths[copies]
-    base = np.cumsum(sizes) - sizes
-    step = np.arange(int(sizes.sum()), dtype=np.int32)
-    own = data[step + np.repeat(starts[copies] - base, sizes).astype(np.int32)]
-    other = data[step + np.repeat(starts[model[copies]] - base, sizes).astype(np.int32)]
-    unequal = np.flatnonzero(own != other)
-    differs[copies[np.searchsorted(base, unequal, "right") - 1]] = True
+    upto = np.cumsum(lengths[copies])
+    block = upto // COMPARE_BYTES  # pieces are compared in blocks of about so many bytes
+    edges = np.flatnonzero(np.diff(block, prepend=-1, append=-1))
+    for lo, hi in zip(edges.tolist(), edges[1:].tolist()):
+        own = copies[lo:hi]
+        sizes = lengths[own]
+        base = np.cumsum(sizes) - sizes
+        step = np.arange(int(sizes.sum()))
+        unequal = np.flatnonzero(data[step + np.repeat(starts[own] - base, sizes)] != data[step + np.repeat(starts[model[own]] - base, sizes)])
+        differs[own[np.searchsorted(base, unequal, "right") - 1]] = True
     alone = np.flatnonzero(differs)
     same[alone] = len(first) + np.arange(len(alone))
     return np.append(first, alone), same
