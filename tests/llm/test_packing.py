@@ -10,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tests.llm.helpers import AWKWARD, SF, awkward, documents
-from tiffin.llm.packing import best_fit, cut_pieces, fillings, lower_bound, pack_pieces, plan_bins
+from tiffin.llm.packing import best_fit, candidates, cut_pieces, fillings, lower_bound, pack_pieces, place_rows, plan_bins
 from tiffin.llm.queries import QUERIES, vocabulary_path
 
 
@@ -71,6 +71,66 @@ def test_fillings_are_undominated():
     assert {sum(f) for f in found} <= sums
 
 
+def test_candidates_are_all_fillings():
+    random.seed(8)
+    for _ in range(40):
+        items = [random.randint(1, 12) for _ in range(random.randint(0, 8))]
+        counts, space, allowed = {x: items.count(x) for x in items}, random.randint(0, 20), random.randint(0, 5)
+        looked = list(candidates(counts, space, allowed))
+        subsets = {tuple(sorted(c, reverse=True)) for k in range(len(items) + 1) for c in itertools.combinations(items, k)}
+        fitting = [f for f in subsets if space - allowed <= sum(f) <= space]
+        assert len(looked) == len(fitting)  # each once, the dominated ones as None
+        own = [f for f in looked if f is not None]
+        assert len(own) == len(set(own)) and set(own) <= set(fitting)
+        assert [space - sum(f) for f in own] == sorted(space - sum(f) for f in own)
+        for f in own:
+            assert not any(items.count(x) > f.count(x) and x <= space - sum(f) for x in items)
+
+
+def test_many_lengths_do_not_recurse_deeply():
+    counts = {x: 1 for x in range(1, 3001)}
+    assert fillings(counts, 3000, 0, 1) == [(3000,)]
+    assert next(f for f in candidates({x: 2 for x in range(2, 3001, 2)} | {1: 1}, 2999, 0)) == (2998, 1)
+    plan = plan_bins(counts, 3000, nodes=200)
+    check_plan(plan, counts, 3000)
+
+
+def test_ranks_take_every_place_once():
+    plan = [(3, (5, 2, 2)), (1, (5,)), (2, (2, 2, 2, 1))]
+    at = defaultdict(list)
+    for length, low, times, first, offset in place_rows(plan):
+        copies = next(f for t, f in plan if t == times).count(length)
+        for rank in range(low, low + times * copies):
+            after = rank - low
+            at[first + after % times].append((offset + after // times * length, length))
+    assert sorted(at) == list(range(6))
+    assert sorted(tuple(x for _, x in sorted(b)) for b in at.values()) == sorted([(5, 2, 2)] * 3 + [(5,)] + [(2, 2, 2, 1)] * 2)
+    for b in at.values():
+        assert all(o == sum(x for q, x in b if q < o) for o, _ in b)
+
+
+def test_one_length_holds_most_pieces(spark):
+    """20,000 empty documents beside 60 others: each piece has one place."""
+    rows = [(1, "a")] * 20_000 + [(900 + k, "b") for k in range(60)]
+    found = pack_pieces(spark.createDataFrame(rows, "length long, name string"), capacity=1024).collect()
+    assert sorted((r["length"], r["name"]) for r in found) == sorted(rows)
+    sequences = defaultdict(list)
+    for r in found:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for s in sequences.values():
+        ends = [0, *(o + n for o, n in sorted(s))]
+        assert ends[:-1] == [o for o, _ in sorted(s)] and ends[-1] <= 1024
+    assert len(sequences) == -(-sum(x for x, _ in rows) // 1024)
+
+
+def test_clashing_names_are_kept(spark):
+    names = ["_row", "_part", "_base", "_place", "_seat", "_n", "_first", "_Low", "a.b"]
+    docs = spark.createDataFrame([(k % 3 + 5, *[f"{c}{k}" for c in names]) for k in range(30)], ["length", *names])
+    found = pack_pieces(docs, capacity=20)
+    assert found.columns == [*docs.columns, "sequence_id", "offset"]
+    assert sorted(found.select(*[f"`{c}`" for c in docs.columns]).collect()) == sorted(docs.collect())
+
+
 def check_packing(rows, texts):
     """Gapless sequences, pieces that add up to their document, checksums."""
     tokenizer = Tokenizer.from_file(vocabulary_path())

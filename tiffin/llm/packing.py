@@ -11,27 +11,30 @@ Bin completion (Korf 2003): around the largest remaining length, enumerate the
 fillings that no other filling dominates, least waste first, and branch over
 them; a branch ends when its waste exceeds what the incumbent leaves.  The
 first incumbent is best-fit decreasing.  A chosen filling is used as often as
-the counts allow, so a plan has few distinct bins however many documents there are.
+the counts allow (a later one with waste once), so a plan has few distinct bins
+however many documents there are.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tiffin.llm.bpe import ENCODE_BYTES, encode_slice, vocabulary
-from tiffin.llm.common import Scratch, id_text, slices
+from tiffin.llm.common import Scratch, fresh, id_text, slices
 
-#: Ranks within a length are counted in this many parts, so that a length that
-#: a third of all pieces have is ranked in parts too.
-RANK_PARTS = 256
+#: Ranks within a length are counted in parts, at least so many and one for
+#: PART_ROWS pieces, so that a length that a third of all pieces have is ranked in parts too.
+RANK_PARTS, PART_ROWS = 256, 1 << 18
 
 #: A filling: how often it is used, and its lengths from the largest on.
 Plan = list[tuple[int, tuple[int, ...]]]
@@ -95,48 +98,67 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024, nodes: int = 6000, scra
     row); repeated rows are pieces of their own; an empty table gives none.
     """
     scratch = scratch or Scratch(pieces.sparkSession, "packing")
-    spark = pieces.sparkSession
-    clash = {"sequence_id", "offset"} & set(pieces.columns)
+    held = pieces.columns
+    clash = {"sequence_id", "offset"} & {c.lower() for c in held}
     if clash:
         raise ValueError(f"the input has columns {sorted(clash)} already")
-    held = pieces.columns
-    dealt = pieces.withColumn("_row", F.monotonically_increasing_id())
-    pieces = scratch.write(dealt.withColumn("_part", F.pmod(F.xxhash64("_row"), F.lit(RANK_PARTS)).cast("int")), "pieces")
-
-    parts = scratch.write(pieces.groupBy("length", "_part").agg(F.count("*").alias("n")), "counts")
-    counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    row, part, base, place, seat = (fresh(f"_{c}", held) for c in ("row", "part", "base", "place", "seat"))
+    pieces = scratch.write(pieces.withColumn(row, F.monotonically_increasing_id()), "pieces")
+    n_parts = max(RANK_PARTS, pieces.count() // PART_ROWS)
+    pieces = pieces.withColumn(part, F.pmod(F.xxhash64(row), F.lit(n_parts)).cast("int"))
+
+    n = fresh("_n", ["length", part])
+    parts = scratch.write(pieces.groupBy("length", part).agg(F.count("*").alias(n)), "counts")
+    counts = {r["length"]: r[n] for r in parts.groupBy("length").agg(F.sum(n).alias(n)).collect()}
     if any(x < 1 or x > capacity for x in counts):
         raise ValueError("lengths must be from 1 to the capacity")
     plan = plan_bins(counts, capacity, nodes)
 
-    before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = parts.select("length", "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
-    own = Window.partitionBy("length", "_part").orderBy("_row")
+    before = Window.partitionBy("length").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    bases = parts.select("length", part, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(base))
+    own = Window.partitionBy("length", part).orderBy(row)
     # the window and the join share one exchange of the pieces
-    ranked = pieces.withColumn("_place", F.row_number().over(own)).join(bases, ["length", "_part"])
-    ranked = ranked.withColumn("_rank", F.col("_base") + F.col("_place") - 1)
-    places = spark.createDataFrame(place_rows(plan), PLACES)
-    # the places follow from the lengths alone, of which there are at most `capacity`
-    found = ranked.join(F.broadcast(places), "length").where("_rank between _low and _high")
-    return found.select(*held, (F.col("_first") + F.col("_rank") - F.col("_low")).alias("sequence_id"), "offset")
+    ranked = pieces.withColumn(place, F.row_number().over(own)).join(bases, ["length", part])
+    found = ranked.withColumn(seat, seats(plan, counts)(F.col("length"), F.col(base) + F.col(place) - 1))
+    return found.select(*[F.col(f"`{c}`") for c in held], F.col(seat)["sequence_id"].alias("sequence_id"), F.col(seat)["offset"].alias("offset"))
 
 
-PLACES = T.StructType(
-    [T.StructField(c, T.LongType(), False) for c in ("length", "_low", "_high", "_first", "offset")]
-)
+def seats(plan: Plan, counts: dict[int, int]) -> Callable[[Column, Column], Column]:
+    """The sequence and offset of the piece with a length and a rank among the
+    pieces of that length, by binary search in the plan.  The plan that tasks get has an
+    entry for each filling and different length in it: a bound from ``capacity``
+    and ``nodes`` that does not grow with the pieces."""
+    first = np.zeros(max(counts, default=0) + 1, np.int64)  # ranks over all lengths, one length after the other
+    lengths = sorted(counts)
+    first[lengths] = np.cumsum([0, *(counts[x] for x in lengths)])[:-1]
+    entries = sorted((int(first[length]) + low, *rest) for length, low, *rest in place_rows(plan))
+    low, times, sequence, offset = np.array(entries, np.int64).reshape(-1, 4).T
+
+    @F.pandas_udf("sequence_id long, offset long")
+    def seat(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        own = length.to_numpy(np.int64)
+        rank = first[own] + rank.to_numpy(np.int64)
+        at = np.searchsorted(low, rank, "right") - 1
+        after = rank - low[at]
+        return pd.DataFrame({"sequence_id": sequence[at] + after % times[at], "offset": offset[at] + after // times[at] * own})
+
+    return seat
 
 
 def place_rows(plan: Plan) -> list[tuple[int, int, int, int, int]]:
-    """For each slot of each filling: the ranks of its length that take it."""
+    """For each filling and each different length in it: the length, the first rank
+    that it takes, the filling's number of sequences, the first of these, and the
+    offset.  Ranks go round the sequences, once for each copy of the length."""
     used: dict[int, int] = {}
     rows, first = [], 0
     for times, filling in plan:
         offset = 0
-        for length in filling:
+        for length in sorted(set(filling), reverse=True):
+            copies = filling.count(length)
             low = used.get(length, 0)
-            rows.append((length, low, low + times - 1, first, offset))
-            used[length] = low + times
-            offset += length
+            rows.append((length, low, times, first, offset))
+            used[length] = low + times * copies
+            offset += length * copies
         first += times
     return rows
 
@@ -182,14 +204,12 @@ def best_fit(counts: dict[int, int], capacity: int) -> Plan:
     return [b for bins in free.values() for b in bins if b[0]]
 
 
-def fillings(counts: dict[int, int], space: int, allowed: int, limit: int) -> list[tuple[int, ...]]:
-    """Up to ``limit`` undominated fillings of ``space`` with a waste of at
-    most ``allowed``, least waste first and larger items first.  A filling
+def candidates(counts: dict[int, int], space: int, allowed: int) -> Iterator[tuple[int, ...] | None]:
+    """Fillings of ``space`` with a waste of at most ``allowed``, least waste
+    first and larger items first; None in place of a dominated one.  A filling
     that leaves room for a remaining item, or in which one item could be exchanged for a
     larger remaining one that still fits, is dominated."""
     lengths = sorted((x for x in counts if x <= space), reverse=True)
-    if not lengths:
-        return [()] if space <= allowed else []
     # sums[i]: bit s is set if lengths[i:] can add up to s (repeats up to the counts)
     sums = [1]
     mask = (1 << (space + 1)) - 1
@@ -202,29 +222,27 @@ def fillings(counts: dict[int, int], space: int, allowed: int, limit: int) -> li
             step *= 2
         sums.append(reach)
     sums.reverse()
-    found: list[tuple[int, ...]] = []
 
-    def fill(i: int, room: int, chosen: tuple[int, ...]) -> None:
-        if len(found) >= limit:
-            return
+    def fill(i: int, room: int, chosen: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
         if room == 0:
-            found.append(chosen)
-            return
-        if i == len(lengths):
+            yield chosen
             return
-        x = lengths[i]
-        for k in range(min(counts[x], room // x), -1, -1):
-            if sums[i + 1] >> (room - k * x) & 1:
-                fill(i + 1, room - k * x, chosen + (x,) * k)
+        while i < len(lengths) and sums[i] >> room & 1:
+            x = lengths[i]
+            for k in range(min(counts[x], room // x), 0, -1):
+                if sums[i + 1] >> (room - k * x) & 1:
+                    yield from fill(i + 1, room - k * x, chosen + (x,) * k)
+            i += 1
 
     for waste in range(0, min(allowed, space) + 1):
         if sums[0] >> (space - waste) & 1:
-            wanted = len(found)
-            fill(0, space - waste, ())
-            found[wanted:] = [f for f in found[wanted:] if undominated(f, counts, waste)]
-            if len(found) >= limit:
-                break
-    return found
+            for filling in fill(0, space - waste, ()):
+                yield filling if undominated(filling, counts, waste) else None
+
+
+def fillings(counts: dict[int, int], space: int, allowed: int, limit: int) -> list[tuple[int, ...]]:
+    """The first ``limit`` undominated fillings."""
+    return list(islice((f for f in candidates(counts, space, allowed) if f is not None), limit))
 
 
 def undominated(filling: tuple[int, ...], counts: dict[int, int], waste: int) -> bool:
@@ -237,53 +255,77 @@ def undominated(filling: tuple[int, ...], counts: dict[int, int], waste: int) ->
     return True
 
 
-#: Branching starts once so few lengths are left: fillings chosen earlier are
-#: mostly perfect, and their alternatives differ only far below.
-BRANCH_LENGTHS = 128
+#: A branch with more lengths than this is enumerated anew when the search
+#: comes back to it, instead of being kept.
+KEPT_LENGTHS = 128
+
+
+@dataclass
+class Branch:
+    """A place in the search: how many candidates were looked at, how many of
+    them used, and the further ones."""
+
+    looked: int = 0
+    used: int = 0
+    more: Iterator[tuple[int, ...] | None] | None = None
 
 
 def plan_bins(counts: dict[int, int], capacity: int, nodes: int = 6000) -> Plan:
-    """The best plan found within ``nodes`` fillings; deterministic.  The
-    search goes depth first: the last alternatives are tried first."""
-    counts = {x: n for x, n in counts.items() if n > 0}
-    if not counts:
+    """The best plan found by looking at ``nodes`` fillings; deterministic.  The
+    search goes depth first over all undominated fillings of the bin with the largest
+    remaining length, and comes back to the last choice first."""
+    left = {x: n for x, n in counts.items() if n > 0}
+    if not left:
         return []
-    best = best_fit(counts, capacity)
+    best = best_fit(left, capacity)
     best_bins = sum(t for t, _ in best)
-    bound = lower_bound(counts, capacity)
-    volume = sum(x * n for x, n in counts.items())
-    open_: list[tuple[dict[int, int], Plan, int, int]] = [(counts, [], 0, 0)]
-    while open_ and best_bins > bound and nodes > 0:
-        left, plan, bins, wasted = open_.pop()
-        while left:
-            # a better plan wastes at least one bin less than the incumbent
-            allowed = (best_bins - 1) * capacity - volume - wasted
-            if allowed < 0 or nodes <= 0:
-                break
-            nodes -= 1
-            branch = len(left) <= BRANCH_LENGTHS
-            x = max(left)
-            rest = {y: n - (y == x) for y, n in left.items() if n - (y == x)}
-            options = fillings(rest, capacity - x, allowed, 3 if branch else 1)
-            if not options:
-                break
-            for other in options[:0:-1]:
-                times = 1 if x + sum(other) < capacity else None
-                open_.append(use(left, (x, *other), times, plan, bins, wasted, capacity))
-            left, plan, bins, wasted = use(left, (x, *options[0]), None, plan, bins, wasted, capacity)
-        else:
+    bound = lower_bound(left, capacity)
+    volume = sum(x * n for x, n in left.items())
+    chosen: Plan = []
+    bins = wasted = 0
+    branches = [Branch()]
+    while branches and nodes > 0:
+        here = branches[-1]
+        # a better plan wastes at least one bin less than the incumbent
+        allowed = (best_bins - 1) * capacity - volume - wasted
+        filling = None
+        if not left:
             if bins < best_bins:
-                best, best_bins = plan, bins
+                best, best_bins = list(chosen), bins
+                if best_bins <= bound:
+                    break
+        elif allowed >= 0 and best_bins > bound:
+            x = max(left)
+            if here.more is None:
+                rest = {y: n - (y == x) for y, n in left.items() if n - (y == x)}
+                here.more = islice(candidates(rest, capacity - x, allowed), here.looked, None)
+            for other in here.more:
+                here.looked += 1
+                nodes -= 1
+                if other is not None and capacity - x - sum(other) <= allowed:
+                    filling = (x, *other)
+                if other is not None or nodes <= 0:
+                    break
+        if filling is None:
+            branches.pop()
+            if chosen:
+                times, last = chosen.pop()
+                bins, wasted = bins - times, wasted - times * (capacity - sum(last))
+                for y in last:
+                    left[y] = left.get(y, 0) + times
+            continue
+        if len(left) > KEPT_LENGTHS:
+            here.more = None
+        waste = capacity - sum(filling)
+        times = min(left[y] // filling.count(y) for y in set(filling))
+        if here.used and waste:
+            times = 1
+        here.used += 1
+        for y in set(filling):
+            left[y] -= times * filling.count(y)
+            if not left[y]:
+                del left[y]
+        chosen.append((times, filling))
+        bins, wasted = bins + times, wasted + times * waste
+        branches.append(Branch())
     return best
-
-
-def use(left: dict[int, int], filling: tuple[int, ...], times: int | None, plan: Plan, bins: int, wasted: int, capacity: int) -> tuple[dict[int, int], Plan, int, int]:
-    """The counts, plan, bins and waste after using a filling: as often as
-    the counts allow, or ``times``."""
-    need = {x: filling.count(x) for x in set(filling)}
-    t = min(left[x] // k for x, k in need.items())
-    if times is not None:
-        t = min(t, times)
-    after = {x: n - t * need.get(x, 0) for x, n in left.items()}
-    waste = (capacity - sum(filling)) * t
-    return {x: n for x, n in after.items() if n}, [*plan, (t, filling)], bins + t, wasted + waste
