@@ -9,7 +9,7 @@ import pytest
 
 from tests.llm.helpers import AWKWARD, SF, awkward, documents
 from tiffin.llm.queries import QUERIES
-from tiffin.llm.repeats import repeated_passages, runs_of, sliding_least
+from tiffin.llm.repeats import common_prefixes, longest_previous, repeated_passages, runs_of, sliding_least
 
 
 def brute(rows: list[tuple], length: int, keep_first: bool) -> list[tuple]:
@@ -81,6 +81,26 @@ def test_awkward_rows(spark):
         repeated_passages(twice, length=20)
 
 
+def shared(a: bytes, b: bytes) -> int:
+    return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+@pytest.mark.parametrize("text", [b"a", b"aaaaaaa", b"abab" * 6, b"mississippi", bytes(random.Random(3).choices(b"ab", k=200))])
+@pytest.mark.parametrize("cap", [1, 3, 50])
+def test_factors_are_the_longest_earlier_and_later_matches(text, cap):
+    n = len(text)
+    padded = text + bytes(200 + i % 50 for i in range(cap))  # suffixes end in bytes of their own
+    at = np.arange(n)
+    prefix = [padded[i : i + cap] for i in range(n)]
+    order = np.array(sorted(range(n), key=prefix.__getitem__))
+    common = common_prefixes(np.frombuffer(padded, np.uint8), at[order], cap, block=7)
+    assert common.tolist() == [0, *(shared(prefix[a], prefix[b]) for a, b in zip(order, order[1:]))]
+    earlier = [max((shared(prefix[i], prefix[j]) for j in range(i)), default=0) for i in range(n)]
+    later = [max((shared(prefix[i], prefix[j]) for j in range(i + 1, n)), default=0) for i in range(n)]
+    assert longest_previous(order, common).tolist() == earlier
+    assert longest_previous(n - 1 - order, common)[::-1].tolist() == later
+
+
 def test_runs_cover_every_window_once():
     rng = np.random.default_rng(4)
     data = rng.integers(97, 100, 5000).astype(np.uint8)

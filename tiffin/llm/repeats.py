@@ -8,15 +8,17 @@ that can share such windows:
 2. Every window is named after its anchor, the GRAM-byte string in it with the least
    hash (the leftmost of equal ones), so equal windows have the same anchor.
    Neighbouring windows with one anchor form a run; runs with the same anchor and
-   bytes form a class, which is aggregated before anything is shuffled as text.
+   bytes (by BLAKE2) form a class, which is aggregated before anything is shuffled as text.
    Anchors that occur once need no suffix: their windows are unique.
 3. For all classes of an anchor, the suffixes at their window starts are put
-   in order by their first ``length`` bytes, equal ones by position.  Where the common
-   prefix with the left neighbour reaches ``length``, that neighbour
-   is the previous smaller position (and there is no next smaller one), so the longest
-   previous factor reaches ``length`` and the suffix has an earlier match; the
-   right neighbour likewise shows a later match.
-4. Matches go back to the runs of their class, runs to their text, and texts to
+   in order, with the common prefixes of neighbours; both look at ``length`` bytes at most.
+   A suffix whose first ``length`` bytes hash to a value of its own has no factor of that
+   length and is left out beforehand; this changes no other suffix's factor of that length.
+4. One pass over that order finds the previous and the next smaller position of every
+   suffix; the longer common prefix with one of them is its longest previous
+   factor.  Where it reaches ``length``, the window has an earlier match.  The same pass
+   with the positions mirrored gives later matches.
+5. Matches go back to the runs of their class, runs to their text, and texts to
    their documents.
 
 An anchor with more than ``class_limit`` classes (a passage that very many
@@ -95,16 +97,49 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.
         "starts": sizes,
         "anchor": anchor[begin] - begin,
         "key": hashes[anchor[begin]].view(np.int64),
-        "h": span_hash(sums, begin, begin + sizes + length - 1).view(np.int64),
+        "h": names_of(memoryview(data), begin, begin + sizes + length - 1),
     }
 
 
+def names_of(raw: memoryview, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits of BLAKE2 of each byte span.  They name a class only beside the hash of its anchor."""
+    spans = zip(starts.tolist(), ends.tolist())
+    return np.frombuffer(b"".join([hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in spans]), np.int64)
+
+
 def intervals_of(flags: np.ndarray) -> list[dict[str, int]]:
     """Runs of true values, as first and last index."""
     edges = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
     return [{"lo": int(a), "hi": int(b) - 1} for a, b in zip(edges[::2], edges[1::2])]
 
 
+def longest_previous(order: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The longest previous factor of each position: ``order`` has the positions
+    in suffix order, ``common`` the prefix that each shares with the one before.
+    The stack holds smaller positions on the left, with what each shares with
+    the one below it; whatever takes an entry off is its next smaller position."""
+    factors = [0] * len(order)
+    stack: list[tuple[int, int]] = []
+    for position, shared in zip([*order.tolist(), -1], [*common.tolist(), 0]):
+        while stack and position < stack[-1][0]:
+            top, left = stack.pop()
+            factors[top] = max(left, shared)
+            shared = min(left, shared)
+        stack.append((position, shared))
+    return np.array(factors, np.int64)
+
+
+def common_prefixes(text: np.ndarray, at: np.ndarray, length: int, block: int = 2048) -> np.ndarray:
+    """How many of the first ``length`` bytes at each place are those of the place before it."""
+    windows = np.lib.stride_tricks.sliding_window_view(text, length)
+    common = np.zeros(len(at), np.int64)
+    for i in range(1, len(at), block):
+        part = windows[at[i - 1 : i + block]]
+        unlike = part[1:] != part[:-1]
+        common[i : i + block] = np.where(unlike.any(axis=1), unlike.argmax(axis=1), length)
+    return common
+
+
 def matches(classes: pd.DataFrame, length: int, keep_first: bool) -> list[np.ndarray]:
     """For each class, which of its windows match another one: an earlier one
     with ``keep_first``, else any.  ``classes`` are in text order."""
@@ -116,7 +151,7 @@ def matches(classes: pd.DataFrame, length: int, keep_first: bool) -> list[np.nda
     first = np.cumsum(starts) - starts
     at = base[of] + np.arange(len(of)) - first[of]
     found = (weights >= 2)[of] if not keep_first else np.zeros(len(of), bool)
-    # windows whose hash is unique have no factor of that length; the others are put in suffix order
+    # a window whose hash is its own is equal to none
     hashes = span_hash(prefix_hash(text), at, at + length)
     _, same, times = np.unique(hashes, return_inverse=True, return_counts=True)
     maybe = np.flatnonzero(times[same] > 1)
@@ -126,13 +161,12 @@ def matches(classes: pd.DataFrame, length: int, keep_first: bool) -> list[np.nda
         maybe = maybe[np.lexsort((place, docs))]
         raw = text.tobytes()
         prefix = [raw[a : a + length] for a in at[maybe].tolist()]
-        order = sorted(range(len(prefix)), key=prefix.__getitem__)  # stable: equal prefixes stay in text order
-        suffixes = maybe[order]
-        full = np.array([prefix[a] == prefix[b] for a, b in zip(order, order[1:])], bool)  # common prefix reaches length
-        earlier, later = np.append(False, full), np.append(full, False)
-        found[suffixes[earlier]] = True
+        order = np.array(sorted(range(len(prefix)), key=prefix.__getitem__))
+        common = common_prefixes(text, at[maybe[order]], length)
+        found[maybe[longest_previous(order, common) >= length]] = True
         if not keep_first:
-            found[suffixes[later]] = True
+            mirrored = longest_previous(len(order) - 1 - order, common)[::-1]
+            found[maybe[mirrored >= length]] = True
     return [found[a : a + n] for a, n in zip(first.tolist(), starts.tolist())]
 
 
@@ -165,11 +199,11 @@ def stretches(batches: Iterator[pa.RecordBatch], length: int, step: int) -> Iter
             n = np.diff(np.append(begin, len(i)))
             core = anchor - q[begin] * step
             key = mix(span_hash(sums, core, core - step + 1 + length) + q[begin].astype(np.uint64) + np.uint64(step))
-            h = span_hash(sums, begin, begin + n + length - 1)
+            h = names_of(memoryview(body), begin, begin + n + length - 1)
             m = len(begin)
             columns = [
                 pa.array([r["key"]] * m, pa.int64()), pa.array([r["h"]] * m, pa.int64()), pa.array(begin, pa.int64()),
-                pa.array(key.view(np.int64)), pa.array(h.view(np.int64)), pa.array([r["w"]] * m, pa.int64()),
+                pa.array(key.view(np.int64)), pa.array(h), pa.array([r["w"]] * m, pa.int64()),
                 pa.array([r["doc_rank"]] * m, pa.int64()), pa.array(r["start"] + begin, pa.int64()), pa.array(n, pa.int64()),
                 pa.array(anchor - begin, pa.int64()), pa.array([body[a : a + k + length - 1] for a, k in zip(begin.tolist(), n.tolist())], pa.binary()),
             ]
