@@ -53,6 +53,19 @@ def test_many_cells_and_parts(spark, monkeypatch):
     assert recall(found, np.arange(600), x.astype(float), range(0, 600, 50)) >= 0.9
 
 
+def test_queries_are_searched_in_bounded_groups(spark, monkeypatch):
+    """All rows are queries, a third of them near one place, and none is lost between the groups."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(150, 8)) + np.where(np.arange(150)[:, None] % 3 == 0, 6.0, 0.0)
+    vectors = frame(spark, [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)])
+    monkeypatch.setattr(ann, "CELL", 40)
+    monkeypatch.setattr(ann, "PART", 30)
+    monkeypatch.setattr(ann, "POSED", 7)
+    found = sorted(map(tuple, nearest(vectors, vectors, confidence=1 - 1e-12).collect()))
+    assert len(found) == 750
+    assert recall([dict(zip(("query_id", "rank", "vec_id", "score"), r)) for r in found], np.arange(150), x.astype(np.float32).astype(float), range(150)) == 1.0
+
+
 def test_one_vector_in_many_rows(spark):
     rows = [(i, [1.0, 0.0, 0.5]) for i in range(40)] + [(100 + i, [0.0, 1.0, i / 9]) for i in range(9)]
     vectors = frame(spark, rows)

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiffin.llm.common import Scratch, salted_left_join
@@ -36,6 +36,8 @@ LEAF = 256
 SLACK = 1e-9
 #: Vectors in a cell on average, cells at most, and vectors of a cell that one task searches.
 CELL, MAX_CELLS, PART = 4096, 4096, 1 << 16
+#: Queries that one task searches a part of a cell for.
+POSED = 4096
 #: Vectors of the sample on which cells are fitted.
 SAMPLE = 20_000
 
@@ -264,18 +266,25 @@ def nearest(
                 rows += [(q.query, s, i) for s, i in found]
         return pd.DataFrame(rows, columns=["query", "score", "id"]).astype({"query": "int64", "score": "float64", "id": "int64"})
 
-    n_parts = F.create_map(*[F.lit(x) for c, n in parts.items() for x in (c, n)]) if parts else None
-    dealt = index.withColumn("part", F.pmod(F.xxhash64("vec"), n_parts[F.col("cell")]).cast("int") if parts else F.lit(0))
+    def by_cell(numbers: dict[int, int]) -> Column:
+        """A number for each of the at most MAX_CELLS cells."""
+        return F.create_map(*[F.lit(x) for c, n in numbers.items() for x in (c, n)])[F.col("cell")] if numbers else F.lit(None).cast("int")
 
     def run(posed: DataFrame) -> DataFrame:
-        return dealt.groupBy("cell", "part").cogroup(posed.groupBy("cell", "part")).applyInPandas(search, searched)
-
-    def in_parts(posed: DataFrame) -> DataFrame:
-        last = (n_parts[F.col("cell")] - 1).cast("int") if parts else F.lit(0)
-        return posed.where(last.isNotNull()).withColumn("part", F.explode(F.sequence(F.lit(0), last)))
+        """The hits of queries posed to cells.  A group has at most about PART vectors of a
+        cell and POSED of its queries: both sides are dealt, and meet once in every pairing."""
+        turns = {r["cell"]: -(-r["count"] // POSED) for r in posed.groupBy("cell").count().collect()}
+        turns = {c: n for c, n in turns.items() if c in parts}
+        last = (by_cell(turns) - 1).cast("int")
+        own = index.where(last.isNotNull()).withColumn("part", F.pmod(F.xxhash64("vec"), by_cell(parts)).cast("int"))
+        own = own.withColumn("turn", F.explode(F.sequence(F.lit(0), last)))
+        posed = posed.where(last.isNotNull()).withColumn("turn", F.pmod(F.xxhash64("query"), by_cell(turns)).cast("int"))
+        posed = posed.withColumn("part", F.explode(F.sequence(F.lit(0), (by_cell(parts) - 1).cast("int"))))
+        keys = ["cell", "part", "turn"]
+        return own.groupBy(*keys).cogroup(posed.groupBy(*keys)).applyInPandas(search, searched)
 
     four = F.lit(4.0)  # no two unit vectors are farther apart
-    home = scratch.write(run(in_parts(placed.select("query", "vec", "cell", "point", four.alias("radius2")))), "home")
+    home = scratch.write(run(placed.select("query", "vec", "cell", "point", four.alias("radius2"))), "home")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     same_id = Window.partitionBy("query", "id").orderBy(F.desc("score"))
 
@@ -302,7 +311,7 @@ def nearest(
             yield pa.record_batch([*own.columns, pa.array(box_cells[to], pa.int32())], names=["query", "vec", "point", "radius2", "cell"])
 
     others = posed.mapInArrow(onward, "query long, vec binary, point array<double>, radius2 double, cell int")
-    away = run(in_parts(others).select("query", "vec", "cell", "point", "radius2", "part"))
+    away = run(scratch.write(others.select("query", "vec", "cell", "point", "radius2"), "posed"))
     found = shortest_of(home.union(away))
     lists = found.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("r", "id", "score"))).alias("near"))
     answers = placed.select("vec", "query", "n").join(lists, "query").select("vec", "n", "near")
