@@ -139,6 +139,42 @@ def test_gradient_of_the_bag_model():
         assert abs((up - down) / (2 * step) - gradient[name][place]) < 1e-6
 
 
+def test_words_alone_tell_documents_apart(spark):
+    """Texts of the same characters, lengths and repeats, whose words differ."""
+    rng = np.random.default_rng(2)
+    forms = {1: ["stone", "melon", "rates"], 0: ["notes", "lemon", "stare"]}
+    rows = [(i, " ".join(rng.permutation(forms[i % 2] * 5)), None) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    found = quality.classify_quality(awkward(spark, rows), labels).collect()
+    unseen = [r for r in found if r["held_out"]]
+    assert len(unseen) > 60 and np.mean([(r["score"] >= 0.5) == r["doc_id"] % 2 for r in unseen]) >= 0.98
+
+
+def test_one_good_passage_counts_wherever_it_stands(spark):
+    """The label is that of one passage in six; attention must find it."""
+    rng = np.random.default_rng(4)
+    common = [f"w{i}" for i in range(40)]
+
+    def text(label: int) -> str:
+        parts = [" ".join(rng.choice(common, quality.PASSAGE_WORDS)) for _ in range(6)]
+        parts[rng.integers(6)] = " ".join(rng.choice(["golden", "silver"] if label else ["muddy", "rusty"], quality.PASSAGE_WORDS))
+        return " ".join(parts)
+
+    rows = [(i, text(i % 2), None) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    found = [r for r in quality.classify_quality(awkward(spark, rows), labels).collect() if r["held_out"]]
+    assert np.mean([(r["score"] >= 0.5) == r["doc_id"] % 2 for r in found]) >= 0.95
+
+
+def test_fit_takes_few_passages_of_a_long_document(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(quality, "fit", lambda bags, y, shares: taken.extend(len(b) for b in bags))
+    rows = [(1, "word " * (quality.PASSAGE_WORDS * 500), None), (3, "a b", None)]
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
+    quality.learn(awkward(spark, rows), labels, folds=1000)
+    assert sorted(taken) == [1, quality.FIT_PASSAGES]
+
+
 def test_long_documents_are_bags_of_all_their_passages():
     import pyarrow as pa
 

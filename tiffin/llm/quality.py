@@ -1,8 +1,9 @@
 """Quality by attention-based multiple-instance learning.
 
-A document is a bag of passages; only the bag has a label.  Every passage is encoded from
-its characters and words (shares of each sign and kind of character, lengths,
-repeats) by a learned layer; gated attention (Ilse et al. 2018),
+A document is a bag of passages; only the bag has a label.  Every passage is encoded by a
+learned layer from its words (each of which has a learned embedding by its hash) and
+from its characters (shares of each sign and kind of character, lengths,
+repeats); gated attention (Ilse et al. 2018),
 softmax over w . (tanh(V h) * sigmoid(U h)), weighs the passages, and a logistic
 output scores the weighted representation.  All layers are trained together
 from document labels on a bounded sample.
@@ -23,6 +24,10 @@ from tiffin.llm.sampling import labelled_sample
 
 PASSAGE_WORDS = 64
 HIDDEN, GATE = 16, 8
+#: Rows of the embedding: words with the same hash share one.
+WORDS = 256
+#: Passages that the fit takes of a sampled document, at even steps over a longer one.
+FIT_PASSAGES = 64
 
 #: Byte kinds: each ASCII sign for itself, then lower, upper, digit, space, line end, control, other.
 SIGNS = [b for b in range(33, 127) if not chr(b).isalnum()]
@@ -42,7 +47,8 @@ def byte_kinds() -> np.ndarray:
 
 
 _KIND = byte_kinds()
-FEATURES = KINDS + 7
+PLAIN = KINDS + 7
+FEATURES = PLAIN + WORDS
 
 
 def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,6 +78,8 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     out[:, KINDS + 1] = np.bincount(of_word, lengths, n) / some / 10
     out[:, KINDS + 2] = np.sqrt(np.bincount(of_word, lengths**2, n) / some) / 10
     keys = span_hash(prefix_hash(lower_ascii(data)), starts, ends)
+    embedded = np.bincount(of_word * WORDS + (keys % np.uint64(WORDS)).astype(np.int64), minlength=n * WORDS).reshape(n, WORDS)
+    out[:, PLAIN:] = np.sqrt(embedded / some[:, None])
     order = np.lexsort((keys, of_word))
     sorted_keys, sorted_of = keys[order], of_word[order]
     again = np.zeros(len(keys), bool)
@@ -93,10 +101,16 @@ class BagModel:
     scale: np.ndarray
     weights: dict[str, np.ndarray]
 
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        x = (x - self.mean) / self.scale
+        return np.clip(x, -8, 8, out=x)
+
     def forward(self, x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """Probabilities of label 1 per bag, and what the gradient needs."""
+        return self.forward_scaled(self.scaled(x), at)
+
+    def forward_scaled(self, x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         w = self.weights
-        x = np.clip((x - self.mean) / self.scale, -8, 8)
         h = np.tanh(x @ w["E"] + w["e"])
         t, s = np.tanh(h @ w["V"]), 1 / (1 + np.exp(-(h @ w["U"])))
         raw = (t * s) @ w["a"]
@@ -127,17 +141,19 @@ class BagModel:
 
 def fit(bags: list[np.ndarray], labels: np.ndarray, shares: np.ndarray, epochs: int = 250, rate: float = 0.02, decay: float = 1e-3) -> BagModel:
     """Adam on the weighted log loss of all bags; deterministic."""
-    x = np.concatenate(bags).astype(np.float64)
+    x = np.concatenate(bags)
     at = np.concatenate([[0], np.cumsum([len(b) for b in bags])])
     rng = np.random.default_rng(11)
     shape = {"E": (FEATURES, HIDDEN), "e": (HIDDEN,), "V": (HIDDEN, GATE), "U": (HIDDEN, GATE), "a": (GATE,), "c": (HIDDEN,), "b": (1,)}
-    weights = {k: rng.normal(0, 1 / np.sqrt(s[0]), s) if k not in "eb" else np.zeros(s) for k, s in shape.items()}
-    model = BagModel(x.mean(0), x.std(0) + 1e-2, weights)
-    shares = shares / shares.sum()
-    m = {k: np.zeros(s) for k, s in shape.items()}
-    v = {k: np.zeros(s) for k, s in shape.items()}
+    weights = {k: (rng.normal(0, 1 / np.sqrt(s[0]), s) if k not in "eb" else np.zeros(s)).astype(x.dtype) for k, s in shape.items()}
+    mean, scale = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64) + 1e-2
+    model = BagModel(mean.astype(x.dtype), scale.astype(x.dtype), weights)
+    labels, shares = labels.astype(x.dtype), (shares / shares.sum()).astype(x.dtype)
+    x = model.scaled(x)
+    m = {k: np.zeros(s, x.dtype) for k, s in shape.items()}
+    v = {k: np.zeros(s, x.dtype) for k, s in shape.items()}
     for step in range(1, epochs + 1):
-        p, kept = model.forward(x, at)
+        p, kept = model.forward_scaled(x, at)
         for k, g in model.gradient(p, labels, shares, at, kept).items():
             g = g + decay * weights[k] * (k not in "eb")
             m[k] = 0.9 * m[k] + 0.1 * g
@@ -149,7 +165,8 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, shares: np.ndarray, epochs:
 def train(texts: DataFrame, labels: DataFrame, per_label: int = 1500) -> BagModel | None:
     """Fit on ``texts(doc_id, text)`` with ``labels(doc_id, label 0 or 1)``:
     at most ``per_label`` documents of each label, weighted back to
-    the labels' true shares.  None if there is nothing to learn from."""
+    the labels' true shares, and of each at most FIT_PASSAGES passages.  None if
+    there is nothing to learn from."""
     chosen, sizes = labelled_sample(labels, "label", per_label)
     if not sizes:
         return None
@@ -157,7 +174,7 @@ def train(texts: DataFrame, labels: DataFrame, per_label: int = 1500) -> BagMode
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in slices(batches, limit=1 << 20):
             x, at = passages(data, offsets)
-            bags = [x[a:b].astype(np.float32).tobytes() for a, b in zip(at, at[1:])]
+            bags = [x[np.unique(np.linspace(a, b - 1, FIT_PASSAGES).astype(np.int64))].tobytes() for a, b in zip(at, at[1:])]
             yield pa.record_batch([batch.column("doc_id").cast(pa.string()), batch.column("label"), pa.array(bags, pa.binary())], names=["doc_id", "label", "bag"])
 
     # the sample's ids: per_label rows for each of the two labels
