@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tests.llm.helpers import AWKWARD, awkward
 from tiffin.llm import quality
 from tiffin.llm.langid import LanguageModel, calibrate, columns_of, identify_language
-from tiffin.llm.common import text_column
+from tiffin.llm.common import prefix_hash, span_hash, text_column
 from tiffin.llm.queries import QUERIES
 from tiffin.llm.sampling import labelled_sample, sampled_texts
 
@@ -182,3 +182,62 @@ def test_long_documents_are_bags_of_all_their_passages():
     features, at = quality.passages(*text_column(pa.array(texts, pa.large_string())))
     assert np.diff(at).tolist() == [4, 1, 1] and features.shape == (6, quality.FEATURES)
     assert np.isfinite(features).all()
+
+
+def plain_features(raw: bytes) -> list[list[float]]:
+    """The features of a document's passages, word by word and byte by byte."""
+    spaces = b" \t\n\x0b\x0c\r"
+    spans, start = [], None
+    for i, b in enumerate(raw + b" "):
+        if b in spaces and start is not None:
+            spans.append((start, i))
+            start = None
+        elif b not in spaces and start is None:
+            start = i
+    cuts = list(range(0, len(spans), quality.PASSAGE_WORDS)) or [0]
+    rows = []
+    for k, cut in enumerate(cuts):
+        own = spans[cut : cut + quality.PASSAGE_WORDS]
+        begin = spans[cut][0] if k else 0
+        end = spans[cuts[k + 1]][0] if k + 1 < len(cuts) else len(raw)
+        words, some = [raw[a:b] for a, b in own], max(1, len(own))
+        row = [0.0] * quality.FEATURES
+        for b in raw[begin:end]:
+            row[quality._KIND[b]] += 1
+        row[: quality.KINDS] = [(c / max(1, end - begin)) ** 0.5 for c in row[: quality.KINDS]]
+        lower = [w.lower() for w in words]
+        row[quality.KINDS : quality.PLAIN] = [
+            np.log1p(len(own)),
+            sum(map(len, words)) / some / 10,
+            (sum(len(w) ** 2 for w in words) / some) ** 0.5 / 10,
+            (len(lower) - len(set(lower))) / some,
+            sum(a == b for a, b in zip(lower, lower[1:])) / some,
+            sum(65 <= w[0] <= 90 for w in words) / some,
+            sum(w[-1] in quality.SIGNS for w in words) / some,
+        ]
+        for w in lower:
+            data = np.frombuffer(w, np.uint8)
+            key = span_hash(prefix_hash(data), np.array([0]), np.array([len(data)]))[0]
+            row[quality.PLAIN + int(key % np.uint64(quality.WORDS))] += 1
+        row[quality.PLAIN :] = [(c / some) ** 0.5 for c in row[quality.PLAIN :]]
+        rows.append(row)
+    return rows
+
+
+def test_features_and_scores_against_a_plain_version():
+    import pyarrow as pa
+
+    texts = [t or "" for _, t, _ in AWKWARD][:8] + ["One, two; two THREE.\n" * 40, "  lead and trail \t", "é ü! É ü?", "x " * 64, "x " * 65]
+    x, at = quality.passages(*text_column(pa.array(texts, pa.large_string())))
+    plain = [plain_features(t.encode()) for t in texts]
+    assert np.diff(at).tolist() == [len(p) for p in plain]
+    assert np.allclose(x, [row for p in plain for row in p], atol=1e-5)
+
+    model = quality.fit([x[a:b] for a, b in zip(at, at[1:])], np.arange(len(texts)) % 2.0, np.ones(len(texts)), epochs=5)
+    w = {k: v.astype(float) for k, v in model.weights.items()}
+    for score, p in zip(model.forward(x, at)[0], plain):
+        hidden = [np.tanh(np.clip((np.array(row) - model.mean) / model.scale, -8, 8) @ w["E"] + w["e"]) for row in p]
+        gates = [float(w["a"] @ (np.tanh(h @ w["V"]) / (1 + np.exp(-(h @ w["U"]))))) for h in hidden]
+        weights = np.exp(gates) / np.exp(gates).sum()
+        z = sum(a * h for a, h in zip(weights, hidden))
+        assert score == pytest.approx(1 / (1 + np.exp(-float(z @ w["c"] + w["b"][0]))), abs=1e-4)
