@@ -101,6 +101,16 @@ def test_factors_are_the_longest_earlier_and_later_matches(text, cap):
     assert longest_previous(n - 1 - order, common)[::-1].tolist() == later
 
 
+def test_no_table_is_left_behind(spark, monkeypatch):
+    before = spark.catalog.listTables()
+    repeated_passages(awkward(spark)).collect()
+    assert spark.catalog.listTables() == before
+    monkeypatch.setattr("tiffin.llm.repeats.marks_of", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        repeated_passages(awkward(spark))
+    assert spark.catalog.listTables() == before
+
+
 def test_runs_cover_every_window_once():
     rng = np.random.default_rng(4)
     data = rng.integers(97, 100, 5000).astype(np.uint8)

@@ -282,8 +282,18 @@ def repeated_passages(
     if length < GRAM + STEP:
         raise ValueError(f"length must be at least {GRAM + STEP}")
     spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "repeats")
-    read = id_text(docs, id_col, text_col).withColumn("row_no", F.monotonically_increasing_id())
+    name = f"tiffin_texts_{uuid.uuid4().hex}"
+    try:
+        return passages_through(name, id_text(docs, id_col, text_col), length, keep_first, with_kept, class_limit, scratch or Scratch(spark, "repeats"))
+    finally:
+        spark.sql(f"drop table if exists {name}")
+
+
+def passages_through(name: str, texts: DataFrame, length: int, keep_first: bool, with_kept: bool, class_limit: int, scratch: Scratch) -> DataFrame:
+    """As ``repeated_passages``, for ``texts(doc_id, text)``, by way of a bucketed
+    table of that name, which the result does not read."""
+    spark = texts.sparkSession
+    read = texts.withColumn("row_no", F.monotonically_increasing_id())
     read = read.withColumn("sha", F.unhex(F.sha2("text", 256)))
     rows = scratch.write(read.select("doc_id", "row_no", "sha"), "rows")
     total = rows.count()
@@ -292,7 +302,6 @@ def repeated_passages(
     least = F.min(F.struct("doc_id", "row_no")).alias("first")
     distinct = read.groupBy("sha").agg(F.first("text").alias("text"), F.count("*").alias("w"), least)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"tiffin_texts_{uuid.uuid4().hex}"
     writer = distinct.repartition(buckets, "sha").write.bucketBy(buckets, "sha").option("compression", "zstd")
     writer.option("path", scratch.path("texts")).saveAsTable(name)
     texts = spark.table(name)
@@ -370,7 +379,6 @@ def repeated_passages(
     joined = spark.table(name).select("sha", "text").join(covered, "sha", "left")
     cleaned = joined.mapInArrow(remove, f"sha binary, n_bytes long, n_removed long, spans {SPANS}, kept_sha256 string, kept binary")
     cleaned = scratch.write(cleaned.join(spark.table(name).select("sha", "w", "first"), "sha"), "cleaned")
-    spark.sql(f"drop table {name}")
 
     found = salted_left_join(rows, cleaned, ["sha"], "w", "row_no", max(1, total))
     if keep_first:
